@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .simhash import near_classes
 from .url_filter import RULES, judge_urls
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the queries use; the operator takes any file of its kind."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,14 +30,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
+    "op8_bpe": op8_bpe,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
@@ -54,6 +55,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_html_extract": op7_html_extract,
     "op8_bpe": op8_bpe,
+    "op9_ann": op9_ann,
     "op10_secrets": op10_secrets,
 }
 

@@ -21,8 +21,9 @@ from .graph import connected_components
 SEED = 42
 #: Fingerprints from which the upper tree takes its vantage points and medians; all are dealt by it.
 SAMPLE = 20_000
-#: Residents of a shard, about.
-SHARD = 2_000
+#: Residents of a shard, about, and depth of the upper tree at least, for there to be work for several executors.
+#: Each level of it sends half as many fingerprints again to visit, so shards are as large as a task takes with ease.
+SHARD, LEAST_DEPTH = 64_000, 4
 LEAF = 192
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -236,7 +237,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = classes.count()
     share = min(1.0, SAMPLE / max(n, 1))
     sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < F.lit(round(1_000_000 * share))).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
-    depth = int(np.ceil(np.log2(max(1.0, n / shard))))
+    depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1.0, n / shard)))))
     tree = grow(np.sort(sample.to_numpy(np.int64)).view(np.uint64), depth)
     dealt = classes.select("fp").mapInArrow(_deal_batches(tree, radius), "shard int, fp long, resident boolean")
     links = cut(dealt.groupBy("shard").applyInArrow(_link_shard(radius), "a long, b long"), "links")

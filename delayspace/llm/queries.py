@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
 from .simhash import near_classes
+from .suffix_dedup import repeated_bytes
 from .url_filter import RULES, judge_urls
 
 
@@ -39,6 +40,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(F.zip_with("a", "b", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    out = repeated_bytes(_table(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("a").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_html_extract": op7_html_extract,

@@ -3,7 +3,8 @@
 Unit vectors are projected on Gaussian directions and cut into cells, several directions to a table. A
 query visits the cells around its own in the order of their estimated chance to hold a neighbour, until those visited have
 the chance asked for; candidates of all tables merge and are ranked by their exact cosine. Equal vectors are
-indexed once. Buckets with many members or many probes are split into tiles, so nothing depends on a bucket being small.
+indexed once. Buckets are dealt to shards, large ones in parts, so nothing depends on a bucket being small; a query goes to a
+shard once, with the list of its buckets there, and comes back with its nearest.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, partitions
 
 TABLES = 2
 #: Chance that one of the tables finds a neighbour as near as the sample's.
 FOUND = 0.985
 #: Vectors from which the distance of neighbours is estimated; all are indexed.
 SAMPLE = 2_048
-#: Cell width in standard deviations of a projection, members that a bucket has about, rows of a tile's side.
-WIDTH, BUCKET, TILE = 1.0, 256, 1_024
+#: Cell width in standard deviations of a projection, members that a bucket has about, members of a part of a large bucket.
+WIDTH, BUCKET, PART = 1.0, 256, 4_096
+#: Index rows of a shard, about; shards at least; queries that go to a shard together, about.
+SHARD, LEAST_SHARDS, TOGETHER = 50_000, 24, 50_000
 REACH = 4
 
 
@@ -107,7 +110,7 @@ def _index(tables: int, functions: int):
 
 
 def _probe(tables: int, functions: int, cosine: float, chance: float):
-    schema = pa.schema([("bucket", pa.int64()), ("query", pa.int64()), ("v", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("query", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -115,44 +118,67 @@ def _probe(tables: int, functions: int, cosine: float, chance: float):
                 hashes, unit = Hashes(d, tables, functions), _unit(v)
                 for i, row in enumerate(rows):
                     keys = np.unique(np.concatenate(hashes.probes(unit[i], cosine, chance)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), b.column("query")[int(row)].as_py())), pa.array([b.column("v")[int(row)].as_py()] * len(keys), pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), b.column("query")[int(row)].as_py()))], schema=schema)
 
     return run
 
 
-def rank_tile(queries: np.ndarray, candidates: np.ndarray, ids: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's position, id, cosine) of the k nearest ids for each query, ties to the smaller id."""
+def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndarray, bucket: np.ndarray, ids: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's position, id, cosine) of the k nearest ids that each query finds in the buckets it asked for, ties to the smaller id.
+
+    One bucket at a time, against all queries that asked for it; only the best so far are kept.
+    """
     q, c = _unit(queries), _unit(candidates)
-    s = q @ c.T
-    n = min(k, s.shape[1])
-    # everything as near as the n-th, so that no tie is cut
-    edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-    i, j = np.nonzero(s >= edge[:, None] - 1e-12)
-    qn, cn = np.linalg.norm(queries, axis=1), np.linalg.norm(candidates, axis=1)
-    exact = (queries[i] * candidates[j]).sum(axis=1) / (qn[i] * cn[j])
-    many = np.array([len(x) for x in ids])
-    at = np.repeat(np.arange(len(i)), many[j])
-    flat = np.concatenate([np.asarray(x, np.int64) for x in ids])
-    first = np.concatenate(([0], np.cumsum(many)[:-1]))
-    inner = np.arange(len(at)) - np.repeat(np.concatenate(([0], np.cumsum(many[j])[:-1])), many[j])
-    found = flat[first[j][at] + inner]
-    order = np.lexsort((found, -exact[at], i[at]))
-    i2, found, score = i[at][order], found[order], exact[at][order]
-    place = np.arange(len(i2)) - np.searchsorted(i2, i2)
-    keep = place < k
-    return i2[keep], found[keep], score[keep]
-
-
-def _tile(k: int):
+    # among equal cosines, the class with the smaller first id
+    later = np.argsort(np.argsort([x[0] for x in ids])) * (1e-13 / max(1, len(ids)))
+    best, best_at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    members = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
+    who = np.repeat(np.arange(len(q)), [len(a) for a in asked])
+    wanted = np.concatenate(asked) if len(asked) else np.zeros(0, np.int64)
+    by = np.argsort(wanted, kind="stable")
+    names, first = np.unique(wanted[by], return_index=True)
+    for name, rows in zip(names.tolist(), np.split(who[by], first[1:]), strict=True):
+        there = members.get(name)
+        if there is None:
+            continue
+        for lo in range(0, len(rows), 2_048):
+            r = rows[lo : lo + 2_048]
+            s = np.concatenate((best[r], q[r] @ c[there].T - later[there]), axis=1)
+            at = np.concatenate((best_at[r], np.broadcast_to(there, (len(r), len(there)))), axis=1)
+            # a class met again through another table stands twice: the second one goes
+            s[:, k:][(at[:, k:, None] == at[:, None, :k]).any(axis=2)] = -np.inf
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best[r], best_at[r] = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)
+    i, slot = np.nonzero(best > -np.inf)
+    j = best_at[i, slot]
+    exact = (queries[i] * candidates[j]).sum(axis=1) / (np.linalg.norm(queries, axis=1)[i] * np.linalg.norm(candidates, axis=1)[j])
+    found = [ids[x] for x in j]
+    many = [len(x) for x in found]
+    i, exact, found = np.repeat(i, many), np.repeat(exact, many), np.array([y for x in found for y in x], np.int64)
+    order = np.lexsort((found, -exact, i))
+    i, exact, found = i[order], exact[order], found[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], found[keep], exact[keep]
+
+
+def _search(k: int):
     schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        of = lambda t: np.stack([np.frombuffer(x.as_py(), "<f8") for x in t.column("v")])
-        i, ids, score = rank_tile(of(right), of(left), left.column("ids").to_pylist(), k)
-        query = np.asarray(right.column("query").combine_chunks())
-        return pa.Table.from_arrays([pa.array(query[i]), pa.array(ids), pa.array(score)], schema=schema)
+        vectors = lambda t: [np.frombuffer(x.as_py(), "<f8") for x in t.column("v")]
+        q, c = vectors(right), vectors(left)
+        ql, cl = np.array([len(x) for x in q]), np.array([len(x) for x in c])
+        asked, ids, bucket = right.column("buckets").to_pylist(), left.column("ids").to_pylist(), np.asarray(left.column("bucket").combine_chunks())
+        query, out = np.asarray(right.column("query").combine_chunks()), []
+        for d in np.intersect1d(ql, cl):
+            qi, ci = np.flatnonzero(ql == d), np.flatnonzero(cl == d)
+            i, found, score = rank_shard(np.stack([q[x] for x in qi]), [np.array(asked[x], np.int64) for x in qi], np.stack([c[x] for x in ci]), bucket[ci], [ids[x] for x in ci], k)
+            out.append(pa.Table.from_arrays([pa.array(query[qi][i]), pa.array(found), pa.array(score)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
@@ -188,19 +214,23 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     functions = max(1, round(math.log2(max(2, n / BUCKET)) / math.log2(4.13 / WIDTH)))
     chance = 1 - (1 - found) ** (1 / tables)
     index = cut(classes.select("ids", "v").mapInArrow(_index(tables, functions), "bucket long, ids array<long>, v binary"), "index")
-    probes = classes.where("asked").select("query", "v").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_probe(tables, functions, cosine, chance), "bucket long, query long, v binary")
-    probes = cut(probes, "probes")
-    # both sides of a bucket are dealt to rows and columns of tiles
-    sides = index.groupBy("bucket").agg(F.count("*").alias("n")).join(probes.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
-    sides = cut(sides.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("across"), F.ceil(F.col("m") / TILE).cast("int").alias("down")), "sides")
-    left = index.join(sides, "bucket").withColumn("x", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("across")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
-    right = probes.join(sides, "bucket").withColumn("y", F.pmod(F.xxhash64("query"), F.col("down")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    at = ["bucket", "x", "y"]
-    near = left.select(*at, "ids", "v").groupBy(*at).cogroup(right.select(*at, "query", "v").groupBy(*at)).applyInArrow(_tile(k + 1), "query long, id long, score double")
+    asking = classes.where("asked").select("query", "v")
+    probes = asking.repartition(4 * partitions(spark)).mapInArrow(_probe(tables, functions, cosine, chance), "bucket long, query long")
+    # a large bucket has parts, each in a shard of its own; queries learn of them, and of empty buckets, by a join
+    sizes = cut(index.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
+    shards, rounds = max(LEAST_SHARDS, -(-n * tables // SHARD)), max(1, -(-asking.count() // TOGETHER))
+    to_shard = F.pmod(F.xxhash64("bucket", "part"), F.lit(shards)).cast("int").alias("shard")
+    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int")
+    left = index.join(sizes, "bucket").withColumn("part", part).select(to_shard, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "bucket", "ids", "v")
+    visits = probes.join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(to_shard, "query", "bucket")
+    visits = visits.groupBy("shard", "query").agg(F.collect_set("bucket").alias("buckets")).join(asking, "query")
+    right = visits.select("shard", F.pmod(F.xxhash64("query"), F.lit(rounds)).cast("int").alias("round"), "query", "buckets", "v")
+    at = ["shard", "round"]
+    near = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_search(k + 1), "query long, id long, score double")
     merged = near.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     merged = cut(merged.withColumn("_n", best).where(F.col("_n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("score", "id")).alias("near")), "nearest")
-    drop(index, probes, sides)
+    drop(index, sizes)
     asked = packed.where("is_query").select("id", "v").distinct().join(classes.select("v", "query"), "v").select(F.col("id").alias("query_id"), "query")
     order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).otherwise(1)
     own = asked.join(merged, "query").select("query_id", F.slice(F.array_sort(F.filter("near", lambda x: x["id"] != F.col("query_id")), order), 1, k).alias("near"))

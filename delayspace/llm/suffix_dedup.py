@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,17 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("anchor", p
 _PACKED_SQL = "bucket int, docs binary, anchor binary, content binary, ix binary, start binary, many binary, settled binary, bytes binary"
 
 
+def _low(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _number(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((len(data) // n, 8), np.uint8)
+    wide[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return wide.view("<u8").ravel()
+
+
 def _pack(bucket, docs, anchor, content, ix, start, many, settled, text=None):
     """Rows for the buckets of these snippets. docs: (id, text hash) rows that ix points to; text: the snippets' bytes."""
     order = np.argsort(bucket, kind="stable")
@@ -199,7 +211,7 @@ def _pack(bucket, docs, anchor, content, ix, start, many, settled, text=None):
         if not len(part):
             continue
         used, own = np.unique(ix[part], return_inverse=True)
-        rows.append((int(bucket[part[0]]), docs[used].astype("<i8").tobytes(), np.ascontiguousarray(anchor[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), content[part].astype("<u8").tobytes() if content is not None else b"", own.astype("<u4").tobytes(), start[part].astype("<i4").tobytes(), many[part].astype(np.uint8).tobytes(), np.packbits(settled[part]).tobytes(), b"".join([text[i] for i in part]) if text is not None else b""))
+        rows.append((int(bucket[part[0]]), docs[used].astype("<i8").tobytes(), _low(anchor[part], 5), _low(content[part], 6) if content is not None else b"", own.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), start[part].astype("<i4").tobytes(), many[part].astype(np.uint8).tobytes(), np.packbits(settled[part]).tobytes(), b"".join([text[i] for i in part]) if text is not None else b""))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
 
 
@@ -208,13 +220,11 @@ def _unpack(table: pa.Table):
     docs, anchor, content, ix, start, many, settled, text, base = [], [], [], [], [], [], [], [], 0
     for r in table.to_pylist():
         d = np.frombuffer(r["docs"], "<i8").reshape(-1, 2)
-        a = np.frombuffer(r["anchor"], np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(a), 8), np.uint8)
-        wide[:, :5] = a
+        a = _number(r["anchor"], 5)
         docs.append(d)
-        anchor.append(wide.view("<u8").ravel())
-        content.append(np.frombuffer(r["content"], "<u8"))
-        ix.append(np.frombuffer(r["ix"], "<u4").astype(np.int64) + base)
+        anchor.append(a)
+        content.append(_number(r["content"], 6))
+        ix.append(np.frombuffer(r["ix"], "<u2" if len(d) <= 1 << 16 else "<u4").astype(np.int64) + base)
         start.append(np.frombuffer(r["start"], "<i4"))
         many.append(np.frombuffer(r["many"], np.uint8).astype(np.int64))
         settled.append(np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=len(a)).astype(bool))
@@ -262,12 +272,12 @@ def _hash_pieces(n_buckets: int, width: int, gram: int):
     return run
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("settled", pa.bool_())])
-_FOUND_SQL = "id long, th long, anchor long, a int, b int, settled boolean"
+_FOUND = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("anchor", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("settled", pa.bool_())])
+_FOUND_SQL = "id long, th int, anchor long, a int, b int, settled boolean"
 
 
 def _found(docs, ix, anchor, a, b, settled) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(docs[ix, 0]), pa.array(docs[ix, 1]), pa.array(anchor.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(settled)], schema=_FOUND)
+    return pa.Table.from_arrays([pa.array(docs[ix, 0]), pa.array(docs[ix, 1].astype(np.int32)), pa.array(anchor.astype(np.int64), mask=settled), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(settled)], schema=_FOUND)
 
 
 def _match_hashes(width: int):
@@ -387,9 +397,25 @@ def _kept_batches(digest: bool):
 
 
 def _free(spark) -> None:
-    """Let Spark delete the shuffle files of what was written: it does when the driver's objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of what was written: it does soon after the driver's objects are collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _by_anchor(packed: DataFrame, each, label: str) -> DataFrame:
+    """What ``each`` makes of every bucket, as a table; the exchange is gone when this returns."""
+    spark, out = packed.sparkSession, cut(packed.groupBy("bucket").applyInArrow(each, _FOUND_SQL), label)
+    del packed
+    _free(spark)
+    return out
+
+
+def _with(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """Documents with what was found in them, as a list ``asked``."""
+    lists = found.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    return docs.join(lists, ["id", "th"]).select("id", "th", "text", "asked")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
@@ -400,19 +426,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat an id are not smaller than one another. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_buckets = max(4 * partitions(spark), -(-size // BUCKET))
     whole = slim.where("id IS NOT NULL")
-    hashed = whole.mapInArrow(_hash_pieces(n_buckets, width, gram), _PACKED_SQL)
-    first = cut(hashed.groupBy("bucket").applyInArrow(_match_hashes(width), _FOUND_SQL), "anchors")
-    _free(spark)
-    asked = first.where("NOT settled").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("asked"))
-    wanted = whole.join(asked, ["id", "th"]).select("id", "th", "text", "asked")
-    second = cut(wanted.mapInArrow(_cut_snippets(n_buckets, width), _PACKED_SQL).groupBy("bucket").applyInArrow(_sort_shard(width), _FOUND_SQL), "strings")
-    _free(spark)
-    stretches = first.where("settled").select("id", "th", "a", "b").union(second.select("id", "th", "a", "b"))
-    found = cut(stretches.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found")), "stretches")
+    first = _by_anchor(whole.mapInArrow(_hash_pieces(n_buckets, width, gram), _PACKED_SQL), _match_hashes(width), "anchors")
+    second = _by_anchor(_with(whole, first.where("NOT settled"), "anchor", "a", "b").mapInArrow(_cut_snippets(n_buckets, width), _PACKED_SQL), _sort_shard(width), "strings")
+    settled = first.where("settled").union(second)
+    found = cut(settled.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found")), "stretches")
+    del settled
     drop(first, second)
     _free(spark)
     return (

@@ -16,6 +16,7 @@ import json
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Words whose encoding a task keeps, and transitions; beyond that it starts anew.
 KEEP = 400_000
+#: Characters of decoded text that a task gathers before it hands them on.
+HELD = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -227,11 +230,23 @@ def _digests(path: str):
 def _encoded(path: str):
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
+    def rows(held):
+        ids, decoded = [np.fromstring(i, np.int32, sep=" ") for _, i, _ in held], [d for _, _, d in held]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], schema=schema)
+
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
-            ids = [bpe.encode(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], schema=schema)
+            held, size = [], 0
+            for id_, t in zip(b.column(0), b.column(1), strict=True):
+                p = bpe.pieces(t.as_py())
+                held.append((id_.as_py(), " ".join([x[1] for x in p]), " ".join([x[2] for x in p])))
+                size += len(held[-1][2])
+                if size > HELD:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
 
     return run
 

@@ -24,7 +24,7 @@ from .common import cut, drop, partitions
 
 WIDTH, GRAM = 50, 16
 #: Bytes that a task hashes at once, and of documents for each bucket of anchors, about.
-PIECE, BUCKET = 2 << 20, 24 << 20
+PIECE, BUCKET = 1 << 19, 16 << 20
 #: Bytes whose suffixes are sorted at once, about; a larger group of snippets with one anchor is sorted as one.
 SHARD = 1 << 20
 
@@ -428,7 +428,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n_buckets = max(4 * partitions(spark), -(-size // BUCKET))
+    n_buckets = max(partitions(spark), -(-size // BUCKET))
     whole = slim.where("id IS NOT NULL")
     first = _by_anchor(whole.mapInArrow(_hash_pieces(n_buckets, width, gram), _PACKED_SQL), _match_hashes(width), "anchors")
     second = _by_anchor(_with(whole, first.where("NOT settled"), "anchor", "a", "b").mapInArrow(_cut_snippets(n_buckets, width), _PACKED_SQL), _sort_shard(width), "strings")

@@ -90,17 +90,18 @@ def ccm(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "", t
     asked for, those with fewer than k eligible neighbours are left out.
     """
     given = {k: v for k, v in locals().items() if k not in ("dataFrame", "spark", "pathIn", "dataFile", "pathOut", "predictFile", "parameterList")}
-    df, order = resolve_input(spark, dataFrame, dataFile, pathIn)
+    df, order = (dataFrame.df.drop(ROW), None) if isinstance(dataFrame, Series) else resolve_input(spark, dataFrame, dataFile, pathIn)
     spark = df.sparkSession
     a, b = split_columns(columns), split_columns(target)
     if not a or not b:
         raise ValueError("ccm: columns and target are needed")
-    valid_frame(df, a, b, noTime)
+    if not isinstance(dataFrame, Series):
+        valid_frame(df, a, b, noTime)
     if embedded:
         E = len(a)
     else:
         check_embedding(df.columns, [*a, *b], E, tau, "ccm")
-    series = load(df, noTime, order, keep=[*a, *b, *columns_in(validLib, df)])
+    series = dataFrame if isinstance(dataFrame, Series) else load(df, noTime, order, keep=[*a, *b, *columns_in(validLib, df)])
     sizes = library_sizes(libSizes, series.n)
     valid = valid_rows(series, validLib)
     names = [f"{a[0]}:{b[0]}", f"{b[0]}:{a[0]}"]

@@ -66,12 +66,13 @@ def multiview(dataFrame: DataFrame | None = None, columns: str | Sequence[str] =
     order. A row whose forecast some view lacks has none. ``excludeTarget`` keeps the target's own lags out of the views.
     """
     given = {k: v for k, v in locals().items() if k not in ("dataFrame", "spark", "pathIn", "dataFile", "pathOut", "predictFile", "parameterList")}
-    df, order = resolve_input(spark, dataFrame, dataFile, pathIn)
+    df, order = (dataFrame.df.drop(ROW), None) if isinstance(dataFrame, Series) else resolve_input(spark, dataFrame, dataFile, pathIn)
     spark = df.sparkSession
     cols, tgt = split_columns(columns), split_columns(target)[0]
-    valid_frame(df, cols, [tgt], noTime)
+    if not isinstance(dataFrame, Series):
+        valid_frame(df, cols, [tgt], noTime)
     check_embedding(df.columns, cols, E, tau, "multiview")
-    series = load(df, noTime, order, keep=[*cols, tgt])
+    series = dataFrame if isinstance(dataFrame, Series) else load(df, noTime, order, keep=[*cols, tgt])
     if not lib and not pred and trainLib:
         lib, pred = (1, series.n // 2), (series.n // 2 + 1, series.n)
     used = [c for c in cols if not (excludeTarget and c == tgt)]

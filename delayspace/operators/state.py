@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.args import split_columns
 from ..plans.index import Indices, create_indices, within
-from ..sources.series import ROW, Series, load, quoted, resolve_input, shifted, valid_frame
+from ..sources.series import ROW, Series, load, quoted, resolve_input, shifted, valid_columns, valid_frame
 from .embed import check_embedding, lag_columns, lag_names
 
 
@@ -84,18 +84,20 @@ def valid_rows(series: Series, validLib: Column | Sequence[bool] | None) -> Data
 
 
 def prepare(name: str, spark, dataFrame, columns, target, lib, pred, E, Tp, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile) -> State:
-    df, order = resolve_input(spark, dataFrame, dataFile, pathIn)
     columns, targets = split_columns(columns), split_columns(target)
     if not columns or not targets:
         raise ValueError(f"{name}: columns and target are needed")
-    valid_frame(df, columns, targets[:1], noTime)
+    df, order = (dataFrame.df.drop(ROW), None) if isinstance(dataFrame, Series) else resolve_input(spark, dataFrame, dataFile, pathIn)
+    if isinstance(dataFrame, Series):
+        valid_columns(df, columns, targets[:1])
+    else:
+        valid_frame(df, columns, targets[:1], noTime)
     if embedded:
         E, names = len(columns), list(columns)
     else:
         check_embedding(df.columns, columns, E, tau, name)
         names = lag_names(columns, E, tau)
-    extra = columns_in(validLib, df)
-    series = load(df, noTime, order, keep=[*columns, targets[0], *extra])
+    series = dataFrame if isinstance(dataFrame, Series) else load(df, noTime, order, keep=[*columns, targets[0], *columns_in(validLib, df)])
     indices = create_indices(lib, pred, E, tau, Tp, embedded, series.n, name)
     vectors = vectors_of(series, columns, targets[0], E, tau, Tp, embedded)
     if not ignoreNan and not vectors.where((within(indices.lib, F.col(ROW)) | within(indices.pred, F.col(ROW))) & ~F.col("ok")).isEmpty():

@@ -54,13 +54,16 @@ def resolve_input(spark: SparkSession, dataFrame: DataFrame | None = None, dataF
     return dataFrame, None
 
 
-def valid_frame(df: DataFrame, columns: Sequence[str] = (), target: Sequence[str] = (), no_time: bool = False) -> None:
-    """Raise unless the frame has rows, numeric columns (but for the time), and the columns named."""
-    names = df.columns
-    missing = [c for c in (*columns, *target) if c not in names]
+def valid_columns(df: DataFrame, columns: Sequence[str], target: Sequence[str] = ()) -> None:
+    missing = [c for c in (*columns, *target) if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
-    if not no_time and len(names) < 2:
+
+
+def valid_frame(df: DataFrame, columns: Sequence[str] = (), target: Sequence[str] = (), no_time: bool = False) -> None:
+    """Raise unless the frame has rows, numeric columns (but for the time), and the columns named."""
+    valid_columns(df, columns, target)
+    if not no_time and len(df.columns) < 2:
         raise ValueError("a time column and at least one other are expected")
     wrong = [f.name for f in df.schema[0 if no_time else 1 :] if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     if wrong:

@@ -29,20 +29,21 @@ LEAF = 192
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    flat, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        shingles = [b" ".join(words)]
-        hashes = np.array([xxhash.xxh64_intdigest(shingles[0], SEED)], dtype=np.uint64)
-    else:
-        flat = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = xxhash.xxh64_intdigest
-        hashes = np.fromiter((h(flat[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(words) - width + 1)
+        return np.array([h(flat, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.fromiter((h(flat[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -51,6 +52,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def _fingerprints(width: int):
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
@@ -248,11 +254,119 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fp.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id; all columns as they were.
+# Similar texts, of which a radius of a few bits finds only the nearest, take longer fingerprints. The empty text is the
+# vantage point of their upper tree: it is as far from a text as that has shingles, and texts of a similarity are in
+# neighbouring rings around it. Within rings no vantage point prunes at so wide a radius, so rings are compared block by block.
+
+WORDS = 4
+#: Texts of a block at most, and at least; between them, a share of all.
+BLOCK, LEAST_BLOCK, BLOCKS = 40_000, 500, 64
+
+
+def long_fingerprint(text: str | None, width: int) -> tuple[bytes, int]:
+    """256-bit SimHash over the distinct word shingles, and their number."""
+    h = np.unique(shingle_hashes(text, width))
+    parts, mixed = [], h
+    for _ in range(WORDS):
+        parts.append(majority(mixed))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+    return np.array(parts, "<u8").tobytes(), len(h)
+
+
+def bits_of(similarity: float, slack: float = 1.0) -> int:
+    """Differing bits at which texts link: those expected at a Jaccard similarity, and ``slack`` standard deviations."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WORDS
+    return int(n * angle + slack * np.sqrt(n * angle * (1 - angle)))
+
+
+def _long_fingerprints(width: int):
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("size", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            got = [long_fingerprint(t.as_py(), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32())], schema=schema)
+
+    return run
+
+
+def similar_links(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int, ratio: float) -> np.ndarray:
+    """Root position of each row (words of fingerprints) over links between ``left`` and ``right`` rows whose sizes are within ``ratio``."""
+    forest = Forest(len(fps))
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    a, b = a[np.argsort(size[a], kind="stable")], b[np.argsort(size[b], kind="stable")]
+    first, second, step = fps[:, 0].copy(), fps[:, 1].copy(), 64
+    for at in range(0, len(a), step):
+        q = a[at : at + step]
+        lo, hi = np.searchsorted(size[b], size[q[0]] / ratio, "left"), np.searchsorted(size[b], size[q[-1]] * ratio, "right")
+        for start in range(lo, hi, 2_048):
+            c = b[start : min(hi, start + 2_048)]
+            # half of the words already exceed the bound for all but related texts
+            d = np.bitwise_count(first[q, None] ^ first[None, c])
+            d += np.bitwise_count(second[q, None] ^ second[None, c])
+            i, j = np.nonzero(d <= bits)
+            x, y = q[i], c[j]
+            rest = sum(np.bitwise_count(fps[x, k] ^ fps[y, k]).astype(np.int64) for k in range(2, WORDS)) + d[i, j]
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            ok = (x != y) & (rest <= bits) & (large <= ratio * small)
+            forest.join(x[ok], y[ok])
+    return forest.roots(np.arange(len(fps)))
+
+
+def _link_blocks(bits: int, ratio: float):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("fp").combine_chunks().to_pylist()
+        if len(names) < 2:
+            return schema.empty_table()
+        of = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        root = similar_links(np.frombuffer(b"".join(names), "<u8").reshape(-1, WORDS), of("size").astype(np.int64), of("left"), of("right"), bits, ratio)
+        tied = np.flatnonzero(root != np.arange(len(names)))
+        return pa.Table.from_arrays([pa.array([names[i] for i in tied], pa.binary()), pa.array([names[i] for i in root[tied]], pa.binary())], schema=schema)
+
+    return run
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each row of ``docs``: id, component_id, by chains of texts that are ``similarity`` alike in their word shingles.
+
+    The similarity is that which 256-bit fingerprints show, with a standard deviation of slack. Texts that have shingles in a ratio
+    that no such pair can have are never compared. Texts without words are alike. Null ids get a class but never name one, unless no
+    other row is in it. Repeated rows share their class; an empty table gives an empty result.
+    """
+    bits, ratio = bits_of(similarity), 1 / similarity
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    fp = cut(slim.mapInArrow(_long_fingerprints(width), "id long, fp binary, size int"), "fingerprints")
+    classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least"), F.min("size").alias("size")), "distinct")
+    ring = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(ratio))).cast("int")
+    ringed = classes.select("fp", "size", ring.alias("ring"))
+    # rings are as many as the logarithm of the longest text
+    count = {r["ring"]: r["n"] for r in ringed.groupBy("ring").agg(F.count("*").alias("n")).collect()}
+    block = min(BLOCK, max(LEAST_BLOCK, sum(count.values()) // BLOCKS))
+    blocks = {r: -(-n // block) for r, n in count.items()}
+    pairs = [(r, i, s, j) for r, n in blocks.items() for s in (r, r + 1) if s in blocks for i in range(n) for j in range(i if s == r else 0, blocks[s])]
+    sides = [(k, r, i, True, (s, j) == (r, i)) for k, (r, i, s, j) in enumerate(pairs)] + [(k, s, j, False, True) for k, (r, i, s, j) in enumerate(pairs) if (s, j) != (r, i)]
+    spark = docs.sparkSession
+    table = spark.createDataFrame(sides or [(0, 0, 0, False, False)], "pair int, ring int, part int, left boolean, right boolean")
+    many = spark.createDataFrame(sorted(blocks.items()) or [(0, 1)], "ring int, parts int")
+    parted = ringed.join(F.broadcast(many), "ring").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = parted.join(F.broadcast(table) if len(sides) <= 100_000 else table, ["ring", "part"]).select("pair", "fp", "size", "left", "right")
+    links = cut(dealt.groupBy("pair").applyInArrow(_link_blocks(bits, ratio), "a binary, b binary"), "links")
+    parts = connected_components(links)
+    labelled = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = cut(labelled.join(named, "component").select("fp", "component_id"), "classes")
+    return fp.join(whole, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each class of :func:`similar_classes`, that with the smallest id; all columns as they were.
 
     Rows without an id stay, as nothing tells them apart.
     """
-    first = near_classes(docs, id_col, text_col, width, radius).where("component_id IS NULL OR component_id = " + f"`{id_col}`")
-    ids = first.select(F.col(id_col).alias("_id_")).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_id_"]), "left_semi")
+    first = similar_classes(docs, id_col, text_col, width, similarity)
+    gone = first.where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("_id_")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["_id_"], "left_anti")

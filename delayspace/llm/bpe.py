@@ -46,13 +46,16 @@ class Automaton:
         #: State of a token: parent state and rank (the gadget); its first piece and rank, for arcs that enter by it.
         self.last: dict[int, tuple[int, int]] = {}
         self.first: dict[int, tuple[int, int]] = {}
+        made = {i for t, i in vocab.items() if len(t.removesuffix(end)) == 1}
         for r, (x, y, xy) in enumerate(ids):
-            self.rank.setdefault(x << 32 | y, r)
-            if xy not in self.last:  # a second way to the same string never happens before the first
+            self.rank.setdefault(x << 20 | y, r)
+            # the gadget adds an arc only where nothing of lower rank would have joined x and y otherwise
+            if xy not in made and x in made and y in made and self._arc(x, y, r):
+                made.add(xy)
                 self.last[xy], self.first[xy] = (y, r), (x, r)
         #: For each beginning of a token: the token that it is within a word and the one that it is at a word's end, or None.
-        inner = {t: i for t, i in vocab.items() if not t.endswith(end)}
-        final = {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)}
+        inner = {t: i for t, i in vocab.items() if i in made and not t.endswith(end)}
+        final = {t.removesuffix(end): i for t, i in vocab.items() if i in made and t.endswith(end)}
         self.spelt = {t[:i]: (inner.get(t[:i]), final.get(t[:i])) for t in [*inner, *final] for i in range(1, len(t) + 1)}
         self.arcs: dict[int, bool] = {}
 
@@ -66,7 +69,8 @@ class Automaton:
             known = self.arcs[key] = self._arc(t, v)
         return known
 
-    def _arc(self, t: int, v: int) -> bool:
+    def _arc(self, t: int, v: int, below: int = 1 << 60) -> bool:
+        """Worked out from the merges of a rank below ``below``."""
         never = 1 << 60
         heads, piece, until = [], v, never
         while True:
@@ -77,9 +81,9 @@ class Automaton:
         piece, until = t, never
         while True:
             for head, head_until in heads:
-                r = self.rank.get(piece << 32 | head)
+                r = self.rank.get(piece << 20 | head)
                 # at the same rank the leftmost pair goes first: that within t before, that within v after this one
-                if r is not None and r < until and r <= head_until:
+                if r is not None and r < below and r < until and r <= head_until:
                     return False
             if piece not in self.last:
                 return True

@@ -128,13 +128,16 @@ def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndar
 
     One bucket at a time, against all queries that asked for it; only the best so far are kept.
     """
+    # a class that several tables bring stands once
+    _, once, of = np.unique([x[0] for x in ids], return_index=True, return_inverse=True)
+    candidates, ids = candidates[once], [ids[x] for x in once]
     q, c = _unit(queries), _unit(candidates)
     # among equal cosines, the class with the smaller first id
-    later = np.argsort(np.argsort([x[0] for x in ids])) * (1e-13 / max(1, len(ids)))
+    later = np.arange(len(ids)) * (1e-13 / max(1, len(ids)))
     best, best_at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
-    members = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
+    members = {n: np.unique(of[rows]) for n, rows in zip(names.tolist(), np.split(order, first[1:]), strict=True)}
     who = np.repeat(np.arange(len(q)), [len(a) for a in asked])
     wanted = np.concatenate(asked) if len(asked) else np.zeros(0, np.int64)
     by = np.argsort(wanted, kind="stable")
@@ -147,7 +150,7 @@ def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndar
             r = rows[lo : lo + 2_048]
             s = np.concatenate((best[r], q[r] @ c[there].T - later[there]), axis=1)
             at = np.concatenate((best_at[r], np.broadcast_to(there, (len(r), len(there)))), axis=1)
-            # a class met again through another table stands twice: the second one goes
+            # a class met again is known
             s[:, k:][(at[:, k:, None] == at[:, None, :k]).any(axis=2)] = -np.inf
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             best[r], best_at[r] = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)

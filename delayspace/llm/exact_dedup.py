@@ -72,9 +72,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without its exact copies, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_place_", F.monotonically_increasing_id())
-    found = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_sha_"] == kept["_sha"]), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col, "_sha_").orderBy("_place_"))
-    return found.withColumn("_first_", first).where("_first_ = 1").select(docs.columns)
+    """``docs`` without its exact copies, all columns as they were.
+
+    Texts move once, to meet the list of rows that go. Only where rows repeat an id with its text, which that
+    list cannot tell apart, are they numbered as well.
+    """
+    decided = cut(exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_id"), "keep_id", F.col("text_sha256").alias("_sha")), "copies")
+    other = ~F.col("_id").eqNullSafe(F.col("keep_id"))
+    marked = docs.withColumn("_sha_", F.sha2(normalised(F.col(text_col)), 256))
+    gone = decided.where(other).select("_id", "_sha")
+    out = marked.join(gone, marked[id_col].eqNullSafe(gone["_id"]) & (marked["_sha_"] == gone["_sha"]), "left_anti")
+    if not decided.where(~other).isEmpty():
+        first = F.row_number().over(W.partitionBy(id_col, "_sha_").orderBy(F.monotonically_increasing_id()))
+        out = out.withColumn("_first_", first).where("_first_ = 1")
+    return out.select(docs.columns)

@@ -151,10 +151,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     same = ["_id_", "_h_"]
     copies = mix_sources(docs, id_col, text_col, source_col, **how).select(F.col(id_col).alias("_id_"), F.col("row_hash").alias("_h_"), F.col("copies").alias("_n_"))
-    copies = copies.groupBy(*same).agg(F.sum("_n_").alias("_n_"), F.count("*").alias("_rows_"))
-    marked = docs.withColumn("_did_", F.col(id_col).cast("long")).withColumn("_dh_", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_at_", F.monotonically_increasing_id())
-    found = marked.join(copies, marked["_did_"].eqNullSafe(copies["_id_"]) & (marked["_dh_"] == copies["_h_"]))
-    turn = F.row_number().over(W.partitionBy("_did_", "_dh_").orderBy("_at_"))
-    own = F.floor(F.col("_n_") / F.col("_rows_")) + (F.col("_turn_") <= F.col("_n_") % F.col("_rows_")).cast("long")
-    many = found.withColumn("_turn_", turn).withColumn("_own_", own.cast("int")).where("_own_ > 0")
-    return many.withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_own_")))).select(docs.columns)
+    copies = cut(copies.groupBy(*same).agg(F.sum("_n_").cast("int").alias("_n_"), F.count("*").cast("int").alias("_rows_")), "copies")
+    taken = copies.where("_n_ > 0")
+    marked = docs.withColumn("_did_", F.col(id_col).cast("long")).withColumn("_dh_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = marked.join(taken, marked["_did_"].eqNullSafe(taken["_id_"]) & (marked["_dh_"] == taken["_h_"]))
+    own = F.col("_n_")
+    if not copies.where("_rows_ > 1").isEmpty():
+        # rows that repeat id and text share out what was taken of them
+        turn = F.row_number().over(W.partitionBy("_did_", "_dh_").orderBy(F.monotonically_increasing_id()))
+        found = found.withColumn("_turn_", turn)
+        own = (F.floor(F.col("_n_") / F.col("_rows_")) + (F.col("_turn_") <= F.col("_n_") % F.col("_rows_")).cast("int")).cast("int")
+    return found.withColumn("_own_", own).where("_own_ > 0").withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_own_")))).select(docs.columns)

@@ -88,8 +88,8 @@ def _tile(dims: int, k: int, radius: int, carry: Sequence[str]):
 def tiled_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius: int, n_pred: int, n_lib: int, carry: Sequence[str] = ()) -> DataFrame:
     """As :func:`neighbors`, over tiles: neither side is ever in one place. Carried columns are doubles."""
     down, across = max(1, -(-n_pred // TILE)), max(1, -(-n_lib // TILE))
-    left = pred.select(F.pmod(F.col("p"), F.lit(down)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), "p", *[f"a{j}" for j in range(dims)])
-    right = lib.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long").alias("y"), F.pmod(F.col("l"), F.lit(across)).cast("int").alias("x"), "l", *[f"b{j}" for j in range(dims)], *carry)
+    left = pred.select(F.pmod(F.col("p"), F.lit(down)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), "p", *[f"a{j}" for j in range(dims)])
+    right = lib.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.pmod(F.col("l"), F.lit(across)).cast("int").alias("x"), "l", *[f"b{j}" for j in range(dims)], *carry)
     schema = "p long, l long, d double" + "".join(f", {c} double" for c in carry)
     best = left.groupBy("y", "x").cogroup(right.groupBy("y", "x")).applyInArrow(_tile(dims, k, radius, carry), schema)
     return ranked_neighbors(best, k, ()).select("p", "l", "d", "rank", *carry)

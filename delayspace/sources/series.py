@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def valid_frame(df: DataFrame, columns: Sequence[str] = (), target: Sequence[str
 def load(df: DataFrame, no_time: bool = False, order: list[Column] | None = None, keep: Sequence[str] | None = None) -> Series:
     """Number the rows of one series by ``order``, by default the first column; NaN becomes null.
 
-    Only ``keep`` columns are read on. Up to ONE_TASK rows are numbered by one window; more by ranges, of which only
+    Only ``keep`` columns are read on, once: they stay in memory, or on disk, for all that is worked out from them. Up to ONE_TASK rows are numbered by one window; more by ranges, of which only
     counts come to the driver.
     """
     time = "Time" if no_time else df.columns[0]
@@ -86,6 +87,7 @@ def load(df: DataFrame, no_time: bool = False, order: list[Column] | None = None
     shown = [] if no_time else [quoted(time).alias(time)]
     picked = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], *shown, *[clean(quoted(c)).alias(c) for c in values if no_time or c != time])
     names = [f"_k{i}" for i in range(len(keys))]
+    picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
     n = picked.count()
     if n <= ONE_TASK:
         numbered = picked.withColumn(ROW, F.row_number().over(W.orderBy(*names)).cast("long"))

@@ -23,9 +23,9 @@ def slots(indices: Indices, Tp: int, n: int) -> list[tuple[int, int, int, int, i
     return out
 
 
-def time_of(series: Series) -> Column:
+def time_of(series: Series, beyond: bool = True) -> Column:
     """The row's time; numeric ones go on beyond both ends with the step of the first two rows, others are null there."""
-    if not isinstance(series.time_type, T.NumericType):
+    if not beyond or not isinstance(series.time_type, T.NumericType):
         return quoted(series.time)
     kind = series.time_type.simpleString()
     ends = {r[ROW]: r[series.time] for r in series.df.where(F.col(ROW).isin(1, 2, series.n)).select(ROW, quoted(series.time)).collect()}
@@ -48,7 +48,7 @@ def layout(series: Series, target: str, predictions: DataFrame, indices: Indices
     out = placed.select(
         "segment",
         ROW,
-        time_of(series),
+        time_of(series, any(lo < 1 or hi > series.n for _, lo, hi, *_ in table)),
         F.when(F.col(ROW).between(F.col("olo"), F.col("ohi")), F.col("_obs")).alias("Observations"),
         F.when(own, F.col("_pred")).alias("Predictions"),
         F.when(own, F.col("_var")).alias("Pred_Variance"),

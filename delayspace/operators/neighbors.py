@@ -32,13 +32,17 @@ def euclidean(dims: int, a: str = "a", b: str = "b") -> Column:
     return F.sqrt(total)
 
 
-def ranked_neighbors(pairs: DataFrame, k: int | Column, keys: Sequence[str]) -> DataFrame:
-    """The k nearest of (keys, p, l, d, ..): ties by |p - l|, then l; with their ``rank``."""
+def ranked_neighbors(pairs: DataFrame, k: int | Column, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """The k nearest of (keys, p, l, d, ..): ties by |p - l|, then l; with their ``rank``.
+
+    Where k is a column, ``most`` is a number that it never exceeds: up to that, rows are dropped before they are shuffled.
+    """
     w = W.partitionBy(*keys, "p").orderBy("d", F.abs(F.col("p") - F.col("l")), "l")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).where(F.col("rank") <= k)
 
 
-def neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int | Column, radius: int | Column, n_pred: int | None = None, n_lib: int | None = None, keys: Sequence[str] = (), carry: Sequence[str] = (), most: Column | None = None) -> DataFrame:
+def neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int | Column, radius: int | Column, n_pred: int | None = None, n_lib: int | None = None, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """(keys, p, l, d, rank, carry) with p, a0.. of ``pred`` and l, b0.., carry of ``lib``; keys join both.
 
     ``n_pred`` and ``n_lib`` bound the rows; without them, or beyond the limits above, tiles are used where radius and

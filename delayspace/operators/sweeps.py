@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import compute_error
+from ..plans.index import within
 from ..sources.series import ROW, quoted
 from .layout import slots
-from .neighbors import neighbors, ranked_neighbors
+from .neighbors import BROADCAST, PAIRS, neighbors, ranked_neighbors
 from .simplex import project
 from .smap import local_maps
 from .state import State, prepare
@@ -20,14 +21,41 @@ RADII = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 25, 30)
 THETAS = (0.01, 0.1, 0.3, 0.5, 0.75, 1, 1.5, 2, 3, 4, 5, 6, 7, 8, 9)
 
 
-def observed(state: State, projected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, Observations, Predictions) where the layout has both."""
+def placed(state: State) -> Column:
+    """Whether the layout of a forecast has both an observation and a prediction at a row."""
     on = F.lit(False)
     for _, _, _, olo, ohi, plo, phi in slots(state.indices, state.Tp, state.series.n):
         on = on | ((F.col(ROW) - state.Tp).between(plo, phi) & F.col(ROW).between(olo, ohi))
+    return on
+
+
+def observed(state: State, projected: DataFrame, keys: Sequence[str], on: Column | None = None, ahead: Column | None = None) -> DataFrame:
+    """(keys, Observations, Predictions) where the layout has both."""
     seen = state.series.df.select(ROW, quoted(state.target).alias("Observations"))
-    placed = projected.select(*keys, (F.col("p") + state.Tp).alias(ROW), F.col("pred").alias("Predictions")).where(on)
-    return placed.join(seen, ROW).select(*keys, "Observations", "Predictions")
+    at = (F.col("p") + (F.lit(state.Tp) if ahead is None else ahead)).alias(ROW)
+    rows = projected.select(*keys, at, F.col("pred").alias("Predictions")).where(placed(state) if on is None else on)
+    return rows.join(seen, ROW).select(*keys, "Observations", "Predictions")
+
+
+def swept_pairs(states: list[State], radius: int) -> DataFrame:
+    """Pairs (p, l, a0.., b0..) of rows that any of the states predicts and has in its library; the widest state comes last."""
+    widest, row = states[-1], F.col(ROW)
+    some = lambda part: reduce(lambda x, y: x | y, [within(getattr(s.indices, part), row) for s in states])
+    v = widest.vectors
+    names = [c for c in v.columns if c not in (ROW, "ok")]
+    lags = [c for c in names if c.startswith("v")]
+    left = v.where(some("pred")).select(row.alias("p"), *[F.col(c).alias(f"a{c[1:]}") for c in lags])
+    lib = v.where(some("lib"))
+    if widest.valid is not None:
+        lib = lib.join(widest.valid, ROW, "left_semi")
+    right = lib.select(row.alias("l"), *[F.col(c).alias(f"b{c[1:]}") for c in lags], *[c for c in names if c not in lags])
+    small = max(s.indices.n_lib for s in states) <= BROADCAST
+    return left.join(F.broadcast(right) if small else right, F.abs(F.col("p") - F.col("l")) > radius)
+
+
+def small_enough(states: list[State]) -> bool:
+    """Whether one theta join does for all states."""
+    return len(states) * max(s.indices.n_lib for s in states) * max(s.indices.n_pred for s in states) <= PAIRS
 
 
 def _rho(parts: list[DataFrame], key: str, kind: str) -> DataFrame:
@@ -42,23 +70,52 @@ def _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime
 def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxE: int = 10, Tp: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
     """(E, rho): Simplex skill for E = 1 .. maxE, each with E + 1 neighbours."""
     at = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
-    parts = []
-    for E in range(1, maxE + 1):
-        s = at("embed_dimension", E, Tp)
-        near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
-        parts.append(observed(s, project(near), []).withColumn("E", F.lit(E)))
-    return _rho(parts, "E", "int")
+    widest = at("embed_dimension", maxE, Tp)
+    again = _args(widest.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
+    states = [again("embed_dimension", E, Tp) for E in range(1, maxE)] + [widest]
+    if embedded or not small_enough(states):
+        parts = []
+        for E, s in enumerate(states, 1):
+            near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
+            parts.append(observed(s, project(near), []).withColumn("E", F.lit(E)))
+        return _rho(parts, "E", "int")
+    # the lags of a smaller E are among those of the largest: one join, and a distance for each E
+    n = widest.dims // maxE
+    each = []
+    for s in states:
+        used = [c * maxE + k for c in range(n) for k in range(s.E)]
+        total = reduce(lambda x, y: x + y, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in used])
+        own = within(s.indices.pred, F.col("p")) & within(s.indices.lib, F.col("l")) & total.isNotNull()
+        each.append(F.when(own, F.struct(F.lit(s.E).alias("E"), F.sqrt(total).alias("d"))))
+    seen = swept_pairs(states, exclusionRadius).select("p", "l", "y", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.E", "p", "l", "y", "x.d")
+    near = ranked_neighbors(seen, F.col("E") + 1, ["E"], maxE + 1)
+    on = reduce(lambda x, y: x | y, [(F.col("E") == s.E) & placed(s) for s in states])
+    return _rho([observed(widest, project(near, ["E"]), ["E"], on)], "E", "int")
 
 
 def predict_interval(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxTp: int = 10, E: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
     """(Tp, rho): Simplex skill for Tp = 1 .. maxTp; the library ends earlier for each."""
     at = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
-    parts = []
-    for Tp in range(1, maxTp + 1):
-        s = at("predict_interval", E, Tp)
-        near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
-        parts.append(observed(s, project(near), []).withColumn("Tp", F.lit(Tp)))
-    return _rho(parts, "Tp", "int")
+    first = at("predict_interval", E, 1)
+    again = _args(first.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
+    states = [first] + [again("predict_interval", E, Tp) for Tp in range(2, maxTp + 1)]
+    if not small_enough(states):
+        parts = []
+        for Tp, s in enumerate(states, 1):
+            near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
+            parts.append(observed(s, project(near), []).withColumn("Tp", F.lit(Tp)))
+        return _rho(parts, "Tp", "int")
+    # distances are those of one state; what a library row looks ahead to is read by its row
+    s = states[0]
+    total = reduce(lambda x, y: x + y, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in range(s.dims)])
+    each = [F.when(within(t.indices.pred, F.col("p")) & within(t.indices.lib, F.col("l")), F.lit(t.Tp)) for t in states]
+    pairs = swept_pairs(states, exclusionRadius).withColumn("d", F.sqrt(total)).where("d IS NOT NULL")
+    seen = pairs.select("p", "l", "d", F.explode(F.array_compact(F.array(*each))).alias("Tp"))
+    near = ranked_neighbors(seen, s.E + 1, ["Tp"])
+    future = s.series.df.select(F.col(ROW).alias("_at"), quoted(s.target).alias("y"))
+    near = near.join(F.broadcast(future) if s.series.n <= BROADCAST else future, F.col("_at") == F.col("l") + F.col("Tp"), "left").drop("_at")
+    on = reduce(lambda x, y: x | y, [(F.col("Tp") == t.Tp) & placed(t) for t in states])
+    return _rho([observed(s, project(near, ["Tp"]), ["Tp"], on, F.col("Tp"))], "Tp", "int")
 
 
 def predict_exclusion_radius(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", exclusionRadius: Sequence[int] | None = None, E: int = 1, Tp: int = 1, tau: int = -1, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:

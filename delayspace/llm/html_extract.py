@@ -54,17 +54,25 @@ MANY_LINKS, LONG, SHORT = 0.5, 140, 40
 MANY_STOPS, SOME_STOPS = 0.25, 0.15
 
 
+#: Marks that hold for an article too: of a reader, or of another page.
+OTHERS = frozenset("ad ads advert advertisement comment comments promo promoted related replies reply sponsored".split())
+
+
 def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in FURNITURE and not (in_article and name == "header"):
         return True
-    if not attributes.strip() or name in ("body", "html", "article", "main"):
+    if not attributes.strip() or name in ("body", "html", "main"):
         return False
+    marks = OTHERS if name == "article" else MARKS - {"header"} if in_article else MARKS
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
-        if key in ("class", "id", "role") and any(w.lower() in MARKS for w in _SPLIT.split(value)):
-            return True
+        if key in ("class", "id", "role"):
+            words = [w.lower() for w in _SPLIT.split(value)]
+            # "no-sidebar" and "with-sidebar" say that something else is one
+            if any(w in marks and before not in ("no", "with", "without", "has", "hide") for before, w in zip(["", *words], words, strict=False)):
+                return True
     return False
 
 

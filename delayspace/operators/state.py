@@ -68,11 +68,11 @@ def vectors_of(series: Series, columns: Sequence[str], target: str, E: int, tau:
     return out.select(ROW, *wanted, "y", ok.alias("ok"))
 
 
-def valid_rows(series: Series, validLib: Column | Sequence[bool] | None) -> DataFrame | None:
-    """Rows that a condition on the series' columns, or a list with a value for each row, lets into libraries."""
+def valid_rows(series: Series, validLib: Column | str | Sequence[bool] | None) -> DataFrame | None:
+    """Rows that a condition on the series' columns (a Column or SQL), or a list with a value for each row, lets into libraries."""
     if validLib is None:
         return None
-    if isinstance(validLib, Column):
+    if isinstance(validLib, (Column, str)):
         return series.df.where(validLib).select(ROW)
     rows = list(validLib)
     if not rows:
@@ -109,7 +109,7 @@ def prepare(name: str, spark, dataFrame, columns, target, lib, pred, E, Tp, tau,
 
 
 def columns_in(validLib, df: DataFrame) -> list[str]:
-    return list(df.columns) if isinstance(validLib, Column) else []
+    return list(df.columns) if isinstance(validLib, (Column, str)) else []
 
 
 def state_frames(state: State, near: DataFrame) -> dict[str, DataFrame]:

@@ -186,7 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nn_disjoint": _near(),
         "nn_loo": _near(lib="all"),
         "nn_exclusion": _near(lib="all", radius=5),
-        "nn_validlib": _near(columns="x", target="y", validLib=F.col("y") > 50),
+        "nn_validlib": _near(columns="x", target="y", validLib="y > 50"),
         "nn_disjoint_lib": _near(lib="two"),
         "nn_embedded_vectors": nn_embedded_vectors,
         "simplex_uni": _laid(),
@@ -196,7 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "simplex_tp0": _laid(columns="x", target="y", Tp=0),
         "simplex_cross_target": _laid(columns="y", target="x", E=2),
         "simplex_exclusion": _laid(columns="y", target="y", E=2, lib="all", radius=7),
-        "simplex_validlib": _laid(columns="y", target="y", E=2, validLib=F.col("x") > 10),
+        "simplex_validlib": _laid(columns="y", target="y", E=2, validLib="x > 10"),
         "simplex_nan": simplex_nan,
         "simplex_variance": _laid(columns="y", target="y", E=4),
         "simplex_notime": simplex_notime,

@@ -38,3 +38,12 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__spark_entry__.__file__).parent, capture_output=True, text=True, timeout=120, check=True)
+    assert int(said.stdout.split()[0]) > 40

@@ -104,6 +104,19 @@ ORACLE_SQL = {
 WITH d AS (SELECT doc_id, sha256({_NORMAL}) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+g AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM d WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+c AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step FROM g JOIN f USING (k) WHERE doc_id > least),
+u AS (SELECT doc_id, s, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM c),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM u GROUP BY doc_id, run),
+e AS (SELECT doc_id, a AS until, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM r
+  UNION ALL SELECT d.doc_id, n, coalesce(max(b), 0) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, n),
+q AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (until - since)), '' ORDER BY since) AS rest FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op6_url_filter": rf"""
 WITH RECURSIVE links AS (
   SELECT url AS a, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS b FROM pages

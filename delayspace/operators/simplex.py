@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.series import ROW, clean, shifted, write_csv
+from ..sources.series import ROW, clean, number_panel, shifted, write_csv
 from .layout import layout
 from .neighbors import neighbors
 from .state import Result, State, prepare, state_frames
@@ -61,7 +61,7 @@ def panel_simplex(df: DataFrame, by: Sequence[str], order: str, column: str, tar
     """
     named, by = list(by), [f"_by{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(named, by, strict=True)], F.col(order).alias("_t"), clean(F.col(column)).alias("_x"), clean(F.col(target)).alias("_y"))
-    rows = rows.withColumn(ROW, F.row_number().over(W.partitionBy(*by).orderBy("_t")).cast("long")).withColumn("_n", F.count("*").over(W.partitionBy(*by)))
+    rows = number_panel(rows, by, "_t")
     v = shifted(rows, None, {f"v{j}": ("_x", tau * j) for j in range(E)} | {"y": ("_y", Tp)}, by, keep=["_n"])
     ok = F.lit(True)
     for j in range(E):

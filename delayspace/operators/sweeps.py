@@ -17,6 +17,7 @@ from .simplex import project
 from .smap import local_maps
 from .state import State, prepare
 
+# The radii and thetas of a sweep that names none.
 RADII = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 25, 30)
 THETAS = (0.01, 0.1, 0.3, 0.5, 0.75, 1, 1.5, 2, 3, 4, 5, 6, 7, 8, 9)
 

@@ -102,10 +102,20 @@ def clean(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def _by_ranges(df: DataFrame, names: list[str]) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="delayspace-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def _by_ranges(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` with row_id 1.. in the order of ``names``: sorted ranges in a shared table, and the rows before each."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="delayspace-")
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/delayspace/rows-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     placed = spark.read.parquet(path)
@@ -114,15 +124,32 @@ def _by_ranges(df: DataFrame, names: list[str]) -> DataFrame:
     for p in sorted(counts):
         rows.append((p, before))
         before += counts[p]
-    table = spark.createDataFrame(rows, "_p long, _before long")
-    return placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p").withColumn(ROW, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
+    table = spark.createDataFrame(rows or [(0, 0)], "_p long, _before long")
+    ranked = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")
+    return ranked.withColumn(ROW, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_before")
+
+
+def number_panel(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """``df`` with row_id 1.. by ``order`` in each series of ``by``, and the series' length ``_n``.
+
+    Up to ONE_TASK rows in all, by a window. Beyond that a series may be too long for one task: all rows are numbered by ranges of
+    (by, order), and a series' first number is taken off, which is a partial aggregate and a join.
+    """
+    w = W.partitionBy(*by)
+    if df.count() <= ONE_TASK:
+        return df.withColumn(ROW, F.row_number().over(w.orderBy(order)).cast("long")).withColumn("_n", F.count("*").over(w))
+    ranked = _by_ranges(df, [*by, order])
+    ends = ranked.groupBy(*by).agg(F.min(ROW).alias("_first"), F.count("*").alias("_n"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by]
+    joined = ranked.alias("r").join(ends.alias("e"), same)
+    return joined.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col(f"r.{ROW}") - F.col("e._first") + 1).alias(ROW), F.col("e._n").alias("_n"))
 
 
 def shifted(df: DataFrame, n: int | None, wanted: dict[str, tuple[str, int]], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """``by``, row_id and ``keep`` of ``df`` with each column ``name`` = ``source`` so many rows ahead (negative: back), null beyond the ends.
 
-    Series in ``by`` are windows of their own. A single series is cut into blocks that overlap by the longest shift,
-    so that no task has all of it.
+    Each series of ``by``, or the single one, is cut into blocks that overlap by the longest shift, so that no task has
+    all of a long series.
     """
     reach = max([0, *(abs(s) for _, s in wanted.values())])
     size = max(BLOCK, reach)
@@ -130,15 +157,13 @@ def shifted(df: DataFrame, n: int | None, wanted: dict[str, tuple[str, int]], by
     place = {c: f"_s{i}" for i, c in enumerate(sources)}
     base = df.select(*by, ROW, *[quoted(c) for c in keep], *[quoted(c).alias(place[c]) for c in sources])
     one = n is not None and n <= size
-    if by:
-        w = W.partitionBy(*by).orderBy(ROW)
-    elif one:
-        base, w = base.withColumn("_block", F.lit(0)), W.partitionBy("_block").orderBy(ROW)
+    if one:
+        base, w = base.withColumn("_block", F.lit(0)), W.partitionBy(*by, "_block").orderBy(ROW)
     else:
         block = lambda shift: F.floor((F.col(ROW) + shift) / size)
         base = base.withColumn("_home", block(0)).withColumn("_block", F.explode(F.array_distinct(F.array(block(-reach), block(0), block(reach)))))
-        w = W.partitionBy("_block").orderBy(ROW)
-    own = [] if by or one else ["_home", "_block"]
+        w = W.partitionBy(*by, "_block").orderBy(ROW)
+    own = [] if one else ["_home", "_block"]
     out = base.select(*by, ROW, *[quoted(c) for c in keep], *own, *[(F.lead(place[c], s) if s >= 0 else F.lag(place[c], -s)).over(w).alias(name) for name, (c, s) in wanted.items()])
     return out.where("_home = _block").drop(*own) if own else out
 

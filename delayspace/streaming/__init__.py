@@ -1,0 +1 @@
+"""Nothing here: every modelling operator needs the whole library of a series, so all of them are batch plans."""

@@ -108,6 +108,20 @@ def test_shifts_over_blocks(spark, monkeypatch):
         assert r["a"] == ((i - 3) ** 2 if i >= 3 else None) and r["b"] == ((i + 2) ** 2 if i < 48 else None)
 
 
+def test_panel_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(rng.integers(0, 50)) + i / 1000) for k, n in (("a", 60), ("b", 25), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(6)
+    run = lambda: sorted((str(r[0]), *r[1:]) for r in ds.panel_simplex(df, ["k"], "t", "x", "x", (1, 15), (16, 55), E=2).collect())
+    whole = run()
+    monkeypatch.setattr(sr, "BLOCK", 7)
+    monkeypatch.setattr(sr, "ONE_TASK", 10)
+    assert run() == whole and len({r[0] for r in whole if r[3] is not None}) >= 2
+    one = ds.simplex(df.where("k = 'a'").select("t", "x"), "x", "x", (1, 15), (16, 55), E=2).collect()
+    mine = [r[3] for r in whole if r[0] == "a"]
+    assert [round(v["Predictions"], 9) for v in one[1:]] == [round(v, 9) for v in mine]
+
+
 def test_validation(spark):
     df = line(spark, 10)
     text = df.withColumn("s", F.lit("a"))

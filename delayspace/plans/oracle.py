@@ -244,7 +244,7 @@ UNION ALL SELECT 'pred', row_id FROM s, m WHERE row_id BETWEEN n // 2 + 1 AND n"
         "simplex_tp0": Forecast("x", "y", Tp=0).layout(),
         "simplex_cross_target": Forecast("y", "x", E=2).layout(),
         "simplex_exclusion": Forecast("y", "y", E=2, lib="all", radius=7).layout(),
-        "simplex_validlib": Forecast("y", "y", E=2, valid="x_ > 10").layout(),
+        "simplex_validlib": Forecast("y", "y", E=2, valid="x_ % 2 = 0").layout(),
         "simplex_nan": Forecast("x", "y", E=2, base=HOLED).layout(),
         "simplex_variance": Forecast("y", "y", E=4).layout(),
         "simplex_notime": Forecast("x", "y", E=2).layout('row_id AS "Time"'),

@@ -196,7 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "simplex_tp0": _laid(columns="x", target="y", Tp=0),
         "simplex_cross_target": _laid(columns="y", target="x", E=2),
         "simplex_exclusion": _laid(columns="y", target="y", E=2, lib="all", radius=7),
-        "simplex_validlib": _laid(columns="y", target="y", E=2, validLib="x > 10"),
+        "simplex_validlib": _laid(columns="y", target="y", E=2, validLib="x % 2 = 0"),
         "simplex_nan": simplex_nan,
         "simplex_variance": _laid(columns="y", target="y", E=4),
         "simplex_notime": simplex_notime,

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .graph import connected_components
 
 SEED = 42
@@ -254,112 +254,287 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fp.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar texts, of which a radius of a few bits finds only the nearest, take longer fingerprints. The empty text is the
-# vantage point of their upper tree: it is as far from a text as that has shingles, and texts of a similarity are in
-# neighbouring rings around it. Within rings no vantage point prunes at so wide a radius, so rings are compared block by block.
+# Similar texts, of which a radius of a few bits finds only the nearest, are told by their sets of shingles. All sets are put in one
+# order of shingles, common ones last; two sets of a similarity then share a shingle among the first few of each, so texts
+# that meet there are all the candidates, and a link stands only if the sets themselves are as similar.
 
 WORDS = 4
-#: Texts of a block at most, and at least; between them, a share of all.
-BLOCK, LEAST_BLOCK, BLOCKS = 40_000, 500, 64
-
-
-def long_fingerprint(text: str | None, width: int) -> tuple[bytes, int]:
-    """256-bit SimHash over the distinct word shingles, and their number."""
-    h = np.unique(shingle_hashes(text, width))
-    parts, mixed = [], h
-    for _ in range(WORDS):
-        parts.append(majority(mixed))
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-    return np.array(parts, "<u8").tobytes(), len(h)
+#: Texts from which common shingles are told, and how many are kept, at most. They change the order, never the result.
+COMMON_SAMPLE, COMMON = 16_000, 400_000
+#: Members of a group of which all pairs are taken at once; larger ones are tied by neighbours first, and only what stays apart is paired.
+ALL_PAIRS = 16
+#: Members next in size that each is tied to first.
+NEXT = 3
+#: Bits of the map of ids that candidates have.
+MARKS = 1 << 23
 
 
 def bits_of(similarity: float, slack: float = 1.0) -> int:
-    """Differing bits at which texts link: those expected at a Jaccard similarity, and ``slack`` standard deviations."""
+    """Differing bits of 256-bit fingerprints expected at a Jaccard similarity, and ``slack`` standard deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * WORDS
     return int(n * angle + slack * np.sqrt(n * angle * (1 - angle)))
 
 
-def _long_fingerprints(width: int):
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("size", pa.int32())])
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct word shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED + 1)).astype(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes begin with each prefix of some bits, about two on average; empty where a count does not fit a byte."""
+    bits = min(16, max(4, int(np.ceil(np.log2(max(1, len(hashes)) / 2)))))
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """False only if sets of these sketches share too few hashes: no more than the smaller count of each prefix."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    b = b.reshape(len(a), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64)) >= np.ceil(similarity / (1 + similarity) * (int(a.sum(dtype=np.int64)) + int(b.sum())) - 1e-9)
+
+
+def first_shingles(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a set: others by hash, then ``common`` (sorted) by ``rank``."""
+    n = len(hashes)
+    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not len(common) or not n:
+        return hashes[:take]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    late = common[at] == hashes
+    first = hashes[~late][:take]
+    if len(first) < take:
+        rest = np.flatnonzero(late)
+        first = np.concatenate((first, hashes[rest[np.argsort(rank[at[rest]], kind="stable")][: take - len(first)]]))
+    return first
+
+
+def _set_keys(width: int):
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
-            got = [long_fingerprint(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32())], schema=schema)
+            sets = [shingle_set(t.as_py(), width) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
-def similar_links(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int, ratio: float) -> np.ndarray:
-    """Root position of each row (words of fingerprints) over links between ``left`` and ``right`` rows whose sizes are within ``ratio``."""
-    forest = Forest(len(fps))
-    a, b = np.flatnonzero(left), np.flatnonzero(right)
-    a, b = a[np.argsort(size[a], kind="stable")], b[np.argsort(size[b], kind="stable")]
-    first, second, step = fps[:, 0].copy(), fps[:, 1].copy(), 64
-    for at in range(0, len(a), step):
-        q = a[at : at + step]
-        lo, hi = np.searchsorted(size[b], size[q[0]] / ratio, "left"), np.searchsorted(size[b], size[q[-1]] * ratio, "right")
-        for start in range(lo, hi, 2_048):
-            c = b[start : min(hi, start + 2_048)]
-            # half of the words already exceed the bound for all but related texts
-            d = np.bitwise_count(first[q, None] ^ first[None, c])
-            d += np.bitwise_count(second[q, None] ^ second[None, c])
-            i, j = np.nonzero(d <= bits)
-            x, y = q[i], c[j]
-            rest = sum(np.bitwise_count(fps[x, k] ^ fps[y, k]).astype(np.int64) for k in range(2, WORDS)) + d[i, j]
-            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            ok = (x != y) & (rest <= bits) & (large <= ratio * small)
-            forest.join(x[ok], y[ok])
-    return forest.roots(np.arange(len(fps)))
+def _all_shingles(width: int):
+    schema = pa.schema([("h", pa.int64())])
 
+    def run(batches):
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), width).view(np.int64))], schema=schema)
 
-def _link_blocks(bits: int, ratio: float):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        names = table.column("fp").combine_chunks().to_pylist()
-        if len(names) < 2:
-            return schema.empty_table()
-        of = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        root = similar_links(np.frombuffer(b"".join(names), "<u8").reshape(-1, WORDS), of("size").astype(np.int64), of("left"), of("right"), bits, ratio)
-        tied = np.flatnonzero(root != np.arange(len(names)))
-        return pa.Table.from_arrays([pa.array([names[i] for i in tied], pa.binary()), pa.array([names[i] for i in root[tied]], pa.binary())], schema=schema)
+
+def _first_shingles(width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            token, node, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), width)
+                if len(s):
+                    first = first_shingles(s, common, rank, similarity)
+                    # 48 bits tell candidates; size and position go as one number
+                    token.append((first >> np.uint64(16)).view(np.int64))
+                    node.append(np.full(len(first), set_key(s)))
+                    place.append((len(s) << 32) + np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, place)], schema=schema)
 
     return run
 
 
+_GROUP = "nodes array<long>, parts array<long>, places array<long>"
+
+
+def _grouped(batches):
+    """Runs of two or more equal tokens of a sorted stream, each as one row."""
+    items = pa.list_(pa.int64())
+    schema = pa.schema([("nodes", items), ("parts", items), ("places", items)])
+
+    def rows(token, *columns):
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        many = np.diff(np.append(starts, len(token)))
+        keep = np.repeat(many > 1, many)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(many[many > 1]))).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(c[keep])) for c in columns], schema=schema)
+
+    open_ = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [np.asarray(b.column(c)) for c in ("token", "node", "part", "place")]
+        if open_ is not None:
+            new = [np.concatenate(x) for x in zip(open_, new, strict=True)]
+        last = int(np.searchsorted(new[0], new[0][-1]))
+        if last:
+            yield rows(*[x[:last] for x in new])
+        open_ = [x[last:] for x in new]
+    if open_ is not None:
+        yield rows(*open_)
+
+
+def can_reach(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first shared shingle stands at these places (size, position) can have the similarity."""
+    na, nb, ia, ib = place_a >> 32, place_b >> 32, place_a & 0xFFFFFFFF, place_b & 0xFFFFFFFF
+    need = np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-9)
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (np.minimum(na - ia, nb - ib) >= need)
+
+
+def group_pairs(nodes: np.ndarray, parts: np.ndarray, places: np.ndarray, similarity: float, tie: bool):
+    """Blocks (a, b) of candidates of a group that are in different parts; of a large one, if ``tie``, only some for each member."""
+    n = len(nodes)
+    order = np.lexsort((nodes, places >> 32))
+    nodes, parts, places = nodes[order], parts[order], places[order]
+    if tie and n > ALL_PAIRS:
+        least = int(np.argmin(nodes))
+        blocks = [(np.arange(n - k), np.arange(k, n)) for k in range(1, NEXT + 1)] + [(np.full(n, least), np.arange(n))]
+    else:
+        step = max(1, 1_000_000 // n)
+        blocks = ((np.repeat(np.arange(at, min(n, at + step)), n - at), np.tile(np.arange(at, n), min(n, at + step) - at)) for at in range(0, n, step))
+    for i, j in blocks:
+        apart = (parts[i] != parts[j]) & (nodes[i] != nodes[j]) & (i < j if not tie or n <= ALL_PAIRS else True)
+        i, j = i[apart], j[apart]
+        ok = can_reach(places[i], places[j], similarity)
+        x, y = nodes[i[ok]], nodes[j[ok]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _pairs(similarity: float, tie: bool):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            held, count = [], 0
+            columns = [batch.column(c) for c in ("nodes", "parts", "places")]
+            offsets = [np.asarray(c.offsets) for c in columns]
+            values = [np.asarray(c.values) for c in columns]
+            for g in range(batch.num_rows):
+                for a, b in group_pairs(*[v[o[g] : o[g + 1]] for v, o in zip(values, offsets, strict=True)], similarity, tie):
+                    held.append(np.stack((a, b), axis=1))
+                    count += len(a)
+                    if count > 2_000_000:
+                        once = np.unique(np.concatenate(held), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], schema=schema)
+                        held, count = [], 0
+            if count:
+                once = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], schema=schema)
+
+    return run
+
+
+def _sets(width: int):
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), width) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return run
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def _kept_pairs(fits):
+    """Rows (a, b, left, right) of which ``fits(left, right)`` holds, as (a, b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            ok = pa.array([fits(x.as_py(), y.as_py()) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], schema=schema)
+
+    return run
+
+
+def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    left = pairs.join(of.select(F.col("node").alias("a"), F.col(column).alias("left")), "a")
+    return left.join(of.select(F.col("node").alias("b"), F.col(column).alias("right")), "b").select("a", "b", "left", "right")
+
+
+def _true_links(pairs: DataFrame, docs: DataFrame, keys: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose sets of shingles are ``similarity`` alike."""
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
+    nodes = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = cut(keys.select("node", "sketch").join(nodes(pairs), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    pairs = cut(_with_both(pairs, sketches, "sketch").mapInArrow(_kept_pairs(lambda x, y: may_be_similar(x, y, similarity)), "a long, b long"), "pairs")
+    drop(sketches)
+    ends = nodes(pairs)
+    wanted = cut(classes.join(ends, "node").select("node", "least"), "wanted")
+    # only texts that may be a candidate's are read into sets again; the map of their ids has one size whatever the corpus
+    marks = docs.sparkSession.createDataFrame(wanted.select(mark("least").alias("_mark")).distinct().toArrow())
+    some = docs.join(F.broadcast(marks), mark("id") == marks["_mark"], "left_semi")
+    sets = some.mapInArrow(_sets(width), "node long, hashes binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(sets, "sets")
+    alike = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-9
+    links = cut(_with_both(pairs, sets, "hashes").mapInArrow(_kept_pairs(alike), "a long, b long"), "links")
+    drop(sets, wanted, pairs)
+    return links
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of ``docs``: id, component_id, by chains of texts that are ``similarity`` alike in their word shingles.
 
-    The similarity is that which 256-bit fingerprints show, with a standard deviation of slack. Texts that have shingles in a ratio
-    that no such pair can have are never compared. Texts without words are alike. Null ids get a class but never name one, unless no
+    The similarity is the Jaccard similarity of the two sets of word shingles, as 64-bit hashes; all pairs that have it link, and no
+    others. Texts without words are alike. Null ids get a class but never name one, unless no
     other row is in it. Repeated rows share their class; an empty table gives an empty result.
     """
-    bits, ratio = bits_of(similarity), 1 / similarity
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fp = cut(slim.mapInArrow(_long_fingerprints(width), "id long, fp binary, size int"), "fingerprints")
-    classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least"), F.min("size").alias("size")), "distinct")
-    ring = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(ratio))).cast("int")
-    ringed = classes.select("fp", "size", ring.alias("ring"))
-    # rings are as many as the logarithm of the longest text
-    count = {r["ring"]: r["n"] for r in ringed.groupBy("ring").agg(F.count("*").alias("n")).collect()}
-    block = min(BLOCK, max(LEAST_BLOCK, sum(count.values()) // BLOCKS))
-    blocks = {r: -(-n // block) for r, n in count.items()}
-    pairs = [(r, i, s, j) for r, n in blocks.items() for s in (r, r + 1) if s in blocks for i in range(n) for j in range(i if s == r else 0, blocks[s])]
-    sides = [(k, r, i, True, (s, j) == (r, i)) for k, (r, i, s, j) in enumerate(pairs)] + [(k, s, j, False, True) for k, (r, i, s, j) in enumerate(pairs) if (s, j) != (r, i)]
     spark = docs.sparkSession
-    table = spark.createDataFrame(sides or [(0, 0, 0, False, False)], "pair int, ring int, part int, left boolean, right boolean")
-    many = spark.createDataFrame(sorted(blocks.items()) or [(0, 1)], "ring int, parts int")
-    parted = ringed.join(F.broadcast(many), "ring").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = parted.join(F.broadcast(table) if len(sides) <= 100_000 else table, ["ring", "part"]).select("pair", "fp", "size", "left", "right")
-    links = cut(dealt.groupBy("pair").applyInArrow(_link_blocks(bits, ratio), "a binary, b binary"), "links")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keys = cut(slim.mapInArrow(_set_keys(width), "id long, node long, sketch binary"), "keys")
+    classes = cut(keys.groupBy("node").agg(F.min("id").alias("least")), "distinct")
+    share = round(1_000_000 * min(1.0, COMMON_SAMPLE / max(1, classes.count())))
+    some = slim.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share))
+    often = some.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    often = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    common, times = np.asarray(often.column("h").combine_chunks()).view(np.uint64), np.asarray(often.column("n").combine_chunks())
+    order = np.argsort(common)
+    first = slim.mapInArrow(_first_shingles(width, similarity, common[order], times[order]), "token long, node long, place long")
+    sort = lambda df: df.repartition("token").sortWithinPartitions("token").select("token", "node", "part", "place")
+    groups = cut(sort(first.withColumn("part", F.col("node"))).mapInArrow(_grouped, _GROUP), "groups")
+    pairs = cut(groups.mapInArrow(_pairs(similarity, True), "a long, b long").distinct(), "pairs")
+    links = _true_links(pairs, slim, keys, classes, width, similarity)
     parts = connected_components(links)
-    labelled = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    large = groups.where(F.size("nodes") > ALL_PAIRS)
+    if not large.isEmpty():
+        # what the first links left apart in large groups meets pair by pair
+        rows = large.withColumn("token", F.monotonically_increasing_id()).select("token", F.explode(F.arrays_zip("nodes", "places")).alias("x")).select("token", F.col("x.nodes").alias("node"), F.col("x.places").alias("place"))
+        rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        apart = sort(rows).mapInArrow(_grouped, _GROUP).where("size(array_distinct(parts)) > 1")
+        rest = apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        rest = cut(rest, "pairs")
+        links = links.union(_true_links(rest, slim, keys, classes, width, similarity))
+        parts = connected_components(links)
+        drop(rest)
+    labelled = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = cut(labelled.join(named, "component").select("fp", "component_id"), "classes")
-    return fp.join(whole, "fp").select(F.col("id").alias(id_col), "component_id")
+    whole = cut(labelled.join(named, "component").select("node", "component_id"), "classes")
+    drop(groups, pairs)
+    return keys.join(whole, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -185,6 +185,46 @@ def test_similar_classes(spark):
     assert 38 < bits_of(0.8) < 50
 
 
+def test_similar_classes_are_exact(spark):
+    """Links by the true Jaccard similarity of five-word shingles, short texts and dense groups included."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for n in (9, 12, 30, 60, 150):
+        for _ in range(12):
+            base = words(n)
+            texts.append(base)
+            texts += [base[:-k] for k in (1, 2) if n > 8] + [base[: n - n // c] for c in (4, 5, 6)]
+            for edits in (1, 2, 3, 4):
+                other = list(base)
+                for at in rng.choice(n, edits, replace=False):
+                    other[at] = f"x{rng.integers(0, 10**9)}"
+                texts.append(other)
+    dense = words(80)
+    for _ in range(60):
+        other = list(dense)
+        other[int(rng.integers(5, 75))] = f"y{rng.integers(0, 10**9)}"
+        texts.append(other)
+    texts.append(dense)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in similar_classes(frame(spark, rows)).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1_000, k) for k in range(1_001, 1_100)] + [(2_000 + k, 2_001 + k) for k in range(40)] + [(None, 3), (4, None), (7, 7)]

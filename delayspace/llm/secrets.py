@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are strings that look like credentials. Those of the base kinds are always reported. Wider kinds are
-reported by how the corpus owns them: their hashes are counted over distinct repositories and owners, and a
-value that many of either hold is a copied example, while one that few hold looks live.
+reported by how the corpus owns them: their hashes are counted over distinct repositories and owners, wherever they stand, in
+base candidates and in overlapping ones too, and a value that many of either hold is a copied example, while one that few hold
+looks live. Overlaps are resolved among what is reported.
 """
 
 from __future__ import annotations
@@ -51,19 +52,27 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def wider_spans(text: str | None, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, bytes]]:
-    """(start, kind's place, end, hash of the value) of wider candidates that overlap none of ``base`` and no earlier one."""
+def _hash(value: str) -> bytes:
+    return hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+def base_values(text: str | None, base: list[tuple[int, int, str]]) -> set[bytes]:
+    """Hashes of the values of ``base`` spans."""
+    out = set()
+    for a, k, b in base:
+        _, pattern, group, _ = BASE[k]
+        out.add(_hash(pattern.match(text, a, b)[group]))
+    return out
+
+
+def wider_spans(text: str | None) -> list[tuple[int, int, int, bytes]]:
+    """(start, kind's place, end, hash of the value) of all wider candidates, overlapping ones included."""
     out, text = [], text or ""
-    taken = sorted((a, b) for a, _, b in base)
     for k, (kind, pattern, group) in enumerate(WIDER, len(BASE)):
         for m in pattern.finditer(text):
             if kind != "random" or _random(m[0]):
-                out.append((m.start(), k, m.end(), hashlib.sha256(m[group].encode("utf-8", "surrogatepass")).digest()[:16]))
-    kept = []
-    for x in sorted(out):
-        if (not kept or kept[-1][2] <= x[0]) and not any(a < x[2] and x[0] < b for a, b in taken):
-            kept.append(x)
-    return kept
+                out.append((m.start(), k, m.end(), _hash(m[group])))
+    return sorted(out)
 
 
 def _spell(spans) -> str:
@@ -72,20 +81,23 @@ def _spell(spans) -> str:
 
 def _scan(batches):
     wide = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32()), ("value", pa.binary())]))
-    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("wider", wide)])
+    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("wider", wide), ("values", pa.list_(pa.binary()))])
     for batch in batches:
-        n, spelt, found = [[], [], []], [], []
+        n, spelt, found, values = [[], [], []], [], [], []
         for t in batch.column("text"):
             text = t.as_py()
             base = base_spans(text)
             for k in range(3):
                 n[k].append(sum([x[1] == k for x in base]))
             spelt.append(_spell(base))
-            found.append([{"a": a, "k": k, "b": b, "value": v} for a, k, b, v in wider_spans(text, base)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("repo"), batch.column("owner"), *[pa.array(x, pa.int64()) for x in n], pa.array(spelt, pa.string()), pa.array(found, wide)], schema=schema)
+            wider = wider_spans(text)
+            # one that overlaps a base span is never reported, but its value counts
+            found.append([{"a": a, "k": k, "b": b, "value": v} for a, k, b, v in wider if not any(x < b and a < y for x, _, y in base)])
+            values.append(sorted(base_values(text, base) | {x[3] for x in wider}))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("repo"), batch.column("owner"), *[pa.array(x, pa.int64()) for x in n], pa.array(spelt, pa.string()), pa.array(found, wide), pa.array(values, pa.list_(pa.binary()))], schema=schema)
 
 
-SCANNED = "id long, repo string, owner string, n_assign long, n_access long, n_hex long, base string, wider array<struct<a:int,k:int,b:int,value:binary>>"
+SCANNED = "id long, repo string, owner string, n_assign long, n_access long, n_hex long, base string, wider array<struct<a:int,k:int,b:int,value:binary>>, values array<binary>"
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
@@ -99,12 +111,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repo = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in repo_cols])
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), repo.alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\x02")).alias("owner"))
     scanned = cut(slim.mapInArrow(_scan, SCANNED).withColumn("place", F.monotonically_increasing_id()), "scanned")
-    candidates = scanned.where("size(wider) > 0").select("place", "repo", "owner", F.explode("wider").alias("x")).select("place", "repo", "owner", "x.*")
+    candidates = scanned.where("size(wider) > 0").select("place", F.explode("wider").alias("x")).select("place", "x.*")
+    # what no wider kind that can be reported has needs no count
+    values = scanned.where("size(values) > 0").select("repo", "owner", F.explode("values").alias("value")).join(candidates.select("value").distinct(), "value", "left_semi")
     # each owner and repository counts once for a value: a widely copied one shrinks before it meets itself
-    held = candidates.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
+    held = values.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     counts = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
     live = counts.where((F.col("owners") <= owners) & (F.col("repos") <= repositories)).select("value")
     ours = candidates.join(live, "value", "left_semi").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("a", "k", "b"))).alias("more"))
+    # of live ones that overlap, the first is reported
+    none = F.array().cast("array<struct<a:int,k:int,b:int>>")
+    ours = ours.withColumn("more", F.aggregate("more", none, lambda kept, x: F.when((F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["b"] <= x["a"]), F.concat(kept, F.array(x))).otherwise(kept)))
     parts = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform(parts, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), (F.array_position(kinds, F.split(s, ":")[0]) - 1).cast("int").alias("k"), F.split(s, ":")[2].cast("int").alias("b")))

@@ -255,3 +255,15 @@ def test_secrets(spark):
     assert all(got[(i, "")]["spans"] == "" for i in (2, 3, 4, 5, 6))
     assert got[(7, "access:100000:100020")]["n_access"] == 1 and got[(7, "access:0:20")]["n_access"] == 1
     assert secrets.scan_secrets(df.where("doc_id < 0")).count() == 0
+
+
+def test_secrets_count_every_copy(spark):
+    """A value in assignments, or behind another candidate, counts for its owners; a copied candidate hides none."""
+    key, mine = "sk_live_Aa1Bb2Cc3Dd4Ee5Ff6Gg", "Zk3Jq9Xw7Lm2Pv8Rt4Ys6Bn1Cd5Fg0Hk"
+    rows = [(i, f'token = "{key}"', f"s{i}") for i in range(6)] + [(10, f"see {key} here", "t"), (11, f"see {mine} here", "u"), (12, f'token = "{mine}"', "u")]
+    # a password that is copied widely does not hide the token before it, which few hold
+    own, text = "ghp_Qw2Er4Ty6Ui8Op0As1Df3", "https://{}:x-oauth-basic@h"
+    rows += [(20 + i, text.format("me"), f"v{i}") for i in range(4)] + [(30, text.format(own), "w")]
+    df = spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
+    assert got[10] == "" and got[11] == "random:4:36" and got[20] == "" and got[30] == f"prefixed:8:{8 + len(own)}"

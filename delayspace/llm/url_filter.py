@@ -23,6 +23,9 @@ CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+
 def host_of(url) -> F.Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty for null or no ``://``."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
@@ -43,12 +46,33 @@ def _judged(df: DataFrame, url: str, rules: Iterable[tuple[str, str, str]]) -> D
     return df.withColumn("rule", rule).withColumn("said", verdict)
 
 
+def resolved(link, url) -> F.Column:
+    """``link`` as a URL with a host, read on the page ``url``; null where it has none, or stays on the page."""
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, folder = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    rest = F.substring(link, F.length(path) + 1, F.length(link))
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    # of /a/./b/../c there stays /a/c, and a last dot or two name a folder
+    names = F.split(F.regexp_replace(whole, r"/(\.\.?)$", "/$1/"), "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    plain = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(names, 2, F.size(names)), F.array().cast("array<string>"), step), "/"))
+    at_path = F.when(path == "", path_of(url)).otherwise(plain)
+    return (
+        F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
+        .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | F.startswith(link, F.lit("#")) | (link == "") | (origin == ""), F.lit(None).cast("string"))
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
+        .otherwise(F.concat(origin, at_path, rest))
+    )
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's URL and each absolute URL that its html redirects to or names as canonical."""
+    """(a, b): a page's URL and each URL that its html redirects to or names as canonical, relative ones resolved against the page's, or its base element's."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))
-    to = F.replace(F.col("b"), F.lit("&amp;"), F.lit("&"))
-    return pages.select(F.col(url_col).alias("a"), F.explode(found).alias("b")).select("a", to.alias("b")).where("instr(b, '://') > 0 AND a IS NOT NULL")
+    plain = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
+    links = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), plain(F.regexp_extract(html, BASE, 1)).alias("base"), F.explode(found).alias("b"))
+    links = links.select("a", F.coalesce(F.when(F.col("base") != "", resolved(F.col("base"), F.col("a"))), F.col("a")).alias("base"), plain(F.col("b")).alias("b"))
+    return links.select("a", resolved(F.col("b"), F.col("base")).alias("b")).where("b IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:

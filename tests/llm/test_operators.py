@@ -101,6 +101,19 @@ def test_urls(spark):
     assert judge_urls(other, html_col=None, redirects=moved).head()["verdict"] == "block"
 
 
+def test_relative_links(spark):
+    """Targets without a host are resolved against the page."""
+    refresh, canonical = '<meta http-equiv="refresh" content="0; url={}">', '<link rel="canonical" href="{}">'
+    urls = {
+        1: ("http://a.com/x", refresh.format("/de/1")), 2: ("http://b.net/y/z?q=1", canonical.format("//b.com/de/2")), 3: ("http://c.com/x/y", canonical.format("../de/./3?a=1&amp;b=2")),
+        4: ("http://d.com", refresh.format("de/4")), 5: ("http://e.com/x?de", refresh.format("?url=http://e.com/de/")), 6: ("http://f.com/x", canonical.format("mailto:a@f.com/de/")), 7: ("http://g.net/x", '<base href="//g.com/de/q">' + canonical.format("r")),
+        8: ("no-host", canonical.format("/de/1")), 9: ("http://h.com/x", canonical.format("#top") + refresh.format("/x?go=http://h.com/de/")), 10: ("http://c.com/t", canonical.format("/de/3?a=1&b=2")),
+    }
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in urls.items()], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block"}
+
+
 # HTML
 
 

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
+
+#: Arguments that steer a local machine or its screen; a plan has no use for them.
+LOCAL = ("showPlot", "verbose", "numProcess", "backend")
+
+
+def without_local(call: Callable) -> Callable:
+    """``call``, which so takes the arguments of LOCAL too, without effect."""
+
+    @wraps(call)
+    def run(*args, **named):
+        return call(*args, **{k: v for k, v in named.items() if k not in LOCAL})
+
+    return run
 
 
 def split_columns(x: str | Iterable[str] | None) -> list[str]:

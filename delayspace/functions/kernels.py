@@ -34,25 +34,49 @@ def nearest(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarr
     return i, j, d[i, j]
 
 
+#: Numbers that a block of distances holds, about.
+CELLS = 4_000_000
+
+
+def block_rows(n_lib: int) -> int:
+    """Rows that are searched together against so many library rows."""
+    return max(1, CELLS // max(1, n_lib))
+
+
 def smap_rows(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, y: np.ndarray, k: int, radius: int, thetas: list[float]):
-    """Yields (place in p, theta, prediction, variance, coefficients, singular values) of weighted local linear maps."""
+    """Yields (place in p, theta, prediction, variance, coefficients, singular values) of weighted local linear maps.
+
+    Rows with equally many neighbours are solved together, by singular values with the cutoff of least squares.
+    """
     width = lib.shape[1] + 1
     i, j, d = nearest(p_rows, p, l_rows, lib, k, radius)
-    bounds = np.searchsorted(i, np.arange(len(p) + 1))
-    for at in range(len(p)):
-        lo, hi = bounds[at], bounds[at + 1]
-        near, dist = j[lo:hi], d[lo:hi]
-        ok = np.isfinite(y[near])
-        scale = dist.mean() if len(dist) else 0.0
-        a, target = np.column_stack((np.ones(ok.sum()), lib[near[ok]])), y[near[ok]]
-        for theta in thetas:
-            if not len(target):
-                yield at, theta, None, None, [None] * width, [None] * width
-                continue
-            w = np.exp(-theta / scale * dist[ok]) if theta and scale > 0 else np.ones(len(target))
-            c, _, _, s = np.linalg.lstsq(a * w[:, None], target * w, rcond=None)
-            got = float(c[0] + p[at] @ c[1:])
-            yield at, theta, got, float((w * (target - got) ** 2).sum() / w.sum()), c.tolist(), [*s.tolist(), *[None] * (width - len(s))]
+    mean = np.bincount(i, weights=d, minlength=len(p)) / np.maximum(1, np.bincount(i, minlength=len(p)))
+    there = np.isfinite(y[j])
+    i, j, d = i[there], j[there], d[there]
+    many = np.bincount(i, minlength=len(p))
+    first = np.concatenate(([0], np.cumsum(many)[:-1]))
+    for n in np.unique(many):
+        rows = np.flatnonzero(many == n)
+        if not n:
+            for at in rows:
+                for theta in thetas:
+                    yield int(at), theta, None, None, [None] * width, [None] * width
+            continue
+        for part in np.array_split(rows, -(-len(rows) * int(n) * width // CELLS)):
+            near = first[part, None] + np.arange(n)
+            a = np.concatenate((np.ones((len(part), n, 1)), lib[j[near]]), axis=2)
+            target, dist, scale = y[j[near]], d[near], mean[part, None]
+            for theta in thetas:
+                w = np.exp(-theta * dist / np.where(scale > 0, scale, 1)) if theta else np.ones_like(dist)
+                w[scale[:, 0] <= 0] = 1
+                u, s, vt = np.linalg.svd(a * w[:, :, None], full_matrices=False)
+                rank = s > np.finfo(float).eps * max(n, width) * s[:, :1]
+                inverse = np.where(rank, 1 / np.where(rank, s, 1), 0)
+                c = np.einsum("rkj,rk->rj", vt, inverse * np.einsum("rnk,rn->rk", u, target * w))
+                got = c[:, 0] + (p[part] * c[:, 1:]).sum(axis=1)
+                var = (w * (target - got[:, None]) ** 2).sum(axis=1) / w.sum(axis=1)
+                for r, at in enumerate(part):
+                    yield int(at), theta, float(got[r]), float(var[r]), c[r].tolist(), [*s[r].tolist(), *[None] * (width - s.shape[1])]
 
 
 def sample_key(seed: int, direction: str, size: int, trial: int, row: int) -> str:
@@ -60,11 +84,11 @@ def sample_key(seed: int, direction: str, size: int, trial: int, row: int) -> st
     return hashlib.md5(f"{seed}|{direction}|{size}|{trial}|{row}".encode()).hexdigest()
 
 
-def cross_map_rho(rows: np.ndarray, points: np.ndarray, target: np.ndarray, library: np.ndarray, k: int, radius: int, block: int = 1024) -> float | None:
+def cross_map_rho(rows: np.ndarray, points: np.ndarray, target: np.ndarray, library: np.ndarray, k: int, radius: int) -> float | None:
     """Correlation of target and its estimate from ``library`` (places) over all points with k eligible neighbours; 0 without variance, None below 3."""
     if k < 1:
         return None
-    seen, got = [], []
+    seen, got, block = [], [], block_rows(len(library))
     for at in range(0, len(rows), block):
         here = slice(at, at + block)
         i, j, d = nearest(rows[here], points[here], rows[library], points[library], k, radius)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.args import split_columns
+from ..functions.args import split_columns, without_local
 from ..sources.series import ROW, Series, load, quoted, resolve_input, valid_frame, write_csv
 from .embed import check_embedding
 from .state import Result, columns_in, valid_rows, vectors_of
@@ -83,6 +83,7 @@ def ccm_trials(spark, points: dict[str, DataFrame], dims: dict[str, int], sizes:
     return table.repartition(n, "direction", "lib_size", "trial").mapInArrow(_trials(spark.sparkContext.broadcast(held), seed, k, radius), "direction string, lib_size long, trial long, rho double")
 
 
+@without_local
 def ccm(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "", target: str | Sequence[str] = "", E: int = 0, Tp: int = 0, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, libSizes: str | Sequence[int] = "", sample: int = 30, seed: int = 0, embedded: bool = False, validLib: Column | Sequence[bool] | None = None, includeData: bool = False, noTime: bool = False, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> DataFrame | Result:
     """(LibSize, ``a:b``, ``b:a``): mean skill with which states of a give b, and of b give a, by library size; ``_var`` columns with includeData.
 

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.args import split_columns
+from ..functions.args import split_columns, without_local
 from ..functions.stats import compute_error
 from ..plans.index import Indices, create_indices, within
 from ..sources.series import ROW, Series, load, quoted, resolve_input, shifted, valid_frame, write_csv
@@ -59,6 +59,7 @@ def skill(series: Series, target: str, projected: DataFrame, pred: list[tuple[in
     return compute_error(both, by=["view_id"])
 
 
+@without_local
 def multiview(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "", target: str | Sequence[str] = "", lib="", pred="", D: int = 0, E: int = 1, Tp: int = 1, knn: int = 0, tau: int = -1, multiview: int = 0, exclusionRadius: int = 0, trainLib: bool = True, excludeTarget: bool = False, ignoreNan: bool = True, noTime: bool = False, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> Views:
     """Ranks all D-column views of the embedding by their skill, in the library (trainLib) or on the predicted rows, and averages the best.
 

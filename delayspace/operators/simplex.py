@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.args import without_local
 from ..sources.series import ROW, clean, number_panel, shifted, write_csv
 from .layout import layout
 from .neighbors import neighbors
@@ -36,6 +37,7 @@ def simplex_neighbors(state: State, knn: int, exclusionRadius: int) -> DataFrame
     return neighbors(state.pred(), state.lib(), state.dims, knn or state.E + 1, exclusionRadius, state.indices.n_pred, state.indices.n_lib, carry=["y"])
 
 
+@without_local
 def simplex(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "", target: str | Sequence[str] = "", lib="", pred="", E: int = 0, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | Sequence[bool] | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, includeState: bool = False, spark=None) -> DataFrame | Result:
     """A forecast (time, Observations, Predictions, Pred_Variance) of ``target`` Tp rows on, from states of ``columns``.
 

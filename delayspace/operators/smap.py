@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.args import without_local
 from ..plans.index import within
+from ..sources.scratch import cut
 from ..sources.series import ROW, write_csv
 from .layout import layout
 from .neighbors import neighbors
@@ -29,7 +31,7 @@ def default_knn(state: State, knn: int) -> int:
 
 
 def _maps(library, k: int, radius: int, thetas: list[float], dims: int):
-    from ..functions.kernels import smap_rows
+    from ..functions.kernels import block_rows, smap_rows
 
     schema = pa.schema([("p", pa.int64()), ("theta", pa.float64()), ("pred", pa.float64()), ("var", pa.float64()), ("c", pa.list_(pa.float64())), ("s", pa.list_(pa.float64()))])
 
@@ -38,9 +40,10 @@ def _maps(library, k: int, radius: int, thetas: list[float], dims: int):
         for b in batches:
             p_rows = np.asarray(b.column("p"))
             a = np.column_stack([np.asarray(b.column(f"a{j}")) for j in range(dims)]) if len(p_rows) else np.zeros((0, dims))
-            for at in range(0, len(a), 256):
-                rows = list(smap_rows(p_rows[at : at + 256], a[at : at + 256], l_rows, lib, y, k, radius, thetas))
-                yield pa.RecordBatch.from_arrays([pa.array(p_rows[at : at + 256][[r[0] for r in rows]]), *[pa.array([r[f] for r in rows], schema.field(f).type) for f in range(1, 6)]], schema=schema)
+            step = block_rows(len(lib))
+            for at in range(0, len(a), step):
+                rows = list(smap_rows(p_rows[at : at + step], a[at : at + step], l_rows, lib, y, k, radius, thetas))
+                yield pa.RecordBatch.from_arrays([pa.array(p_rows[at : at + step][[r[0] for r in rows]]), *[pa.array([r[f] for r in rows], schema.field(f).type) for f in range(1, 6)]], schema=schema)
 
     return run
 
@@ -62,6 +65,7 @@ def local_maps(state: State, thetas: Sequence[float], knn: int, exclusionRadius:
     return state.pred().repartition(max(1, spread), "p").mapInArrow(_maps(library, k, exclusionRadius, [float(t) for t in thetas], state.dims), _MAPS)
 
 
+@without_local
 def smap(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "", target: str | Sequence[str] = "", lib="", pred="", E: int = 0, Tp: int = 1, knn: int = 0, tau: int = -1, theta: float = 0, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | Sequence[bool] | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, includeState: bool = False, spark=None) -> Result:
     """predictions (time, Observations, Predictions, Pred_Variance), coefficients and singularValues (Time, C0 ..) of a forecast.
 
@@ -72,7 +76,8 @@ def smap(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "",
     state = prepare("smap", spark, dataFrame, columns, target, lib, pred, E, Tp, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile)
     if not embedded and state.dims != E:
         raise ValueError("smap: several columns are a state only if they are embedded")
-    maps = local_maps(state, [theta], knn, exclusionRadius)
+    # three frames read them
+    maps = cut(local_maps(state, [theta], knn, exclusionRadius), "maps")
     laid = layout(state.series, state.target, maps, state.indices, Tp, keep_row=True)
     if predictFile:
         write_csv(laid.orderBy("segment", ROW).drop("segment", ROW), pathOut, predictFile)

@@ -40,8 +40,11 @@ def phase_randomised(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out / spread * x.std(ddof=1) if spread > 0 else out
 
 
-def smoothing_spline(x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """A natural cubic smoothing spline through means y of weight w at distinct x, its penalty chosen by generalised cross validation. Returns fitted values at x."""
+def smoothing_spline(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float = 0.0):
+    """A natural cubic smoothing spline through means y of weight w at distinct x, its penalty chosen by generalised cross validation. Returns fitted values at x.
+
+    The weights count values, of which ``scatter`` is the sum of squares about their means.
+    """
     n = len(x)
     if n < 4:
         return y.copy()
@@ -61,8 +64,8 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, w: np.ndarray):
     best = None
     for penalty in np.logspace(-8, 8, 161) / scale:
         shrink = 1 / (1 + penalty * values)
-        rest, free = ((1 - shrink) * coded) ** 2, n - shrink.sum()
-        score = n * rest.sum() / max(free, 1e-12) ** 2
+        rest, free = ((1 - shrink) * coded) ** 2, w.sum() - shrink.sum()
+        score = w.sum() * (rest.sum() + scatter) / max(free, 1e-12) ** 2
         if free > 1e-6 and (best is None or score < best[0]):
             best = (score, shrink)
     return (vectors @ (best[1] * coded)) / root if best else y.copy()
@@ -75,7 +78,8 @@ def seasonal_cycle(x: np.ndarray, period: int) -> np.ndarray:
     means = np.array([x[phase == p].mean() for p in seen])
     weights = np.array([(phase == p).sum() for p in seen], float)
     places = np.concatenate((seen - period, seen, seen + period)).astype(float)
-    fitted = smoothing_spline(places, np.tile(means, 3), np.tile(weights, 3))[len(seen) : 2 * len(seen)]
+    scatter = 3 * ((x - means[np.searchsorted(seen, phase)]) ** 2).sum()
+    fitted = smoothing_spline(places, np.tile(means, 3), np.tile(weights, 3), scatter)[len(seen) : 2 * len(seen)]
     return fitted[np.searchsorted(seen, phase)]
 
 
@@ -84,13 +88,13 @@ def _make(held, method: str, period: int, alpha: float, seed: int):
 
     def run(batches):
         x = held.value
+        cycle = seasonal_cycle(x, period) if method == "seasonal" else None
         for b in batches:
             for surr in b.column("surr_id").to_pylist():
                 rng = np.random.default_rng([seed, surr])
                 if method == "ebisuzaki":
                     out = phase_randomised(x, rng)
                 else:
-                    cycle = seasonal_cycle(x, period)
                     out = cycle + rng.permutation(x - cycle) + (rng.normal(0, alpha, len(x)) if alpha else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), surr, np.int32)), pa.array(np.arange(1, len(x) + 1)), pa.array(out)], schema=schema)
 

@@ -8,14 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.args import without_local
 from ..functions.stats import compute_error
 from ..plans.index import within
-from ..sources.series import ROW, quoted
+from ..sources.series import ROW, quoted, write_csv
 from .layout import slots
 from .neighbors import BROADCAST, PAIRS, neighbors, ranked_neighbors
 from .simplex import project
 from .smap import local_maps
-from .state import State, prepare
+from .state import Result, State, prepare
 
 # The radii and thetas of a sweep that names none.
 RADII = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 25, 30)
@@ -64,12 +65,26 @@ def _rho(parts: list[DataFrame], key: str, kind: str) -> DataFrame:
     return compute_error(both, by=[key]).select(F.col(key).cast(kind).alias(key), "rho").orderBy(key)
 
 
+def _finish(given: dict, pathOut: str, predictFile: str, parameterList: bool):
+    """What a sweep does with its table: writes it if a file is named, and gives it with the call's parameters if asked."""
+    parameters = {k: v for k, v in given.items() if k not in ("dataFrame", "spark", "pathIn", "dataFile", "pathOut", "predictFile", "parameterList")}
+
+    def run(table: DataFrame) -> DataFrame | Result:
+        if predictFile:
+            write_csv(table, pathOut, predictFile, table.columns[:1])
+        return Result(table, parameters=parameters) if parameterList else table
+
+    return run
+
+
 def _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark):
     return lambda name, E, Tp: prepare(name, spark, dataFrame, columns, target, lib, pred, E, Tp, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile)
 
 
-def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxE: int = 10, Tp: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
+@without_local
+def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxE: int = 10, Tp: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> DataFrame | Result:
     """(E, rho): Simplex skill for E = 1 .. maxE, each with E + 1 neighbours."""
+    finish = _finish(locals(), pathOut, predictFile, parameterList)
     at = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
     widest = at("embed_dimension", maxE, Tp)
     again = _args(widest.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
@@ -79,7 +94,7 @@ def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", l
         for E, s in enumerate(states, 1):
             near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
             parts.append(observed(s, project(near), []).withColumn("E", F.lit(E)))
-        return _rho(parts, "E", "int")
+        return finish(_rho(parts, "E", "int"))
     # the lags of a smaller E are among those of the largest: one join, and a distance for each E
     n = widest.dims // maxE
     each = []
@@ -91,11 +106,13 @@ def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", l
     seen = swept_pairs(states, exclusionRadius).select("p", "l", "y", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.E", "p", "l", "y", "x.d")
     near = ranked_neighbors(seen, F.col("E") + 1, ["E"], maxE + 1)
     on = reduce(lambda x, y: x | y, [(F.col("E") == s.E) & placed(s) for s in states])
-    return _rho([observed(widest, project(near, ["E"]), ["E"], on)], "E", "int")
+    return finish(_rho([observed(widest, project(near, ["E"]), ["E"], on)], "E", "int"))
 
 
-def predict_interval(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxTp: int = 10, E: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
+@without_local
+def predict_interval(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", maxTp: int = 10, E: int = 1, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> DataFrame | Result:
     """(Tp, rho): Simplex skill for Tp = 1 .. maxTp; the library ends earlier for each."""
+    finish = _finish(locals(), pathOut, predictFile, parameterList)
     at = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
     first = at("predict_interval", E, 1)
     again = _args(first.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
@@ -105,7 +122,7 @@ def predict_interval(dataFrame: DataFrame | None = None, columns="", target="",
         for Tp, s in enumerate(states, 1):
             near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
             parts.append(observed(s, project(near), []).withColumn("Tp", F.lit(Tp)))
-        return _rho(parts, "Tp", "int")
+        return finish(_rho(parts, "Tp", "int"))
     # distances are those of one state; what a library row looks ahead to is read by its row
     s = states[0]
     total = reduce(lambda x, y: x + y, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in range(s.dims)])
@@ -116,11 +133,13 @@ def predict_interval(dataFrame: DataFrame | None = None, columns="", target="",
     future = s.series.df.select(F.col(ROW).alias("_at"), quoted(s.target).alias("y"))
     near = near.join(F.broadcast(future) if s.series.n <= BROADCAST else future, F.col("_at") == F.col("l") + F.col("Tp"), "left").drop("_at")
     on = reduce(lambda x, y: x | y, [(F.col("Tp") == t.Tp) & placed(t) for t in states])
-    return _rho([observed(s, project(near, ["Tp"]), ["Tp"], on, F.col("Tp"))], "Tp", "int")
+    return finish(_rho([observed(s, project(near, ["Tp"]), ["Tp"], on, F.col("Tp"))], "Tp", "int"))
 
 
-def predict_exclusion_radius(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", exclusionRadius: Sequence[int] | None = None, E: int = 1, Tp: int = 1, tau: int = -1, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
+@without_local
+def predict_exclusion_radius(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", exclusionRadius: Sequence[int] | None = None, E: int = 1, Tp: int = 1, tau: int = -1, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> DataFrame | Result:
     """(ExclusionRadius, rho): Simplex skill by the radius. Distances are worked out once for all radii."""
+    finish = _finish(locals(), pathOut, predictFile, parameterList)
     s = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)("predict_exclusion_radius", E, Tp)
     spark = s.series.df.sparkSession
     radii = spark.createDataFrame([(int(r),) for r in exclusionRadius or RADII], "ExclusionRadius int")
@@ -129,14 +148,16 @@ def predict_exclusion_radius(dataFrame: DataFrame | None = None, columns="", tar
     most = neighbors(s.pred(), s.lib(), s.dims, k + 2 * widest + 1, -1, s.indices.n_pred, s.indices.n_lib, carry=["y"])
     near = most.drop("rank").join(F.broadcast(radii), F.abs(F.col("p") - F.col("l")) > F.col("ExclusionRadius"))
     projected = project(ranked_neighbors(near, k, ["ExclusionRadius"]), ["ExclusionRadius"])
-    return _rho([observed(s, projected, ["ExclusionRadius"])], "ExclusionRadius", "int")
+    return finish(_rho([observed(s, projected, ["ExclusionRadius"])], "ExclusionRadius", "int"))
 
 
-def predict_nonlinear(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", theta: Sequence[float] | None = None, E: int = 1, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", spark=None) -> DataFrame:
+@without_local
+def predict_nonlinear(dataFrame: DataFrame | None = None, columns="", target="", lib="", pred="", theta: Sequence[float] | None = None, E: int = 1, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0, embedded: bool = False, validLib: Column | None = None, noTime: bool = False, ignoreNan: bool = True, pathIn: str = "./", dataFile: str = "", pathOut: str = "./", predictFile: str = "", parameterList: bool = False, spark=None) -> DataFrame | Result:
     """(Theta, rho): S-map skill by theta, all from one search for neighbours."""
+    finish = _finish(locals(), pathOut, predictFile, parameterList)
     s = _args(dataFrame, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)("predict_nonlinear", E, Tp)
     maps = local_maps(s, theta or THETAS, knn, exclusionRadius).withColumnRenamed("theta", "Theta")
-    return _rho([observed(s, maps, ["Theta"])], "Theta", "double")
+    return finish(_rho([observed(s, maps, ["Theta"])], "Theta", "double"))
 
 
 __all__ = ["embed_dimension", "predict_interval", "predict_exclusion_radius", "predict_nonlinear", "RADII", "THETAS"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import ranked
+
 #: Rows of one series that a single task numbers; longer ones are numbered by ranges.
 ONE_TASK = 1_000_000
 #: Rows of a block within which lags are taken; blocks overlap by the longest lag.
@@ -48,13 +49,25 @@ def resolve_input(spark: SparkSession, dataFrame: DataFrame | None = None, dataF
         path = f"{pathIn.rstrip('/')}/{dataFile}" if pathIn and "://" not in dataFile and not dataFile.startswith("/") else dataFile
         if path.endswith(".parquet"):
             return spark.read.parquet(path), None
-        df = spark.read.csv(path, header=True, inferSchema=True, nullValue="", nanValue="NaN", mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        return df, [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        df = spark.read.csv(path, header=True, inferSchema=True, nullValue="NA", nanValue="NaN", mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        return _numbers(df), [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
     if dataFrame is None:
         raise ValueError("neither a frame nor a file is given")
     return dataFrame, None
 
 
+def _numbers(df: DataFrame) -> DataFrame:
+    """``df`` with text columns as numbers if they hold nothing but numbers and spellings of a missing value."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    given = {c: F.when(~F.lower(F.trim(quoted(c))).isin("na", "nan", ""), quoted(c)) for c in text}
+    numbers = {c: v.try_cast("double") for c, v in given.items()}
+    if not text:
+        return df
+    odd = df.agg(*[F.count(F.when(given[c].isNotNull() & numbers[c].isNull(), 1)).alias(f"c{i}") for i, c in enumerate(text)]).head()
+    plain = {c for c, n in zip(text, odd, strict=True) if not n}
+    return df.select(*[numbers[c].alias(c) if c in plain else quoted(c) for c in df.columns])
+
+
 def valid_columns(df: DataFrame, columns: Sequence[str], target: Sequence[str] = ()) -> None:
     missing = [c for c in (*columns, *target) if c not in df.columns]
     if missing:
@@ -92,7 +105,7 @@ def load(df: DataFrame, no_time: bool = False, order: list[Column] | None = None
     if n <= ONE_TASK:
         numbered = picked.withColumn(ROW, F.row_number().over(W.orderBy(*names)).cast("long"))
     else:
-        numbered = _by_ranges(picked, names)
+        numbered = ranked(picked, *names, name=ROW, label="rows").withColumn(ROW, F.col(ROW) + 1)
     if no_time:
         numbered = numbered.withColumn(time, F.col(ROW))
     return Series(numbered.select(ROW, quoted(time), *[quoted(c) for c in values if c != time]), time, n)
@@ -102,33 +115,6 @@ def clean(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="delayspace-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _by_ranges(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``df`` with row_id 1.. in the order of ``names``: sorted ranges in a shared table, and the rows before each."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/delayspace/rows-{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
-    placed = spark.read.parquet(path)
-    counts = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, rows = 0, []
-    for p in sorted(counts):
-        rows.append((p, before))
-        before += counts[p]
-    table = spark.createDataFrame(rows or [(0, 0)], "_p long, _before long")
-    ranked = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")
-    return ranked.withColumn(ROW, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_before")
-
-
 def number_panel(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """``df`` with row_id 1.. by ``order`` in each series of ``by``, and the series' length ``_n``.
 
@@ -138,10 +124,10 @@ def number_panel(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     w = W.partitionBy(*by)
     if df.count() <= ONE_TASK:
         return df.withColumn(ROW, F.row_number().over(w.orderBy(order)).cast("long")).withColumn("_n", F.count("*").over(w))
-    ranked = _by_ranges(df, [*by, order])
-    ends = ranked.groupBy(*by).agg(F.min(ROW).alias("_first"), F.count("*").alias("_n"))
+    placed = ranked(df, *by, order, name=ROW, label="rows")
+    ends = placed.groupBy(*by).agg(F.min(ROW).alias("_first"), F.count("*").alias("_n"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by]
-    joined = ranked.alias("r").join(ends.alias("e"), same)
+    joined = placed.alias("r").join(ends.alias("e"), same)
     return joined.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col(f"r.{ROW}") - F.col("e._first") + 1).alias(ROW), F.col("e._n").alias("_n"))
 
 
@@ -169,5 +155,13 @@ def shifted(df: DataFrame, n: int | None, wanted: dict[str, tuple[str, int]], by
 
 
 def write_csv(df: DataFrame, pathOut: str, predictFile: str, order: Sequence[str] = ()) -> None:
-    """One CSV with a header in folder ``pathOut/predictFile``; a forecast is small next to its input."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(f"{pathOut.rstrip('/')}/{predictFile}", header=True)
+    """One CSV file with a header, ``pathOut/predictFile``; a forecast is small next to its input."""
+    spark, target = df.sparkSession, f"{pathOut.rstrip('/')}/{predictFile}"
+    folder = f"{target}-{uuid.uuid4().hex}"
+    (df.orderBy(*order) if order else df).coalesce(1).write.csv(folder, header=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in files.listStatus(path(folder)) if x.getPath().getName().startswith("part-"))
+    files.delete(path(target), True)
+    files.rename(part, path(target))
+    files.delete(path(folder), True)

@@ -167,6 +167,20 @@ def test_results(spark, tmp_path):
     assert len(ds.plot_smap(s)) == 2 and ds.plot_ccm(spark.createDataFrame([(1, 0.5, 0.6)], "LibSize int, `a:b` double, `b:a` double")).lines == ["a:b", "b:a"]
 
 
+def test_missing_values_in_files(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("t,x,y\n1,1,2\n2,NA,3\n3,nan,\n4,4.5,NaN\n5,NAN,6\n")
+    df, _ = sr.resolve_input(spark, None, "in.csv", str(tmp_path))
+    rows = [tuple(None if v is None or v != v else v for v in r) for r in df.orderBy("t").collect()]
+    assert rows == [(1, 1.0, 2.0), (2, None, 3.0), (3, None, None), (4, 4.5, None), (5, None, 6.0)]
+
+
+def test_sweep_arguments(spark, tmp_path):
+    df = line(spark, 40, y=[math.sin(v / 3) for v in range(40)])
+    out = ds.embed_dimension(df, "y", "y", (1, 20), (21, 39), maxE=2, parameterList=True, predictFile="rho.csv", pathOut=str(tmp_path), showPlot=False, numProcess=4, verbose=False)
+    assert out.parameters["maxE"] == 2 and out.predictions.columns == ["E", "rho"]
+    assert (tmp_path / "rho.csv").is_file() and (tmp_path / "rho.csv").read_text().splitlines()[0] == "E,rho"
+
+
 def test_compute_error(spark):
     same = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "Observations double, Predictions double")
     r = ds.compute_error(same).head()

@@ -1,96 +1,23 @@
-"""Helpers that several operators share: shared scratch tables and ranks without a single task."""
+"""What several operators share: the contracts' white space, and the library's scratch tables and ranks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, drop, partitions, ranked, shared_dir
+
+__all__ = ["SPACE", "WORD", "aside", "cut", "drop", "partitions", "ranked", "shared_dir", "words_of"]
+
 #: White space of the contracts, as a class both Java's and DuckDB's regular expressions read.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="delayspace-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
-
-    The table outlives any executor. It goes with :func:`drop` or when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/delayspace/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_drop_all)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_cut_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-            _written[:] = [x for x in _written if x[1] != path]
-
-
-def _drop_all() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-    _written.clear()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ranked(df: DataFrame, *order, name: str, label: str) -> DataFrame:
-    """``df`` with its 0-based position in ``order`` as column ``name``, by ranges and not in one task.
-
-    Only one count for each range comes to the driver.
-    """
-    spark = df.sparkSession
-    placed = cut(
-        df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
-        label,
-    )
-    part = F.shiftright("_at", 33)
-    counts = {r["_p"]: r["n"] for r in placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p], before = before, before + counts[p]
-    table = spark.createDataFrame(sorted(offsets.items()) or [(0, 0)], "_p long, _before long")
-    return (
-        placed.withColumn("_p", part.cast("long"))
-        .join(F.broadcast(table), "_p")  # a row for each range
-        .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
-        .drop("_p", "_before", "_at")
-    )
-
 
 def words_of(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
+
+
+def aside(docs: DataFrame, **columns) -> DataFrame:
+    """``docs`` as one column ``row`` beside working ``columns``, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])

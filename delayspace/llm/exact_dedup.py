@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, drop
+from .common import SPACE, aside, cut, drop
 
 #: Runs that one multiway merge takes: four binomial rounds.
 FAN_IN = 16
@@ -77,12 +77,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts move once, to meet the list of rows that go. Only where rows repeat an id with its text, which that
     list cannot tell apart, are they numbered as well.
     """
-    decided = cut(exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_id"), "keep_id", F.col("text_sha256").alias("_sha")), "copies")
-    other = ~F.col("_id").eqNullSafe(F.col("keep_id"))
-    marked = docs.withColumn("_sha_", F.sha2(normalised(F.col(text_col)), 256))
-    gone = decided.where(other).select("_id", "_sha")
-    out = marked.join(gone, marked[id_col].eqNullSafe(gone["_id"]) & (marked["_sha_"] == gone["_sha"]), "left_anti")
-    if not decided.where(~other).isEmpty():
-        first = F.row_number().over(W.partitionBy(id_col, "_sha_").orderBy(F.monotonically_increasing_id()))
-        out = out.withColumn("_first_", first).where("_first_ = 1")
-    return out.select(docs.columns)
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone_id"), "keep_id", F.col("text_sha256").alias("gone_sha"))
+    gone = cut(gone, "copies")
+    other = ~F.col("gone_id").eqNullSafe(F.col("keep_id"))
+    rows = aside(docs, id=F.col(id_col), sha=F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
+    out = rows.join(gone.where(other), same, "left_anti")
+    if not gone.where(~other).isEmpty():
+        turn = F.row_number().over(W.partitionBy("id", "sha").orderBy(F.monotonically_increasing_id()))
+        out = out.withColumn("turn", turn).where("turn = 1")
+    return out.select("row.*")

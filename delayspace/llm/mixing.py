@@ -1,38 +1,46 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source has the same number of copies to expect, c = target / size of the source, of
-which the fraction has to be rounded. Two documents at a time, one passes words (probability times
-size) to the other in a random direction, with chances that leave every expectation as it was, until
-the probability of one is 0 or 1; that one is settled and the other goes on. A chunk of
-documents so leaves one residual; residuals meet in chunks again, a tree of fixed fan-in, until each
-source has one residual for each size class (powers of two). Those few are settled largest first by the words
-left to give, so that the words of a source end within about a small document of the target.
+which the fraction has to be rounded. Two units at a time, one passes words (probability times size) to the
+other in a random direction, with chances that leave every expectation as it was, until the probability of one is 0 or 1; that
+one is settled and the other goes on.
+
+Documents that are large beside their source come first, the largest first: the other unit is then all that is left of the
+source, taken as one, so that what a large document takes too much or too little is spread over many small ones. There are at most
+LARGE of them in a source. The small ones are paired in chunks; a chunk leaves one residual, residuals meet in chunks
+again, a tree of fixed fan-in, and the one residual that a source has at the end is rounded by a draw. Its size is
+less than a part in LARGE of its source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, words_of
+from .common import aside, cut, ranked, words_of
 
 #: Documents or residuals that meet in one fold.
 FAN_IN = 64
+#: A document is large that has more than one part in so many of its source's words.
+LARGE = 1_024
 #: Tables of sources up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
 #: Open documents of a fold: probability, size, row hash, id, place.
 ITEM = "struct<p:double,s:bigint,h:bigint,id:bigint,place:bigint>"
+#: Probabilities nearer to 0 or 1 than this are integral but for the arithmetic.
+NEAR = 1e-12
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size) with each source's target. Weights go round by the sources' order, null last.
+    """``sizes`` (source, source_size, ..) with each source's target. Weights go round by the sources' order, null last.
 
     A target stops at ``cap`` times its size; the excess is shared again by weight until no source is above.
     """
     order = (F.col("source").isNull().asc(), F.col("source").asc())
-    placed = ranked(sizes, *order, name="_rank", label="sources")
-    placed = cut(placed.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))), "weights")
+    placed = ranked(sizes, *order, name="rank", label="sources")
+    placed = placed.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
     size, w = F.col("source_size"), F.col("w")
     total = placed.agg(F.sum("source_size")).head()[0] or 0
     a_weight, capped_before = None, -1
@@ -46,37 +54,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         if found["capped"] == capped_before or not found["open"]:
             break
         a_weight, capped_before = max(0.0, share * total - found["given"]) / found["open"], found["capped"]
-    return placed.select("source", "source_size", F.least(cap * size, F.lit(a_weight or 0.0) * w).alias("target"))
+    return placed.withColumn("target", F.least(cap * size, F.lit(a_weight or 0.0) * w)).drop("w")
+
+
+def _draw(x: str, salt: int, seed: int) -> str:
+    """A number from 0 to 1 of an item and a salt."""
+    return f"(pmod(xxhash64({x}.h, {x}.id, {x}.place, {salt}L, {seed}L), 9007199254740992L) / 9007199254740992D)"
 
 
 def _fold(level: int, seed: int) -> str:
-    """SQL that folds a sorted array of open documents: the settled ones and at most one residual."""
-    u = f"(pmod(xxhash64(x.h, x.id, {level}L, {seed}L), 9007199254740992L) / 9007199254740992D)"
-    r, one, two = "acc.rest", "acc.rest.p * acc.rest.s", "x.p * x.s"
-    up, down = f"least((1 - x.p) * x.s, {one})", f"least((1 - {r}.p) * {r}.s, {two})"
-    item = lambda i, p: f"named_struct('p', {p}, 's', {i}.s, 'h', {i}.h, 'id', {i}.id, 'place', {i}.place)"
-    step = lambda settled, p, rest: f"named_struct('rest', {rest}, 'done', array_append(acc.done, {item(settled, p)}))"
-    return f"""aggregate(items,
-      cast(named_struct('rest', null, 'done', array()) as struct<rest:{ITEM},done:array<{ITEM}>>),
+    """SQL that folds the array ``items``: (rest: place of the residual or -1, p: its probability, done: twice the place, and one if taken, of each settled item)."""
+    r = "items[acc.rest]"
+    one, two = f"acc.p * {r}.s", "x.p * x.s"
+    up, down = f"least((1 - x.p) * x.s, {one})", f"least((1 - acc.p) * {r}.s, {two})"
+    step = lambda settled, taken, rest, p: f"named_struct('rest', {rest}, 'p', {p}, 'at', acc.at + 1, 'done', array_append(acc.done, 2 * {settled} + {taken}))"
+    return f"""aggregate(items, named_struct('rest', -1, 'p', 0D, 'at', 0, 'done', cast(array() as array<int>)),
       (acc, x) -> CASE
-        WHEN acc.rest IS NULL THEN named_struct('rest', {item('x', 'x.p')}, 'done', acc.done)
-        WHEN {u} * ({up} + {down}) <= {down} THEN
-          CASE WHEN (1 - x.p) * x.s <= {one} THEN {step('x', '1D', item(r, f'greatest(0D, ({one} - (1 - x.p) * x.s) / {r}.s)'))}
-               ELSE {step(r, '0D', item('x', f'least(1D, ({one} + {two}) / x.s)'))} END
+        WHEN acc.rest < 0 THEN named_struct('rest', acc.at, 'p', x.p, 'at', acc.at + 1, 'done', acc.done)
+        WHEN {_draw('x', level, seed)} * ({up} + {down}) <= {down} THEN
+          CASE WHEN (1 - x.p) * x.s <= {one} THEN {step('acc.at', 1, 'acc.rest', f'greatest(0D, ({one} - (1 - x.p) * x.s) / {r}.s)')}
+               ELSE {step('acc.rest', 0, 'acc.at', f'least(1D, ({one} + {two}) / x.s)')} END
         ELSE
-          CASE WHEN (1 - {r}.p) * {r}.s <= {two} THEN {step(r, '1D', item('x', f'greatest(0D, ({two} - (1 - {r}.p) * {r}.s) / x.s)'))}
-               ELSE {step('x', '0D', item(r, f'least(1D, ({one} + {two}) / {r}.s)'))} END
+          CASE WHEN (1 - acc.p) * {r}.s <= {two} THEN {step('acc.rest', 1, 'acc.at', f'greatest(0D, ({two} - (1 - acc.p) * {r}.s) / x.s)')}
+               ELSE {step('acc.at', 0, 'acc.rest', f'least(1D, ({one} + {two}) / {r}.s)')} END
       END)"""
 
 
-#: Settles the last residuals of a source, largest first: taken if the words left to give hold them, or if what follows could not fill the gap.
-SETTLE = f"""aggregate(items,
-      cast(named_struct('left', aggregate(items, 0D, (a, x) -> a + x.p * x.s), 'room', aggregate(items, 0D, (a, x) -> a + x.s), 'done', array())
-           as struct<left:double,room:double,done:array<{ITEM}>>),
-      (acc, x) -> CASE WHEN acc.left >= x.s OR (acc.left > acc.room - x.s AND x.s - acc.left < acc.left - (acc.room - x.s))
-        THEN named_struct('left', acc.left - x.s, 'room', acc.room - x.s, 'done', array_append(acc.done, named_struct('p', 1D, 's', x.s, 'h', x.h, 'id', x.id, 'place', x.place)))
-        ELSE named_struct('left', acc.left, 'room', acc.room - x.s, 'done', array_append(acc.done, named_struct('p', 0D, 's', x.s, 'h', x.h, 'id', x.id, 'place', x.place)))
-      END).done"""
+def _large(seed: int) -> str:
+    """SQL that settles the array ``items``, largest first, against what is left of the source: (words and expected words left, done: 1 for each item taken, else 0)."""
+    p, rest, room = "acc.mass / acc.words", "acc.mass - acc.mass / acc.words * x.s", "(acc.words - x.s) - (acc.mass - acc.mass / acc.words * x.s)"
+    up, down = f"least((1 - {p}) * x.s, {rest})", f"least({p} * x.s, {room})"
+    step = lambda mass, taken: f"named_struct('words', acc.words - x.s, 'mass', {mass}, 'done', array_append(acc.done, {taken}))"
+    return f"""aggregate(items, named_struct('words', words, 'mass', mass, 'done', cast(array() as array<int>)),
+      (acc, x) -> CASE
+        WHEN {_draw('x', -1, seed)} * ({up} + {down}) <= {down} THEN
+          CASE WHEN (1 - {p}) * x.s <= {rest} THEN {step(f'greatest(0D, {rest} - (1 - {p}) * x.s)', 1)}
+               ELSE {step('0D', f'if({_draw("x", -2, seed)} * x.s < acc.mass, 1, 0)')} END
+        ELSE
+          CASE WHEN {p} * x.s <= {room} THEN {step('least(acc.words - x.s, acc.mass)', 0)}
+               ELSE {step('acc.words - x.s', f'if({_draw("x", -2, seed)} * x.s < acc.mass - (acc.words - x.s), 1, 0)')} END
+      END)"""
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
@@ -85,80 +102,76 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size counts words (null text: 0). A document is taken ``floor(c)`` times or once more; c never exceeds ``cap``.
     Documents without words take none of the rounding. Null is a source of its own. All draws are hashes of the
     row, so reruns agree; rows without an id are told apart by their place in the input. Repeated rows are rounded each
-    for itself. An empty table gives an empty result.
+    for itself. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = cut(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
             F.col(source_col).alias("source"),
             words_of(F.col(text_col)).cast("long").alias("s"),
-            text_hash.alias("h"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
             F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long").alias("place"),
         ),
         "sizes",
     )
-    by_source = cut(targets(rows.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, cap).withColumn("c", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))), "targets")
-    plan = by_source.withColumnRenamed("source", "_source")
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    n = rows.count()
-    wide = max(1, -(-n // fan_in))
-    planned = (
-        rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
-        .drop("_source")
-        .withColumn("base", F.floor("c"))
-        .withColumn("p", F.col("c") - F.col("base"))
-    )
-    open_ = (F.col("s") > 0) & (F.col("p") > 0)
-    chunk = F.pmod(F.xxhash64("h", "id", "place", F.lit(seed)), F.lit(wide))
-    kind = F.floor(F.log2(F.col("s").cast("double"))).cast("int")
-    live = planned.where(open_).select("source", kind.alias("kind"), chunk.alias("chunk"), F.struct("p", "s", "h", "id", "place").alias("item"))
-    ordered = lambda first: F.array_sort(F.collect_list(F.struct(*first, F.col("item")))).alias("pairs")
-    settled, level = [], 0
+    sized = targets(rows.groupBy("source").agg(F.sum("s").alias("source_size"), F.count("*").alias("n")), weights, share, cap)
+    c = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    plan = cut(sized.select(F.col("source").alias("of"), "source_size", "target", c.alias("c"), F.ceil(F.col("n") / fan_in).alias("chunks")).withColumn("base", F.floor("c")), "targets")
+    n_sources, chunks = plan.agg(F.count("*"), F.max("chunks")).head()
+    with_plan = lambda df, plan: df.join(F.broadcast(plan) if n_sources <= BROADCAST_ROWS else plan, df["source"].eqNullSafe(plan["of"])).drop("of")
+    item = F.struct("p", "s", "h", "id", "place").alias("item")
+    in_order = lambda *first: F.transform(F.array_sort(F.collect_list(F.struct(*first, "item"))), lambda x: x["item"]).alias("items")
+    settled_row = ["source", "item.id", "item.s", "item.h", F.col("taken").cast("long").alias("extra")]
+
+    # the large documents of each source against the rest of it
+    planned = with_plan(rows, plan).withColumn("p", F.col("c") - F.col("base"))
+    open_, large = (F.col("s") > 0) & (F.col("p") > NEAR), F.col("s") * LARGE > F.col("source_size")
+    first = planned.where(open_ & large).select("source", "source_size", "p", item).groupBy("source").agg(F.first("source_size").cast("double").alias("words"), F.first("p").alias("p"), in_order((-F.col("item.s")).alias("order")))
+    first = cut(first.withColumn("mass", F.col("p") * F.col("words")).withColumn("out", F.expr(_large(seed))).select("source", "items", "out"), "large")
+    settled = [first.select("source", F.explode(F.arrays_zip(F.col("items").alias("item"), F.col("out.done").alias("taken"))).alias("x")).select("source", "x.item", "x.taken").select(*settled_row)]
+    left = first.select(F.col("source").alias("again"), (F.col("out.mass") / F.nullif(F.col("out.words"), F.lit(0.0))).alias("left"))
+    plan = plan.join(left, plan["of"].eqNullSafe(left["again"]), "left").withColumn("q", F.coalesce("left", F.col("c") - F.col("base"))).drop("again", "left")
+
+    # the small ones, by a tree of folds
+    planned = with_plan(rows, plan)
+    by_tree = (F.col("s") > 0) & ~large & (F.col("q") > NEAR) & (F.col("q") < 1 - NEAR)
+    chunk = F.pmod(F.xxhash64("h", "id", "place", F.lit(seed)), F.col("chunks"))
+    live = planned.where(by_tree).withColumn("p", F.col("q")).select("source", chunk.alias("chunk"), item)
+    level = 0
     while True:
         draw = F.xxhash64("item.h", "item.id", "item.place", F.lit(level), F.lit(seed)).alias("draw")
-        folded = cut(
-            live.groupBy("source", "kind", "chunk").agg(ordered([draw])).withColumn("items", F.expr("transform(pairs, x -> x.item)"))
-            .select("source", "kind", "chunk", F.expr(_fold(level, seed)).alias("out")),
-            "folded",
-        )
-        settled.append(folded.select("source", F.explode("out.done").alias("item")))
-        live = folded.where("out.rest IS NOT NULL").select("source", "kind", F.floor(F.col("chunk") / fan_in).alias("chunk"), F.col("out.rest").alias("item"))
-        level += 1
-        if wide == 1:
+        folded = live.groupBy("source", "chunk").agg(in_order(draw)).withColumn("out", F.expr(_fold(level, seed)))
+        own = F.expr("transform(out.done, e -> named_struct('item', items[shiftright(e, 1)], 'taken', e & 1))")
+        rest = F.expr("named_struct('p', out.p, 's', items[out.rest].s, 'h', items[out.rest].h, 'id', items[out.rest].id, 'place', items[out.rest].place)")
+        folded = cut(folded.select("source", "chunk", own.alias("done"), rest.alias("rest")), "folded")
+        settled.append(folded.select("source", F.explode("done").alias("x")).select("source", "x.item", "x.taken").select(*settled_row))
+        if chunks is None or chunks <= 1:
             break
-        wide = -(-wide // fan_in)
-    last = live.groupBy("source").agg(ordered([(-F.col("item.s")).alias("draw")])).withColumn("items", F.expr("transform(pairs, x -> x.item)"))
-    settled.append(last.select("source", F.explode(F.expr(SETTLE)).alias("item")))
+        live = folded.select("source", F.floor(F.col("chunk") / fan_in).alias("chunk"), F.col("rest").alias("item"))
+        level, chunks = level + 1, -(-chunks // fan_in)
+    last = F.expr(f"if({_draw('item', -3, seed)} < item.p, 1, 0)").alias("taken")
+    settled.append(folded.select("source", F.col("rest").alias("item")).select("source", "item", last).select(*settled_row))
+
     decided = settled[0]
     for more in settled[1:]:
         decided = decided.unionByName(more)
-    base = F.col("base").cast("long")
-    common = [F.col("source"), F.col("source_size"), F.col("target")]
-    decided = decided.select(F.col("source").alias("_s"), F.col("item.id").alias("id"), F.col("item.s").alias("s"), F.col("item.h").alias("h"), F.col("item.p").cast("long").alias("extra"))
-    decided = decided.join(plan, decided["_s"].eqNullSafe(plan["_source"])).select("id", "s", "h", F.col("_source").alias("source"), "source_size", "target", (F.floor("c") + F.col("extra")).cast("long").alias("copies"))
-    rest = planned.where(~open_).select("id", "s", "h", *common, base.alias("copies"))
-    out = decided.unionByName(rest)
-    return out.select(
-        F.col("id").alias(id_col), F.col("s").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("s")).alias("taken"), F.col("h").alias("row_hash")
-    )
+    integral = planned.where(~by_tree & ~(large & (F.col("s") > 0) & (F.col("c") - F.col("base") > NEAR)))
+    rest = integral.select("source", "id", "s", "h", F.when(F.col("s") > 0, F.round("q")).otherwise(0).cast("long").alias("extra"), "source_size", "target", "base")
+    out = with_plan(decided, plan.select("of", "source_size", "target", "base")).unionByName(rest)
+    copies = (F.col("base") + F.col("extra")).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("s").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("s")).alias("taken"), F.col("h").alias("row_hash"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as :func:`mix_sources` says, all columns as they were."""
-    from pyspark.sql import Window as W
-
-    same = ["_id_", "_h_"]
-    copies = mix_sources(docs, id_col, text_col, source_col, **how).select(F.col(id_col).alias("_id_"), F.col("row_hash").alias("_h_"), F.col("copies").alias("_n_"))
-    copies = cut(copies.groupBy(*same).agg(F.sum("_n_").cast("int").alias("_n_"), F.count("*").cast("int").alias("_rows_")), "copies")
-    taken = copies.where("_n_ > 0")
-    marked = docs.withColumn("_did_", F.col(id_col).cast("long")).withColumn("_dh_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = marked.join(taken, marked["_did_"].eqNullSafe(taken["_id_"]) & (marked["_dh_"] == taken["_h_"]))
-    own = F.col("_n_")
-    if not copies.where("_rows_ > 1").isEmpty():
+    copies = mix_sources(docs, id_col, text_col, source_col, **how).select(F.col(id_col).alias("of"), F.col("row_hash").alias("of_hash"), F.col("copies").alias("n"))
+    copies = cut(copies.groupBy("of", "of_hash").agg(F.sum("n").cast("int").alias("n"), F.count("*").cast("int").alias("rows")), "copies")
+    rows = aside(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    taken = copies.where("n > 0")
+    found = rows.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
+    own = F.col("n")
+    if not copies.where("rows > 1").isEmpty():
         # rows that repeat id and text share out what was taken of them
-        turn = F.row_number().over(W.partitionBy("_did_", "_dh_").orderBy(F.monotonically_increasing_id()))
-        found = found.withColumn("_turn_", turn)
-        own = (F.floor(F.col("_n_") / F.col("_rows_")) + (F.col("_turn_") <= F.col("_n_") % F.col("_rows_")).cast("int")).cast("int")
-    return found.withColumn("_own_", own).where("_own_ > 0").withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_own_")))).select(docs.columns)
+        found = found.withColumn("turn", F.row_number().over(W.partitionBy("id", "hash").orderBy(F.monotonically_increasing_id())))
+        own = (F.floor(F.col("n") / F.col("rows")) + (F.col("turn") <= F.col("n") % F.col("rows")).cast("int")).cast("int")
+    return found.withColumn("own", own).where("own > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

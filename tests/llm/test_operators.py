@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from delayspace.llm import secrets
+from delayspace.llm import mixing, secrets
 from delayspace.llm.ann import nearest
 from delayspace.llm.bpe import Automaton, WordTokenizer, bpe_digests, bpe_encode
+from delayspace.llm.exact_dedup import drop_exact_copies
 from delayspace.llm.html_extract import extract_pages, main_text
 from delayspace.llm.mixing import mix_sources, mixed_documents
 from delayspace.llm.quality import counts, keep_good, score_quality
+from delayspace.llm.simhash import drop_near_copies
 from delayspace.llm.url_filter import judge_urls
 
 DATA = "/root/testdata/sf0.01"
@@ -71,6 +73,75 @@ def test_mixing(spark):
     assert [r["taken"] for r in mix_sources(docs(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
 
 
+def settle_pairs(items, draws):
+    """Pivotal rounding two at a time: (taken by place, (place, probability) of the residual)."""
+    taken, rest = {}, None
+    for at, (p, s) in enumerate(items):
+        if rest is None:
+            rest = (at, p)
+            continue
+        other, q = rest
+        r = items[other][1]
+        up, down = min((1 - p) * s, q * r), min(p * s, (1 - q) * r)
+        move = up if draws[at] * (up + down) <= down else -down
+        p, q = p + move / s, q - move / r
+        if abs(p - round(p)) <= abs(q - round(q)):
+            taken[at], rest = round(p), (other, q)
+        else:
+            taken[other], rest = round(q), (at, p)
+    return taken, rest
+
+
+def settle_largest(items, words, p, draws, late):
+    """Each item against all that is left, taken as one."""
+    mass, out = p * words, []
+    for (_, s), u, v in zip(items, draws, late, strict=True):
+        p = mass / words
+        others, room = mass - p * s, (words - s) - (mass - p * s)
+        up, down = min((1 - p) * s, others), min(p * s, room)
+        mine, others = (p * s + up, others - up) if u * (up + down) <= down else (p * s - down, others + down)
+        out.append(int(mine > s / 2) if min(mine, s - mine) < 1e-9 * s else int(v * s < mine))
+        words, mass = words - s, others
+    return out, mass
+
+
+def test_folds(spark):
+    """The SQL of both folds against loops with the same draws, and that they keep words and expectations."""
+    rng = np.random.default_rng(9)
+    groups = [[(float(rng.choice([0.5, rng.random()])), int(rng.integers(1, 400))) for _ in range(int(rng.integers(1, 40)))] for _ in range(150)]
+    rows = [(k, [(p, s, k * 1_000 + i, i, 0) for i, (p, s) in enumerate(g)], float(sum(s for _, s in g) + 50), 0.3) for k, g in enumerate(groups)]
+    df = spark.createDataFrame(rows, f"k int, items array<{mixing.ITEM}>, words double, q double").withColumn("mass", F.col("q") * F.col("words"))
+    draw = lambda salt: F.expr(f"transform(items, x -> {mixing._draw('x', salt, 7)})")
+    for r in df.select("k", "words", "q", F.expr(mixing._fold(0, 7)).alias("f"), F.expr(mixing._large(7)).alias("g"), draw(0).alias("u"), draw(-1).alias("v"), draw(-2).alias("w")).collect():
+        items = groups[r["k"]]
+        taken, (rest, p) = settle_pairs(items, r["u"])
+        assert {e >> 1: e & 1 for e in r["f"]["done"]} == taken and r["f"]["rest"] == rest and abs(r["f"]["p"] - p) < 1e-9
+        assert abs(sum(items[i][1] * t for i, t in taken.items()) + p * items[rest][1] - sum(p * s for p, s in items)) < 1e-6
+        out, mass = settle_largest(items, r["words"], r["q"], r["v"], r["w"])
+        assert r["g"]["done"] == out and abs(r["g"]["mass"] - mass) < 1e-6
+    # over many draws each item is taken as often as its probability says
+    one = [(0.3, 50), (0.6, 20), (0.2, 90), (0.5, 10)]
+    many = spark.range(4_000).select(F.array(*[F.expr(f"named_struct('p', {p}D, 's', {s}L, 'h', id, 'id', {i}L, 'place', 0L)") for i, (p, s) in enumerate(one)]).alias("items"))
+    got = many.select(F.expr(mixing._fold(0, 7)).alias("f"), F.expr("transform(items, x -> x.h)").alias("h")).collect()
+    mean = np.zeros(4)
+    for r in got:
+        for e in r["f"]["done"]:
+            mean[e >> 1] += e & 1
+        mean[r["f"]["rest"]] += r["f"]["p"]
+    assert np.abs(mean / len(got) - [p for p, _ in one]).max() < 0.03
+
+
+def test_columns_with_working_names(spark):
+    """Columns named like an operator's own come back as they were."""
+    names = ["_sha_", "_dh_", "_n_", "_first_", "row", "id", "sha", "hash", "n", "own", "of", "turn", "gone_id", "token", "node"]
+    rows = [(i, f"w{i % 4} a b c d e f", "s", *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names)).repartition(2)
+    for out in (drop_exact_copies(df), mixed_documents(df), drop_near_copies(df)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r['doc_id']}" for c in names]
+
+
 # URL filters
 
 

@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates are strings that look like credentials. Those of the base kinds are always reported. Wider kinds are
-reported by how the corpus owns them: their hashes are counted over distinct repositories and owners, wherever they stand, in
-base candidates and in overlapping ones too, and a value that many of either hold is a copied example, while one that few hold
-looks live. Overlaps are resolved among what is reported.
+Candidates are strings that look like credentials, of base and of wider kinds. Hashes of all their values are counted over the
+corpus's distinct repositories and owners, wherever they stand, in overlapping candidates too: a value that many of either hold is a
+copied example, one that few hold looks live. Every reported span carries its value's counts. Those of the base kinds are always
+reported, those of wider kinds if they look live; overlaps are resolved among what is reported.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,11 @@ BASE = (
 WIDER = (
     ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})"), 1),
     ("prefixed", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_|glpat-|xox[abpr]-|sk-|pk_live_|sk_live_|AIza)[A-Za-z0-9_-]{16,}"), 0),
-    ("url", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,64})@"), 1),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"), 0),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
+    ("url", re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@"), 1),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*"), 0),  # and on to its end mark, if one comes before the next key
+    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
 )
+_PEM_END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 KINDS = [k for k, *_ in (*BASE, *WIDER)]
 #: Bits a character and kinds of characters that a "random" value has at least.
 ENTROPY, CLASSES = 3.5, 3
@@ -56,78 +59,96 @@ def _hash(value: str) -> bytes:
     return hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
-def base_values(text: str | None, base: list[tuple[int, int, str]]) -> set[bytes]:
-    """Hashes of the values of ``base`` spans."""
-    out = set()
-    for a, k, b in base:
-        _, pattern, group, _ = BASE[k]
-        out.add(_hash(pattern.match(text, a, b)[group]))
-    return out
+def base_candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
+    """(start, kind's place, end, hash of the value) of :func:`base_spans`."""
+    return [(a, k, b, _hash(BASE[k][1].match(text, a, b)[BASE[k][2]])) for a, k, b in base_spans(text)]
 
 
-def wider_spans(text: str | None) -> list[tuple[int, int, int, bytes]]:
+def wider_candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
     """(start, kind's place, end, hash of the value) of all wider candidates, overlapping ones included."""
     out, text = [], text or ""
     for k, (kind, pattern, group) in enumerate(WIDER, len(BASE)):
-        for m in pattern.finditer(text):
-            if kind != "random" or _random(m[0]):
-                out.append((m.start(), k, m.end(), _hash(m[group])))
+        found = list(pattern.finditer(text))
+        ends = [m.end() for m in _PEM_END.finditer(text)] if kind == "pem" and found else []
+        for i, m in enumerate(found):
+            end, value = m.end(), m[group]
+            if kind == "pem":
+                at = bisect_left(ends, end)
+                if at < len(ends) and (i + 1 == len(found) or ends[at] <= found[i + 1].start()):
+                    end = ends[at]
+                value = text[m.start() : end]
+            if kind != "random" or _random(value):
+                out.append((m.start(), k, end, _hash(value)))
     return sorted(out)
 
 
+def apart(wider: list[tuple], base: list[tuple]) -> list[tuple]:
+    """Those of ``wider`` that overlap none of ``base``, which is sorted by start."""
+    starts, reach = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+    out = []
+    for x in wider:
+        before = bisect_left(starts, x[2])  # of those that start before its end, does any reach beyond its start?
+        if not before or reach[before - 1] <= x[0]:
+            out.append(x)
+    return out
+
+
 def _spell(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
+
+
+_FOUND = "array<struct<a:int,k:int,b:int,value:binary>>"
+SCANNED = f"id long, repo string, owner string, n_assign long, n_access long, n_hex long, base string, found {_FOUND}, hidden array<binary>"
 
 
 def _scan(batches):
-    wide = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32()), ("value", pa.binary())]))
-    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("wider", wide), ("values", pa.list_(pa.binary()))])
+    spans = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32()), ("value", pa.binary())]))
+    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("found", spans), ("hidden", pa.list_(pa.binary()))])
     for batch in batches:
-        n, spelt, found, values = [[], [], []], [], [], []
+        n, spelt, found, hidden = [[], [], []], [], [], []
         for t in batch.column("text"):
             text = t.as_py()
-            base = base_spans(text)
-            for k in range(3):
+            base, wider = base_candidates(text), wider_candidates(text)
+            for k in range(len(BASE)):
                 n[k].append(sum([x[1] == k for x in base]))
-            spelt.append(_spell(base))
-            wider = wider_spans(text)
+            spelt.append(_spell([x[:3] for x in base]))
+            free = apart(wider, base)
+            found.append([{"a": a, "k": k, "b": b, "value": v} for a, k, b, v in (*base, *free)])
             # one that overlaps a base span is never reported, but its value counts
-            found.append([{"a": a, "k": k, "b": b, "value": v} for a, k, b, v in wider if not any(x < b and a < y for x, _, y in base)])
-            values.append(sorted(base_values(text, base) | {x[3] for x in wider}))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("repo"), batch.column("owner"), *[pa.array(x, pa.int64()) for x in n], pa.array(spelt, pa.string()), pa.array(found, wide), pa.array(values, pa.list_(pa.binary()))], schema=schema)
-
-
-SCANNED = "id long, repo string, owner string, n_assign long, n_access long, n_hex long, base string, wider array<struct<a:int,k:int,b:int,value:binary>>, values array<binary>"
+            hidden.append(sorted({x[3] for x in wider} - {x[3] for x in free}))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("repo"), batch.column("owner"), *[pa.array(x, pa.int64()) for x in n], pa.array(spelt, pa.string()), pa.array(found, spans), pa.array(hidden, pa.list_(pa.binary()))], schema=schema)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
-    """One row for each row of ``docs``: id, n_assign, n_access, n_hex, base_spans, spans.
+    """One row for each row of ``docs``: id, n_assign, n_access, n_hex, base_spans, spans, span_owners, span_repositories, span_live.
 
     Spans are ``kind:start:end`` by start, then kind as listed, in code points, end exclusive. ``spans`` has the
-    base ones and those wider ones whose value at most ``owners`` owners and ``repositories`` repositories hold. Null
+    base ones and those wider ones whose value at most ``owners`` owners and ``repositories`` repositories hold; the arrays
+    after it have, for each of its spans, how many owners and repositories hold its value and whether that is so few. Null
     texts count as empty, a null owner as one owner of its own; repeated rows are reported each. An empty table gives an
-    empty result.
+    empty result. Only the columns named are read.
     """
     repo = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in repo_cols])
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), repo.alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\x02")).alias("owner"))
     scanned = cut(slim.mapInArrow(_scan, SCANNED).withColumn("place", F.monotonically_increasing_id()), "scanned")
-    candidates = scanned.where("size(wider) > 0").select("place", F.explode("wider").alias("x")).select("place", "x.*")
-    # what no wider kind that can be reported has needs no count
-    values = scanned.where("size(values) > 0").select("repo", "owner", F.explode("values").alias("value")).join(candidates.select("value").distinct(), "value", "left_semi")
+    with_any = scanned.where("size(found) > 0")
+    candidates = with_any.select("place", F.explode("found").alias("x")).select("place", "x.*")
+    every = F.explode(F.concat(F.transform("found", lambda x: x["value"]), "hidden")).alias("value")
     # each owner and repository counts once for a value: a widely copied one shrinks before it meets itself
-    held = values.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    counts = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    live = counts.where((F.col("owners") <= owners) & (F.col("repos") <= repositories)).select("value")
-    ours = candidates.join(live, "value", "left_semi").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("a", "k", "b"))).alias("more"))
+    held = with_any.select("repo", "owner", every).groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
+    counts = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repositories"))
+    counts = counts.withColumn("live", (F.col("owners") <= owners) & (F.col("repositories") <= repositories))
+    # a wider candidate that is an example is gone before overlaps are looked at
+    reported = candidates.join(counts, "value").where((F.col("k") < len(BASE)) | F.col("live"))
+    span = F.struct("a", "k", "b", "owners", "repositories", "live")
+    lists = reported.groupBy("place").agg(F.array_sort(F.collect_list(span)).alias("all"))
+    wider = F.filter("all", lambda x: x["k"] >= len(BASE))
     # of live ones that overlap, the first is reported
-    none = F.array().cast("array<struct<a:int,k:int,b:int>>")
-    ours = ours.withColumn("more", F.aggregate("more", none, lambda kept, x: F.when((F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["b"] <= x["a"]), F.concat(kept, F.array(x))).otherwise(kept)))
-    parts = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
+    first = F.aggregate(wider, F.struct(F.lit(0).alias("end"), F.slice(wider, 1, 0).alias("kept")), lambda s, x: F.when(x["a"] >= s["end"], F.struct(x["b"].alias("end"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s))["kept"]
+    lists = lists.select("place", F.array_sort(F.concat(F.filter("all", lambda x: x["k"] < len(BASE)), first)).alias("spans"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    base = F.transform(parts, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), (F.array_position(kinds, F.split(s, ":")[0]) - 1).cast("int").alias("k"), F.split(s, ":")[2].cast("int").alias("b")))
-    spelt = F.transform(F.array_sort(F.concat(base, "more")), lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["a"].cast("string"), x["b"].cast("string")))
-    joined = scanned.join(ours, "place", "left")
-    return joined.select(
-        F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", F.col("base").alias("base_spans"),
-        F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(spelt, ",")).alias("spans"),
+    spelt = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return scanned.join(lists, "place", "left").select(
+        F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", F.col("base").alias("base_spans"), F.coalesce(spelt, F.lit("")).alias("spans"),
+        *[F.coalesce(F.col(f"spans.{c}"), F.array().cast(f"array<{t}>")).alias(f"span_{c}") for c, t in (("owners", "long"), ("repositories", "long"), ("live", "boolean"))],
     )

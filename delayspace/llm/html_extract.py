@@ -44,7 +44,8 @@ MARKS = frozenset(
     replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget""".split()
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -76,93 +77,142 @@ def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def tags(page: str):
+    """(start, end, end mark, name, attributes) of each tag; comments and declarations have no name.
+
+    A quoted ``>`` does not end a tag, but a quote that is never closed is a mark like any other. What is not closed goes to the page's
+    end. Each part of the page is read once.
+    """
+    at, unclosed = 0, set()
+    while m := _OPEN.search(page, at):
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+            yield m.start(), at, "", "", ""
+            continue
+        if not m[3]:
+            at = m.end() if page.startswith("<![CDATA[", m.start()) else page.find(">", m.end()) + 1 or len(page)
+            yield m.start(), at, "", "", ""
+            continue
+        at = m.end()
+        while stop := _STOP.search(page, at):
+            if stop[0] == ">":
+                break
+            close = -1 if stop[0] in unclosed else page.find(stop[0], stop.end())
+            if close < 0:
+                unclosed.add(stop[0])
+                at = stop.end()
+            else:
+                at = close + 1
+        end = stop.start() if stop else len(page)
+        at = stop.end() if stop else len(page)
+        jump = yield m.start(), at, m[2], m[3].lower(), page[m.end() : end]
+        if jump is not None:
+            at = jump
+            yield
+
+
+#: An element of the key is ended by the start of another; what stands outside of one of the values is not.
+_SCOPE = {"p": ("div", "article", "section", "main", "td", "li", "body", "aside", "footer", "header", "nav", "form", "blockquote"), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
+
+#: What an open element of a name counts for.
+_COUNTS = {"a": "links", "article": "articles", "main": "articles"} | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "headings")
+
+
+class Open:
+    """Elements that are open, and where in the order those of each name stand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.furniture = self.links = self.articles = self.headings = 0
+
+    def last(self, names) -> int:
+        """Where the last one of these names stands, or -1."""
+        best, places = -1, self.places
+        for n in names:
+            at = places.get(n)
+            if at and at[-1] > best:
+                best = at[-1]
+        return best
+
+    def start(self, name: str, furniture: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, furniture))
+        self.furniture += furniture
+        if name in _COUNTS:
+            setattr(self, _COUNTS[name], getattr(self, _COUNTS[name]) + 1)
+
+    def end(self, at: int) -> None:
+        """End the element at this place and all in it."""
+        for name, furniture in reversed(self.stack[at:]):
+            self.places[name].pop()
+            self.furniture -= furniture
+            if name in _COUNTS:
+                setattr(self, _COUNTS[name], getattr(self, _COUNTS[name]) - 1)
+        del self.stack[at:]
+
+
 def blocks(html: str | None) -> list[dict]:
     """Blocks in page order: text, link (characters within links), furniture, article, heading."""
     out: list[dict] = []
-    stack: list[tuple[str, bool]] = []
     text: list[str] = []
-    link = out_depth = article = links = heading = 0
+    page, open_, link, at = html or "", Open(), 0, 0
+    endless: set[str] = set()
+
+    def add(part: str) -> None:
+        nonlocal link
+        text.append(part)
+        link += len(part) if open_.links else 0
 
-    def close():
-        nonlocal text, link
+    def close() -> None:
+        nonlocal link
         got = " ".join(entities.unescape("".join(text)).split())
         if got:
-            out.append({"text": got, "link": link, "furniture": out_depth > 0, "article": article > 0, "heading": heading > 0})
-        text, link = [], 0
-
-    def pop(name):
-        nonlocal out_depth, article, links, heading
-        n, f = stack.pop()
-        out_depth -= f
-        article -= n in ("article", "main")
-        links -= n == "a"
-        heading -= n in ("h1", "h2", "h3", "h4", "h5", "h6")
-
-    at, page = 0, html or ""
-    while True:
-        m = _TAG.search(page, at)
-        part = page[at : m.start()] if m else page[at:]
-        if part:
-            text.append(part)
-            if links:
-                link += len(part)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+            out.append({"text": got, "link": link, "furniture": open_.furniture > 0, "article": open_.articles > 0, "heading": open_.headings > 0})
+        text.clear()
+        link = 0
+
+    found = tags(page)
+    for start, end, closing, name, attributes in found:
+        if start > at:
+            add(page[at:start])
+        at = end
         if not name:
             continue
-        if m[1]:
-            if name in BLOCK:
-                close()
-            if any(n == name for n, _ in stack):
-                # an inline end tag does not close the blocks it was left open across
-                while stack[-1][0] != name:
-                    pop(stack[-1][0])
-                pop(name)
-            elif name == "p":
-                close()
-            continue
         if name in BLOCK:
             close()
+        if closing:
+            # an inline end tag does not close the blocks it was left open across
+            if open_.places.get(name):
+                open_.end(open_.places[name][-1])
+            continue
         if name in SILENT:
-            if m[3].endswith("/"):
-                continue
-            end = _ENDS[name].search(page, at)
-            if not end and name in ("head", "title"):
+            if attributes.endswith("/"):
                 continue
-            at = end.end() if end else len(page)
+            stop = None if name in endless else _ENDS[name].search(page, at)
+            if not stop:
+                endless.add(name)
+                if name in ("head", "title"):
+                    continue
+            at = stop.end() if stop else len(page)
+            found.send(at)
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            _imply(stack, pop, name)
-        f = _furniture(name, m[3] or "", article > 0)
-        stack.append((name, f))
-        out_depth += f
-        article += name in ("article", "main")
-        links += name == "a"
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if name in _SCOPE:
+            same = open_.last(_SAME.get(name, (name,)))
+            if same > open_.last(_SCOPE[name]):
+                open_.end(same)
+        open_.start(name, _furniture(name, attributes, open_.articles > 0))
+    if at < len(page):
+        add(page[at:])
     close()
     return out
 
 
-#: An element of the key is ended by the start of another; the walk up stops at one of the values.
-_SCOPE = {"p": ("div", "article", "section", "main", "td", "li", "body", "aside", "footer", "header", "nav", "form", "blockquote"), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-
-
-def _imply(stack, pop, name: str) -> None:
-    same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-    for n, _ in reversed(stack):
-        if n in _SCOPE[name]:
-            return
-        if n in same:
-            while stack[-1][0] not in same:
-                pop(stack[-1][0])
-            pop(stack[-1][0])
-            return
-
-
 def first_pass(block: dict) -> str:
     """good, bad, near (middling) or short, by the block alone."""
     text = block["text"]

@@ -67,7 +67,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "span_owners", "span_repositories", "span_live")
 
 
 QUERIES = {
@@ -118,10 +118,13 @@ t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY do
 SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
 FROM d JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op6_url_filter": rf"""
-WITH RECURSIVE links AS (
-  SELECT url AS a, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS b FROM pages
-  UNION
-  SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)) FROM pages),
+WITH RECURSIVE tags AS (
+  SELECT url AS a, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^<>]*>')) AS tag FROM pages),
+links AS (
+  SELECT a, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM tags
+  WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+  UNION SELECT a, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
 both_ways AS (
   SELECT a, replace(b, '&amp;', '&') AS b FROM links WHERE contains(b, '://') AND a IS NOT NULL
   UNION SELECT replace(b, '&amp;', '&'), a FROM links WHERE contains(b, '://') AND a IS NOT NULL),

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .graph import connected_components
 
 #: (verdict, host, path)
@@ -19,11 +20,16 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: A tag as it is looked for in html, one that holds a ``<`` left out, so that unclosed ones are passed over once; what it must hold; what its target is.
+CANONICAL = (r"(?i)<link\b[^<>]*>", r"""(?i)\brel\s*=\s*["']?canonical\b""", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""")
+REFRESH = (r"(?i)<meta\b[^<>]*>", r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""")
+BASE = (r"(?i)<base\b[^<>]*>", r"(?i)\bhref\b", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""")
 
 
-BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+def targets_in(html, tag: str, holds: str, target: str) -> F.Column:
+    """Targets of all tags of a kind that hold what they must."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(tag), 0), lambda x: F.rlike(x, F.lit(holds)))
+    return F.filter(F.transform(found, lambda x: F.regexp_extract(x, target, 1)), lambda x: x != "")
 
 
 def host_of(url) -> F.Column:
@@ -68,9 +74,9 @@ def resolved(link, url) -> F.Column:
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): a page's URL and each URL that its html redirects to or names as canonical, relative ones resolved against the page's, or its base element's."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))
+    found = F.concat(targets_in(html, *CANONICAL), targets_in(html, *REFRESH))
     plain = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
-    links = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), plain(F.regexp_extract(html, BASE, 1)).alias("base"), F.explode(found).alias("b"))
+    links = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), plain(F.coalesce(F.try_element_at(targets_in(html, *BASE), F.lit(1)), F.lit(""))).alias("base"), F.explode(found).alias("b"))
     links = links.select("a", F.coalesce(F.when(F.col("base") != "", resolved(F.col("base"), F.col("a"))), F.col("a")).alias("base"), plain(F.col("b")).alias("b"))
     return links.select("a", resolved(F.col("b"), F.col("base")).alias("b")).where("b IS NOT NULL")
 
@@ -89,6 +95,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if html_col:
         linked = link_edges(pages_, "_url", "_html")
         edges = linked if edges is None else edges.union(linked)
+    if edges is not None:
+        edges = cut(edges, "links")  # looked at twice, and far smaller than the pages
     if edges is None or edges.isEmpty():
         through = own.withColumn("passed", F.lit(None).cast("string"))
     else:

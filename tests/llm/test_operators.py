@@ -1,8 +1,10 @@
 """The other operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from delayspace.llm import mixing, secrets
 from delayspace.llm.ann import nearest
 from delayspace.llm.bpe import Automaton, WordTokenizer, bpe_digests, bpe_encode
 from delayspace.llm.exact_dedup import drop_exact_copies
-from delayspace.llm.html_extract import extract_pages, main_text
+from delayspace.llm.html_extract import extract_pages, main_text, second_pass
 from delayspace.llm.mixing import mix_sources, mixed_documents
 from delayspace.llm.quality import counts, keep_good, score_quality
+from delayspace.llm.queries import ORACLE_SQL
 from delayspace.llm.simhash import drop_near_copies
 from delayspace.llm.url_filter import judge_urls
 
@@ -172,6 +175,31 @@ def test_urls(spark):
     assert judge_urls(other, html_col=None, redirects=moved).head()["verdict"] == "block"
 
 
+def test_sql_of_urls(spark):
+    """The registered SQL on pages with links, of both orders of attributes."""
+    duckdb = pytest.importorskip("duckdb")
+    hosts = ["a.org", "b.com", "c.example.org", "d.net", "e.net", "f.net", "G.com"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/es/1", "/de/2", "/fr/3", "/x", "")]
+    rng = np.random.default_rng(4)
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">', '<meta content="0; URL={}" http-equiv=refresh>', '<link rel="icon" href="{}">', "<p>{}</p>"]
+    rows = [(i, urls[int(rng.integers(len(urls)))], "<p>x" + forms[int(rng.integers(6))].format(urls[int(rng.integers(len(urls)))]) * int(rng.integers(2))) for i in range(60)] + [(90, None, "<p>"), (91, "none", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841
+    want = duckdb.sql(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE_SQL['op6_url_filter']})").fetchall()
+    key = lambda r: r[0]
+    assert sorted(got, key=key) == sorted(want, key=key) and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("piece", ["<link ", "<link rel ", "<meta http-equiv=refresh ", '<link rel="canonical" href="', "<base ", "<"])
+def test_hostile_links(spark, piece):
+    """Millions of signs of tags that are never closed."""
+    df = spark.createDataFrame([(1, "http://a.com/x", "x")], "page_id long, url string, html string").withColumn("html", F.repeat(F.lit(piece), 5_000_000 // len(piece)))
+    began = time.time()
+    assert judge_urls(df).head()["verdict"] == "allow"
+    assert time.time() - began < 30
+
+
 def test_relative_links(spark):
     """Targets without a host are resolved against the page."""
     refresh, canonical = '<meta http-equiv="refresh" content="0; url={}">', '<link rel="canonical" href="{}">'
@@ -204,6 +232,35 @@ def test_html(spark):
     assert extract_pages(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<a x " * 1_000_000 + "'", "<div>" * 500_000 + "</p>" * 500_000, "<title>" * 700_000, "<b>" * 800_000 + "<tr></tr>" * 250_000, "<p><div>" + "<b>" * 800_000 + "<p></p>" * 300_000, '<a "' * 1_200_000, "<p class='" * 500_000, "<" * 5_000_000])
+def test_hostile_html(html):
+    """Pages of 5 MB that are never closed as they should be: each part is read once."""
+    began = time.process_time()
+    assert isinstance(main_text(html), str)
+    assert time.process_time() - began < 15
+
+
+def test_html_against_slower_rules():
+    """Both passes against rules that look at all blocks for each."""
+    rng = np.random.default_rng(7)
+    labels = ["good", "bad", "near", "short"]
+    for _ in range(300):
+        first = [labels[int(x)] for x in rng.integers(0, 4, int(rng.integers(0, 12)))]
+        article = [bool(x) for x in rng.integers(0, 2, len(first))]
+        want = []
+        for i, label in enumerate(first):
+            decided = [(abs(i - j), j) for j, x in enumerate(first) if x in ("good", "bad")]
+            left, right = min([x for x in decided if x[1] < i], default=None), min([x for x in decided if x[1] > i], default=None)
+            if label in ("good", "bad"):
+                want.append(label == "good")
+            elif article[i]:
+                want.append(any(x is None or first[x[1]] == "good" or not article[x[1]] for x in (left, right)))
+            else:
+                near = [(x[0], first[x[1]] != "good") for x in (left, right) if x]
+                want.append(bool(near) and not min(near)[1])
+        assert second_pass(first, article) == want
+
+
 # BPE
 
 
@@ -233,6 +290,9 @@ def test_automaton():
             word = "".join(rng.choice(base, rng.integers(1, 14)))
             want = brute_bpe([*word[:-1], word[-1] + "</w>"], rank)
             assert [a.labels[i] for i in a.encode(word)] == want, (word, merges)
+        # words read by themselves, a position at a time, come out the same
+        long = "".join(rng.choice(base, 90))
+        assert [a.labels[i] for i in a.encode(long)] == brute_bpe([*long[:-1], long[-1] + "</w>"], rank)
 
 
 def test_tokenizer(spark):
@@ -249,6 +309,10 @@ def test_tokenizer(spark):
         e = library.encode(t or "", add_special_tokens=False)
         assert own.encode(t) == e.ids
         assert own.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False)
+    # very long texts are cut at white space, and words as they come
+    own.known.clear()
+    for t in ("word another " * 150_000, "x" * 1_200_000 + " y"):
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
     df = docs(spark, [(k, t, "s") for k, t in enumerate(texts)] + [(None, "x", "s"), (0, "x", "s")])
     full, short = bpe_encode(df, path), bpe_digests(df, path)
     assert full.count() == short.count() == len(texts) + 2
@@ -339,6 +403,63 @@ def test_secrets(spark):
     assert all(got[(i, "")]["spans"] == "" for i in (2, 3, 4, 5, 6))
     assert got[(7, "access:100000:100020")]["n_access"] == 1 and got[(7, "access:0:20")]["n_access"] == 1
     assert secrets.scan_secrets(df.where("doc_id < 0")).count() == 0
+    live = {r["doc_id"]: (list(r["span_owners"]), list(r["span_live"])) for r in secrets.scan_secrets(df).collect() if r["doc_id"] in (1, 4)}
+    # the access key stands in two sources
+    assert live == {1: ([1, 2, 1, 1], [True, False, True, True]), 4: ([], [])}
+
+
+def brute_secrets(rows):
+    """All candidates by trying every start, counts by sets, overlaps pair by pair."""
+    holders, found = {}, []
+    for i, text, source, lang in rows:
+        base = secrets.base_candidates(text)
+        for k, (_, pattern, group, least) in enumerate(secrets.BASE):
+            at, own = 0, []
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and m.end(group) - m.start(group) >= least:
+                    own.append((m.start(), k, m.end()))
+                at = m.end() if m else at + 1
+            assert own == [x[:3] for x in base if x[1] == k]
+        wider = secrets.wider_candidates(text)
+        for x in (*base, *wider):
+            holders.setdefault(x[3], set()).add((source, lang))
+        found.append((i, base, [x for x in wider if not any(a < x[2] and x[0] < b for a, _, b, _ in base)]))
+    out = {}
+    for i, base, wider in found:
+        owners = lambda x: len({s for s, _ in holders[x[3]]})
+        kept = []
+        for x in wider:
+            if owners(x) <= secrets.OWNERS and len(holders[x[3]]) <= secrets.REPOSITORIES and not any(y[0] < x[2] and x[0] < y[2] for y in kept):
+                kept.append(x)
+        spans = sorted([*base, *kept])
+        out[i] = (",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans), [owners(x) for x in spans], [len(holders[x[3]]) for x in spans])
+    return out
+
+
+def test_secrets_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    values = ["".join(rng.choice(list("abcXYZ019"), int(rng.integers(8, 60)))) for _ in range(12)] + ["AKIA" + "A1" * 8, "0a" * 20, "ghp_" + "aB3" * 8, "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC\nabc\n-----END RSA PRIVATE KEY-----"]
+    forms = ["token = '{}'", "{}", "password:{}", "Bearer {}", "https://u:{}@h", "{}, {}", "x{}", "api_key={} secret : {}"]
+    rows = []
+    for i in range(150):
+        text = " ".join(forms[int(rng.integers(len(forms)))].replace("{}", values[int(rng.integers(len(values)))]) for _ in range(int(rng.integers(0, 6))))
+        rows.append((i, text, f"s{rng.integers(3)}", f"l{rng.integers(2)}"))
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)).collect()
+    want = brute_secrets(rows)
+    assert {r["doc_id"]: (r["spans"], list(r["span_owners"]), list(r["span_repositories"])) for r in got} == want
+    key = values[-1]
+    assert [(a, b) for a, k, b, _ in secrets.wider_candidates(f"{key} {key[:40]}") if secrets.KINDS[k] == "pem"] == [(0, len(key)), (len(key) + 1, len(key) + 41)]
+
+
+def test_hostile_secrets():
+    """Megabytes of candidates of all kinds, and of what nearly is one."""
+    for piece in ("token=abcdefgh1 Bearer " + "aB3xY" * 5 + " ", "password ", "-----BEGIN PRIVATE KEY-----", "sk-", "://a:", "bearer   ", "A1b"):
+        text = piece * (3_000_000 // len(piece))
+        began = time.process_time()
+        base, wider = secrets.base_candidates(text), secrets.wider_candidates(text)
+        secrets.apart(wider, base)
+        assert time.process_time() - began < 15, piece
 
 
 def test_secrets_count_every_copy(spark):

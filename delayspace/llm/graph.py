@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
+#: A node is a hub if it ends more edges than this, and more than one part in so many of all: of those there are fewer than HUBS.
+DEGREE, HUBS = 1_000, 100_000
+
+
+def _with_lowest(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with the least neighbour m of u, or u itself where that is less.
+
+    Edges of hubs stay where they are, as a hub's m is broadcast, so that no task has all of them; the others meet it by a join.
+    """
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    lowest = cut(lowest, "lowest")
+    hub = F.col("n") > max(DEGREE, (lowest.agg(F.sum("n")).head()[0] or 0) // HUBS)
+    hubs, others = lowest.where(hub).select("u", "m"), lowest.where(~hub).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(others, "u").select("u", "v", "m")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return rest.join(others, "u").select("u", "v", "m").union(edges.join(F.broadcast(hubs), "u").select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
     Alternating stars: a large-star round ties every larger neighbour of a node to the node's smallest
     neighbour, a small-star round ties the smaller ones to it; stars remain. The smallest neighbour is a partial
-    aggregate, so a hub sends one row for each task, and the join that hands it out has one row for each node
-    on its side, which adaptive execution splits. Each round is written to the shared folder. Null ends and loops
+    aggregate, so a hub sends one row for each task; see :func:`_with_lowest` for how it is handed out. Each round is written to the shared folder. Null ends and loops
     are left out; an empty table gives an empty result.
     """
     now = cut(
@@ -25,14 +43,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
-        lowest = lowest.select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, "edges")
         drop(now)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
+        small = _with_lowest(large)
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small, "edges")
         drop(large)
         total = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()

@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import aside, cut, drop
 from .graph import connected_components
 
 SEED = 42
@@ -228,6 +229,11 @@ def _link_shard(radius: int):
     return run
 
 
+def _share(n: int, most: int, of: int) -> int:
+    """Of ``of`` equal parts of ``n`` rows, those that hold about ``most`` rows; one at least."""
+    return max(1, min(of, round(of * most / max(n, 1))))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, shard: int = SHARD) -> DataFrame:
     """One row for each row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
@@ -241,8 +247,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fp = cut(slim.mapInArrow(_fingerprints(width), "id long, fp long"), "fingerprints")
     classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     n = classes.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < F.lit(round(1_000_000 * share))).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
+    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000_007)) < F.lit(_share(n, SAMPLE, 1_000_000_007))).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
     depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1.0, n / shard)))))
     tree = grow(np.sort(sample.to_numpy(np.int64)).view(np.uint64), depth)
     dealt = classes.select("fp").mapInArrow(_deal_batches(tree, radius), "shard int, fp long, resident boolean")
@@ -258,7 +263,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # order of shingles, common ones last; two sets of a similarity then share a shingle among the first few of each, so texts
 # that meet there are all the candidates, and a link stands only if the sets themselves are as similar.
 
-WORDS = 4
 #: Texts from which common shingles are told, and how many are kept, at most. They change the order, never the result.
 COMMON_SAMPLE, COMMON = 16_000, 400_000
 #: Members of a group of which all pairs are taken at once; larger ones are tied by neighbours first, and only what stays apart is paired.
@@ -269,13 +273,6 @@ NEXT = 3
 MARKS = 1 << 23
 
 
-def bits_of(similarity: float, slack: float = 1.0) -> int:
-    """Differing bits of 256-bit fingerprints expected at a Jaccard similarity, and ``slack`` standard deviations."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WORDS
-    return int(n * angle + slack * np.sqrt(n * angle * (1 - angle)))
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Distinct word shingles' hashes, sorted."""
     return np.unique(shingle_hashes(text, width))
@@ -319,17 +316,6 @@ def first_shingles(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, sim
     return first
 
 
-def _set_keys(width: int):
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), width) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema)
-
-    return run
-
-
 def _all_shingles(width: int):
     schema = pa.schema([("h", pa.int64())])
 
@@ -341,25 +327,34 @@ def _all_shingles(width: int):
     return run
 
 
-def _first_shingles(width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+def _read_sets(width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
+    """For each text its set's key, sketch, size and first shingles, of which 48 bits tell candidates."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int64()), ("first", pa.binary())])
 
     def run(batches):
         for b in batches:
-            token, node, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows = []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), width)
-                if len(s):
-                    first = first_shingles(s, common, rank, similarity)
-                    # 48 bits tell candidates; size and position go as one number
-                    token.append((first >> np.uint64(16)).view(np.int64))
-                    node.append(np.full(len(first), set_key(s)))
-                    place.append((len(s) << 32) + np.arange(len(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, place)], schema=schema)
+                rows.append((set_key(s), sketch(s), len(s), (first_shingles(s, common, rank, similarity) >> np.uint64(16)).astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), *[pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(4)]], schema=schema)
 
     return run
 
 
+def _tokens(batches):
+    """(token, node, place) of first shingles; size and position go as one number."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+    for b in batches:
+        token, node, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, size, first in zip(b.column("node").to_pylist(), b.column("size").to_pylist(), b.column("first"), strict=True):
+            first = np.frombuffer(first.as_py(), "<i8")
+            token.append(first)
+            node.append(np.full(len(first), n))
+            place.append((size << 32) + np.arange(len(first)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, place)], schema=schema)
+
+
 _GROUP = "nodes array<long>, parts array<long>, places array<long>"
 
 
@@ -476,18 +471,18 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return left.join(of.select(F.col("node").alias("b"), F.col(column).alias("right")), "b").select("a", "b", "left", "right")
 
 
-def _true_links(pairs: DataFrame, docs: DataFrame, keys: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+def _true_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those (a, b) of ``pairs`` whose sets of shingles are ``similarity`` alike."""
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
+    mark = lambda c: F.pmod(F.col(c), F.lit(MARKS)).cast("int")
     nodes = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = cut(keys.select("node", "sketch").join(nodes(pairs), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    sketches = cut(classes.select("node", "sketch").join(nodes(pairs), "node", "left_semi"), "sketches")
     pairs = cut(_with_both(pairs, sketches, "sketch").mapInArrow(_kept_pairs(lambda x, y: may_be_similar(x, y, similarity)), "a long, b long"), "pairs")
     drop(sketches)
     ends = nodes(pairs)
-    wanted = cut(classes.join(ends, "node").select("node", "least"), "wanted")
-    # only texts that may be a candidate's are read into sets again; the map of their ids has one size whatever the corpus
-    marks = docs.sparkSession.createDataFrame(wanted.select(mark("least").alias("_mark")).distinct().toArrow())
-    some = docs.join(F.broadcast(marks), mark("id") == marks["_mark"], "left_semi")
+    wanted = cut(classes.join(ends, "node").select("node", F.col("least.th").alias("th")), "wanted")
+    # only texts that may be a candidate's are read into sets again; the map of their hashes has one size whatever the corpus
+    marks = docs.sparkSession.createDataFrame(wanted.select(mark("th").alias("mark")).distinct().toArrow())
+    some = docs.join(F.broadcast(marks), mark("th") == marks["mark"], "left_semi")
     sets = some.mapInArrow(_sets(width), "node long, hashes binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets, "sets")
     alike = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-9
@@ -496,28 +491,25 @@ def _true_links(pairs: DataFrame, docs: DataFrame, keys: DataFrame, classes: Dat
     return links
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of ``docs``: id, component_id, by chains of texts that are ``similarity`` alike in their word shingles.
-
-    The similarity is the Jaccard similarity of the two sets of word shingles, as 64-bit hashes; all pairs that have it link, and no
-    others. Texts without words are alike. Null ids get a class but never name one, unless no
-    other row is in it. Repeated rows share their class; an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(id, th, first) for each row of ``docs``: th a hash of its text, first the (id, th) of its class that comes first, null ids last."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = cut(slim.mapInArrow(_set_keys(width), "id long, node long, sketch binary"), "keys")
-    classes = cut(keys.groupBy("node").agg(F.min("id").alias("least")), "distinct")
-    share = round(1_000_000 * min(1.0, COMMON_SAMPLE / max(1, classes.count())))
-    some = slim.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    some = slim.where(F.pmod(F.col("th"), F.lit(1_000_000_007)) < F.lit(_share(slim.count(), COMMON_SAMPLE, 1_000_000_007)))
     often = some.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     often = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     common, times = np.asarray(often.column("h").combine_chunks()).view(np.uint64), np.asarray(often.column("n").combine_chunks())
     order = np.argsort(common)
-    first = slim.mapInArrow(_first_shingles(width, similarity, common[order], times[order]), "token long, node long, place long")
+    sets = cut(slim.mapInArrow(_read_sets(width, similarity, common[order], times[order]), "id long, th long, node long, sketch binary, size long, first binary"), "sets")
+    # texts of one set are one from here on
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    classes = cut(sets.groupBy("node").agg(F.min(best).alias("least"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("first").alias("first")), "distinct")
+    first = classes.select("node", "size", "first").mapInArrow(_tokens, "token long, node long, place long")
     sort = lambda df: df.repartition("token").sortWithinPartitions("token").select("token", "node", "part", "place")
     groups = cut(sort(first.withColumn("part", F.col("node"))).mapInArrow(_grouped, _GROUP), "groups")
     pairs = cut(groups.mapInArrow(_pairs(similarity, True), "a long, b long").distinct(), "pairs")
-    links = _true_links(pairs, slim, keys, classes, width, similarity)
+    links = _true_links(pairs, slim, classes, width, similarity)
     parts = connected_components(links)
     large = groups.where(F.size("nodes") > ALL_PAIRS)
     if not large.isEmpty():
@@ -527,21 +519,37 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = sort(rows).mapInArrow(_grouped, _GROUP).where("size(array_distinct(parts)) > 1")
         rest = apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         rest = cut(rest, "pairs")
-        links = links.union(_true_links(rest, slim, keys, classes, width, similarity))
+        links = links.union(_true_links(rest, slim, classes, width, similarity))
         parts = connected_components(links)
         drop(rest)
     labelled = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = cut(labelled.join(named, "component").select("node", "component_id"), "classes")
+    named = labelled.groupBy("component").agg(F.min("least").alias("first"))
+    whole = cut(labelled.join(named, "component").select("node", "first"), "classes")
     drop(groups, pairs)
-    return keys.join(whole, "node").select(F.col("id").alias(id_col), "component_id")
+    return sets.select("id", "th", "node").join(whole, "node").select("id", "th", "first")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each row of ``docs``: id, component_id, by chains of texts that are ``similarity`` alike in their word shingles.
+
+    The similarity is the Jaccard similarity of the two sets of word shingles, as 64-bit hashes; all pairs that have it link, and no
+    others. Texts without words are alike. Null ids get a class but never name one, unless no
+    other row is in it. Repeated rows share their class; an empty table gives an empty result.
+    """
+    return _classes(docs, id_col, text_col, width, similarity).select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class of :func:`similar_classes`, that with the smallest id; all columns as they were.
+    """``docs`` with one row of each class of :func:`similar_classes`, that with the smallest id; all columns as they were.
 
-    Rows without an id stay, as nothing tells them apart.
+    Null ids come after all others. Rows are told apart by id and text, so an id that repeats with another text stands for itself;
+    of rows that repeat both, one stays.
     """
-    first = similar_classes(docs, id_col, text_col, width, similarity)
-    gone = first.where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("_id_")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_id_"], "left_anti")
+    kept = cut(_classes(docs, id_col, text_col, width, similarity), "decided")
+    gone = kept.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    rows = aside(docs, id=F.col(id_col).cast("long"), th=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    if not kept.groupBy("id", "th").count().where("count > 1").isEmpty():
+        turn = F.row_number().over(W.partitionBy("id", "th").orderBy(F.monotonically_increasing_id()))
+        out = out.withColumn("turn", turn).where("turn = 1")
+    return out.select("row.*")

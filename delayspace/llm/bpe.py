@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stretches of text whose encoding a task keeps; beyond that it starts anew.
-KEEP = 400_000
+#: Stretches of text whose encoding a task keeps; beyond that only those go on that are met again before as many others.
+KEEP = 100_000
 #: Characters of text that a task encodes at once, about, and of decoded text that it hands on at once.
 HELD = 1 << 20
 #: Symbols of words that are read together; longer ones are read by themselves.
@@ -241,9 +241,10 @@ class WordTokenizer:
         self.space = regex.compile("[\t-\r \x85\xa0  -     　]+")
         #: (number of ids, ids as text, labels as text) of stretches without white space.
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find_special", "split", "odd", "space", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find_special", "split", "odd", "space", "known", "older")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -270,8 +271,10 @@ class WordTokenizer:
     def learn(self, stretches) -> None:
         """Encode those stretches that are not known, together."""
         if len(self.known) > self.keep:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = [s for s in set(stretches) if s not in self.known]
+        self.known |= {s: self.older[s] for s in new if s in self.older}
+        new = [s for s in new if s not in self.known]
         split = [[] if s in self.special else self._words(s) for s in new]
         words = list({w for ws in split for w in ws})
         ids = dict(zip(words, self.automaton.encode_coded([w.encode("utf-8").translate(self.codes) for w in words]), strict=True))

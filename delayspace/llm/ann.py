@@ -26,8 +26,12 @@ FOUND = 0.985
 SAMPLE = 2_048
 #: Cell width in standard deviations of a projection, members that a bucket has about, members of a part of a large bucket.
 WIDTH, BUCKET, PART = 1.0, 256, 4_096
-#: Index rows of a shard, about; shards at least; queries that go to a shard together, about.
+#: Index rows of a shard, about; shards at least; visits of a shard that are searched together, about.
 SHARD, LEAST_SHARDS, TOGETHER = 50_000, 24, 50_000
+#: Queries whose probes found too little that are compared with all vectors at once.
+EXACT = 2_000
+#: Places beyond the k nearest that are kept until cosines are exact, for those that rounding makes swap.
+SPARE = 4
 REACH = 4
 
 
@@ -126,7 +130,7 @@ def _probe(tables: int, functions: int, cosine: float, chance: float):
 def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndarray, bucket: np.ndarray, ids: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's position, id, cosine) of the k nearest ids that each query finds in the buckets it asked for, ties to the smaller id.
 
-    One bucket at a time, against all queries that asked for it; only the best so far are kept.
+    One bucket at a time, against all queries that asked for it; only the best so far are kept, and ranked by exact cosines at the end.
     """
     # a class that several tables bring stands once
     _, once, of = np.unique([x[0] for x in ids], return_index=True, return_inverse=True)
@@ -134,7 +138,8 @@ def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndar
     q, c = _unit(queries), _unit(candidates)
     # among equal cosines, the class with the smaller first id
     later = np.arange(len(ids)) * (1e-13 / max(1, len(ids)))
-    best, best_at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    slots = k + SPARE
+    best, best_at = np.full((len(q), slots), -np.inf), np.full((len(q), slots), -1)
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
     members = {n: np.unique(of[rows]) for n, rows in zip(names.tolist(), np.split(order, first[1:]), strict=True)}
@@ -151,8 +156,8 @@ def rank_shard(queries: np.ndarray, asked: list[np.ndarray], candidates: np.ndar
             s = np.concatenate((best[r], q[r] @ c[there].T - later[there]), axis=1)
             at = np.concatenate((best_at[r], np.broadcast_to(there, (len(r), len(there)))), axis=1)
             # a class met again is known
-            s[:, k:][(at[:, k:, None] == at[:, None, :k]).any(axis=2)] = -np.inf
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            s[:, slots:][(at[:, slots:, None] == at[:, None, :slots]).any(axis=2)] = -np.inf
+            top = np.argpartition(-s, slots - 1, axis=1)[:, :slots]
             best[r], best_at[r] = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)
     i, slot = np.nonzero(best > -np.inf)
     j = best_at[i, slot]
@@ -186,6 +191,35 @@ def _search(k: int):
     return run
 
 
+def _exact(k: int, held):
+    """The k nearest of some queries (broadcast, by length of their vectors) in every batch of classes."""
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            for d, rows, v in _by_length(b, "v"):
+                if d in held.value:
+                    names, q = held.value[d]
+                    i, found, score = rank_shard(q, [np.zeros(1, np.int64)] * len(q), v, np.zeros(len(v), np.int64), [b.column("ids")[int(x)].as_py() for x in rows], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(found), pa.array(score)], schema=schema)
+
+    return run
+
+
+def _compared_with_all(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, score) from an exact search of all classes for each of ``queries`` (query, v), some at a time."""
+    sc, out = classes.sparkSession.sparkContext, None
+    rounds = -(-queries.count() // EXACT)
+    for r in range(rounds):
+        by: dict[int, list] = {}
+        for x in queries.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r).collect():
+            by.setdefault(len(x["v"]) // 8, []).append((x["query"], np.frombuffer(x["v"], "<f8")))
+        held = sc.broadcast({d: (np.array([q for q, _ in found], np.int64), np.stack([v for _, v in found])) for d, found in by.items()})
+        part = classes.select("ids", "v").mapInArrow(_exact(k, held), "query long, id long, score double")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def _packed(batches):
     schema = pa.schema([("id", pa.int64()), ("is_query", pa.bool_()), ("v", pa.binary())])
     for b in batches:
@@ -200,6 +234,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     ``is_query`` is a condition on ``vectors`` that marks the queries; all rows are candidates. Vectors that are null, empty,
     zero or hold null or non-finite components take no part, nor do null ids; vectors of different length never meet.
     Rows repeated with id and vector count once. Fewer than ``k`` candidates give fewer rows; an empty table none.
+    A query whose probes find fewer than that is compared with all.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector_col).alias("embedding"))
@@ -221,19 +256,31 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     probes = asking.repartition(4 * partitions(spark)).mapInArrow(_probe(tables, functions, cosine, chance), "bucket long, query long")
     # a large bucket has parts, each in a shard of its own; queries learn of them, and of empty buckets, by a join
     sizes = cut(index.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
-    shards, rounds = max(LEAST_SHARDS, -(-n * tables // SHARD)), max(1, -(-asking.count() // TOGETHER))
+    shards = max(LEAST_SHARDS, -(-n * tables // SHARD))
     to_shard = F.pmod(F.xxhash64("bucket", "part"), F.lit(shards)).cast("int").alias("shard")
-    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int")
-    left = index.join(sizes, "bucket").withColumn("part", part).select(to_shard, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "bucket", "ids", "v")
     visits = probes.join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(to_shard, "query", "bucket")
-    visits = visits.groupBy("shard", "query").agg(F.collect_set("bucket").alias("buckets")).join(asking, "query")
-    right = visits.select("shard", F.pmod(F.xxhash64("query"), F.lit(rounds)).cast("int").alias("round"), "query", "buckets", "v")
+    visits = cut(visits.groupBy("shard", "query").agg(F.collect_set("bucket").alias("buckets")), "visits")
+    # a row for each shard; only one that very many queries visit is there more than once
+    rounds = F.broadcast(visits.groupBy("shard").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("rounds")))
+    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")).cast("int")
+    left = index.join(sizes, "bucket").withColumn("part", part).select(to_shard, "bucket", "ids", "v").join(rounds, "shard")
+    left = left.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).drop("rounds")
+    right = visits.join(rounds, "shard").join(asking, "query").select("shard", F.pmod(F.xxhash64("query"), F.col("rounds")).cast("int").alias("round"), "query", "buckets", "v")
     at = ["shard", "round"]
     near = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_search(k + 1), "query long, id long, score double")
-    merged = near.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    merged = cut(merged.withColumn("_n", best).where(F.col("_n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("score", "id")).alias("near")), "nearest")
-    drop(index, sizes)
+
+    def merge(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query", "id").agg(F.max("score").alias("score"))
+        return once.withColumn("_n", best).where(F.col("_n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("score", "id")).alias("near"))
+
+    merged = cut(merge(near), "nearest")
+    # queries whose probes found fewer than there are, are compared with all
+    enough = merged.where(F.size("near") >= min(k + 1, n)).select("query")
+    short = cut(asking.join(enough, "query", "left_anti"), "short")
+    if not short.isEmpty():
+        merged = cut(merged.join(enough, "query", "left_semi").union(merge(_compared_with_all(classes, short, k + 1))), "nearest")
+    drop(index, sizes, visits, short)
     asked = packed.where("is_query").select("id", "v").distinct().join(classes.select("v", "query"), "v").select(F.col("id").alias("query_id"), "query")
     order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).otherwise(1)
     own = asked.join(merged, "query").select("query_id", F.slice(F.array_sort(F.filter("near", lambda x: x["id"] != F.col("query_id")), order), 1, k).alias("near"))
@@ -243,12 +290,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
 
 def _neighbour_cosine(classes: DataFrame, n: int, k: int) -> float:
     """A low (tenth percentile) cosine of the k-th neighbour within a bounded sample; among more rows neighbours are nearer."""
-    share = min(1.0, SAMPLE / n)
-    some = classes.where(F.pmod(F.xxhash64("query"), F.lit(1_000_000)) < F.lit(round(1_000_000 * share))).select("v").limit(2 * SAMPLE).collect()
+    share = max(1, round(1_000_000_007 * min(1.0, SAMPLE / n)))
+    some = classes.where(F.pmod(F.xxhash64("query"), F.lit(1_000_000_007)) < F.lit(share)).select("v").limit(2 * SAMPLE).collect()
     by: dict[int, list] = {}
     for r in some:
         by.setdefault(len(r["v"]), []).append(np.frombuffer(r["v"], "<f8"))
-    unit = _unit(np.stack(max(by.values(), key=len)))
+    unit = _unit(np.stack(max(by.values(), key=len))) if by else np.zeros((0, 1))
     if len(unit) <= k:
         return 0.0
     s = unit[:256] @ unit.T

@@ -3,7 +3,8 @@
 Equal strings must meet in one shard. Every string of ``width`` bytes is owned by its anchor, that of its grams
 with the least hash (the leftmost of equals), so equal strings have equal anchors; consecutive strings of one
 anchor form a snippet. First only hashes of anchors and snippets are dealt by anchor: of equal snippets all but the
-smallest document's are settled at once, within a task before the shuffle and by anchor after it. Where different
+smallest document's are settled at once, within a task before the shuffle, so that a common passage comes to its anchor's bucket once
+from each stretch of text that a task reads together, and by anchor after it. Where different
 snippets share an anchor, and only there, their bytes are dealt by anchor, and each shard sorts its suffixes: those
 smaller than their successors directly, the others by a scan over the buckets of their first bytes. Adjacent
 common prefixes of ``width`` or more then tie equal strings, of which the smallest document keeps its own.
@@ -176,7 +177,7 @@ def shared_strings(parts: list[bytes], doc: np.ndarray, width: int = WIDTH) -> l
     ends = np.cumsum(lengths + 1) - 1
     data[ends] = 0
     owner = np.repeat(np.arange(len(parts)), lengths + 1)
-    order = two_stage_suffix_array(data)
+    order = two_stage_suffix_array(data, max(width, 56))
     order = order[ends[owner[order]] - order >= width]
     hit = np.zeros(len(data), bool)
     if len(order):
@@ -187,8 +188,8 @@ def shared_strings(parts: list[bytes], doc: np.ndarray, width: int = WIDTH) -> l
 
 
 # What is dealt by anchor goes as one row for each bucket and piece, with columns packed as bytes.
-_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("anchor", pa.binary()), ("content", pa.binary()), ("ix", pa.binary()), ("start", pa.binary()), ("many", pa.binary()), ("settled", pa.binary()), ("bytes", pa.binary())])
-_PACKED_SQL = "bucket int, docs binary, anchor binary, content binary, ix binary, start binary, many binary, settled binary, bytes binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("anchor", pa.binary()), ("content", pa.binary()), ("ix", pa.binary()), ("start", pa.binary()), ("many", pa.binary()), ("settled", pa.bool_()), ("bytes", pa.binary())])
+_PACKED_SQL = "bucket int, docs binary, anchor binary, content binary, ix binary, start binary, many binary, settled boolean, bytes binary"
 
 
 def _low(x: np.ndarray, n: int) -> bytes:
@@ -202,8 +203,8 @@ def _number(data: bytes, n: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _pack(bucket, docs, anchor, content, ix, start, many, settled, text=None):
-    """Rows for the buckets of these snippets. docs: (id, text hash) rows that ix points to; text: the snippets' bytes."""
+def _pack(bucket, docs, anchor, content, ix, start, many, settled, text=None) -> list[tuple]:
+    """Rows for the buckets of these snippets. docs: (id, text hash) rows that ix points to; text: the snippets' bytes. Settled ones have neither anchor nor content."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     rows = []
@@ -211,7 +212,11 @@ def _pack(bucket, docs, anchor, content, ix, start, many, settled, text=None):
         if not len(part):
             continue
         used, own = np.unique(ix[part], return_inverse=True)
-        rows.append((int(bucket[part[0]]), docs[used].astype("<i8").tobytes(), _low(anchor[part], 5), _low(content[part], 6) if content is not None else b"", own.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), start[part].astype("<i4").tobytes(), many[part].astype(np.uint8).tobytes(), np.packbits(settled[part]).tobytes(), b"".join([text[i] for i in part]) if text is not None else b""))
+        rows.append((int(bucket[part[0]]), docs[used].astype("<i8").tobytes(), _low(anchor[part], 5) if anchor is not None else b"", _low(content[part], 8) if content is not None else b"", own.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), start[part].astype("<i4").tobytes(), many[part].astype(np.uint8).tobytes(), settled, b"".join([text[i] for i in part]) if text is not None else b""))
+    return rows
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
 
 
@@ -220,14 +225,14 @@ def _unpack(table: pa.Table):
     docs, anchor, content, ix, start, many, settled, text, base = [], [], [], [], [], [], [], [], 0
     for r in table.to_pylist():
         d = np.frombuffer(r["docs"], "<i8").reshape(-1, 2)
-        a = _number(r["anchor"], 5)
+        n = len(r["many"])
         docs.append(d)
-        anchor.append(a)
-        content.append(_number(r["content"], 6))
+        anchor.append(_number(r["anchor"], 5) if r["anchor"] else np.zeros(n, np.uint64))
+        content.append(_number(r["content"], 8) if r["content"] else np.zeros(n, np.uint64))
         ix.append(np.frombuffer(r["ix"], "<u2" if len(d) <= 1 << 16 else "<u4").astype(np.int64) + base)
         start.append(np.frombuffer(r["start"], "<i4"))
         many.append(np.frombuffer(r["many"], np.uint8).astype(np.int64))
-        settled.append(np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=len(a)).astype(bool))
+        settled.append(np.full(n, r["settled"]))
         text.append(r["bytes"])
         base += len(d)
     return [np.concatenate(x) for x in (docs, anchor, content, ix, start, many, settled)] + [b"".join(text)]
@@ -250,7 +255,11 @@ def _hash_pieces(n_buckets: int, width: int, gram: int):
             new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
             least = ids[order][new][np.cumsum(new) - 1]
             settled[order] = ids[order] > least
-        return _pack((anchor % np.uint64(n_buckets)).astype(np.int32), docs, anchor, content, ix, start, many, settled)
+        live, done = np.flatnonzero(~settled), np.flatnonzero(settled)
+        rows = _pack((anchor[live] % np.uint64(n_buckets)).astype(np.int32), docs, anchor[live], content[live], ix[live], start[live], many[live], False)
+        # all settled ones of the piece to one bucket, a piece here and a piece there: nothing is matched with them any more
+        at = int(_mix(np.array([docs[0, 0]]).astype(np.uint64))[0] % np.uint64(n_buckets)) if len(done) else 0
+        return _packed(rows + _pack(np.full(len(done), at, np.int32), docs, None, None, ix[done], start[done], many[done], True))
 
     def run(batches):
         for b in batches:
@@ -334,7 +343,7 @@ def _cut_snippets(n_buckets: int, width: int):
 def _cut_rows(todo, docs, n_buckets: int) -> pa.RecordBatch:
     anchor = np.array([x[0] for x in todo], np.uint64)
     ix, start, many = (np.array([x[k] for x in todo], np.int64) for k in (1, 2, 3))
-    return _pack((anchor % np.uint64(n_buckets)).astype(np.int32), np.array(docs, np.int64), anchor, None, ix, start, many, np.zeros(len(todo), bool), [x[4] for x in todo])
+    return _packed(_pack((anchor % np.uint64(n_buckets)).astype(np.int32), np.array(docs, np.int64), anchor, None, ix, start, many, False, [x[4] for x in todo]))
 
 
 def _sort_shard(width: int):
@@ -422,9 +431,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of ``docs``: id, n_bytes, a, b (removed stretches [a, b), sorted and apart), kept (bytes, or their SHA-256 with ``digest``).
 
     A byte is removed if a string of ``width`` bytes that covers it also starts in a document with a smaller id. Texts are
-    judged as they are in the input, as UTF-8; null counts as empty. Rows without an id neither remove nor lose bytes. Rows that
+    judged as they are in the input, as UTF-8; null counts as empty. ``width`` is below 256, and above ``gram``. Rows without an id neither remove nor lose bytes. Rows that
     repeat an id are not smaller than one another. An empty table gives an empty result.
     """
+    if not gram < width < 256 or gram < 8:
+        raise ValueError("repeated_bytes: 8 <= gram < width < 256")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).head()[0] or 0

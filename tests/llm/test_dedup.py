@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +103,10 @@ def test_repeated_bytes(spark):
         for a, b in zip(r["a"], r["b"], strict=True):
             kept, at = kept + data[at:a], b
         assert bytes(r["kept"]) == kept + data[at:]
+    wide = sorted([(r[0] is None, r[0] or 0, r[1], list(r[2]), list(r[3])) for r in repeated_bytes(frame(spark, rows), width=75).collect()])
+    assert wide == sorted([(i is None, i or 0, n, a, b) for i, n, a, b in brute_spans(rows, 75)])
+    with pytest.raises(ValueError):
+        repeated_bytes(frame(spark, rows), width=300)
     assert repeated_bytes(frame(spark, [])).count() == 0
 
 

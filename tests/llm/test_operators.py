@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from delayspace.llm import mixing, secrets
+from delayspace.llm import ann, mixing, secrets
 from delayspace.llm.ann import nearest
 from delayspace.llm.bpe import Automaton, WordTokenizer, bpe_digests, bpe_encode
 from delayspace.llm.exact_dedup import drop_exact_copies
@@ -375,6 +375,17 @@ def test_nearest(spark):
         assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
     # of equal vectors, the smallest ids
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2_000] == [2_001, 2_002, 2_003, 2_004, 2_005]
+    # probes that find next to nothing leave no query with fewer than five
+    few = nearest(df, F.col("vec_id") % 50 == 0, found=0.001).groupBy("query_id").count().collect()
+    assert len(few) == len({q for q, _, _ in want}) and {r["count"] for r in few} == {5}
+    pack = lambda v: v.astype("<f8").tobytes()
+    some = [(i, v.astype(float)) for i, v in rows if i < 300]
+    classes = spark.createDataFrame([([i], pack(v)) for i, v in some], "ids array<long>, v binary").repartition(3)
+    asked = spark.createDataFrame([(i, pack(v)) for i, v in some[:40]], "query long, v binary")
+    exact = {}
+    for r in ann._compared_with_all(classes, asked, 6).collect():
+        exact.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    assert [(q, k, i) for q in sorted(exact) for k, (_, i) in enumerate([x for x in sorted(exact[q]) if x[1] != q][:5], 1)] == brute_nearest(some, some[:40])
     few = df.where("vec_id IN (0, 1, 2)")
     assert [(r["query_id"], r["rank"]) for r in nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1), (0, 2)]
     assert nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0

@@ -55,10 +55,11 @@ def simplex(dataFrame: DataFrame | None = None, columns: str | Sequence[str] = "
     return Result(out, parameters=given if parameterList else None, state=state_frames(state, near) if includeState else {})
 
 
-def panel_simplex(df: DataFrame, by: Sequence[str], order: str, column: str, target: str, lib: tuple[int, int], pred: tuple[int, int], E: int, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0) -> DataFrame:
+def panel_simplex(df: DataFrame, by: Sequence[str], order: str, column: str, target: str, lib: tuple[int, int] | None, pred: tuple[int, int] | None, E: int, Tp: int = 1, knn: int = 0, tau: int = -1, exclusionRadius: int = 0) -> DataFrame:
     """Simplex for every series of a panel at once: (by, row_id, Observations, Predictions, Pred_Variance), rows at p + Tp.
 
-    ``by`` names the series, whose rows are numbered by ``order``; ranges hold in each, as far as it goes. The series are an extra
+    ``by`` names the series, whose rows are numbered by ``order``; ranges hold in each, as far as it goes, and where none is given the
+    library is the first half of each series and the second is predicted. The series are an extra
     key of one plan, so a cluster works on all of them side by side.
     """
     named, by = list(by), [f"_by{i}" for i in range(len(by))]
@@ -70,9 +71,12 @@ def panel_simplex(df: DataFrame, by: Sequence[str], order: str, column: str, tar
         ok = ok & F.col(f"v{j}").isNotNull()
     v = v.where(ok)
     reach = abs(tau) * (E - 1)
-    end = F.least(F.lit(lib[1]), F.col("_n")) - max(Tp, 0) - (reach if tau > 0 else 0)
-    first = lib[0] + (reach if tau < 0 else 0) + (abs(Tp) - 1 if Tp < 0 else 0)
-    left = v.where(F.col(ROW).between(*pred)).select(*by, F.col(ROW).alias("p"), *[F.col(f"v{j}").alias(f"a{j}") for j in range(E)], F.col("y").alias("Observations"))
+    half = F.floor(F.col("_n") / 2)
+    start, stop = lib or (1, half)
+    asked = [F.lit(x) if isinstance(x, int) else x for x in pred or (half + 1, F.col("_n"))]
+    end = F.least(F.lit(stop) if isinstance(stop, int) else stop, F.col("_n")) - max(Tp, 0) - (reach if tau > 0 else 0)
+    first = start + (reach if tau < 0 else 0) + (abs(Tp) - 1 if Tp < 0 else 0)
+    left = v.where(F.col(ROW).between(*asked)).select(*by, F.col(ROW).alias("p"), *[F.col(f"v{j}").alias(f"a{j}") for j in range(E)], F.col("y").alias("Observations"))
     right = v.where(F.col(ROW).between(F.lit(first), end)).select(*by, F.col(ROW).alias("l"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(E)], "y")
     near = neighbors(left.drop("Observations"), right, E, knn or E + 1, exclusionRadius, keys=by, carry=["y"])
     out = left.select(*by, "p", "Observations").join(project(near, by), [*by, "p"], "left")

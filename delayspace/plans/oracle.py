@@ -167,24 +167,31 @@ def multiview_sql(which: str) -> str:
     views = list(combinations(range(4), 2))
     keep = int(len(views) ** 0.5)
     vs = ", ".join(f"{shift(c, s)} AS v{j}" for j, (c, s) in enumerate(shifts))
-    pairs = "\nUNION ALL ".join(
-        f"SELECT {i} AS view_id, a.row_id AS p, b.row_id AS l, b.future AS y, sqrt({' + '.join(f'(a.v{j} - b.v{j}) * (a.v{j} - b.v{j})' for j in v)}) AS d FROM prd a, lib b WHERE a.row_id != b.row_id"
-        for i, v in enumerate(views)
-    )
+
+    def forecasts(rows: str, end: str = "") -> str:
+        """Forecasts f and errors err of all views for ``rows``, their names with ``end``."""
+        pairs = "\nUNION ALL ".join(
+            f"SELECT {i} AS view_id, a.row_id AS p, b.row_id AS l, b.future AS y, sqrt({' + '.join(f'(a.v{j} - b.v{j}) * (a.v{j} - b.v{j})' for j in v)}) AS d FROM {rows} a, lib b WHERE a.row_id != b.row_id"
+            for i, v in enumerate(views)
+        )
+        return f"""prs{end} AS ({pairs}),
+nbr{end} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view_id, p ORDER BY d, abs(p - l), l) AS rank FROM prs{end} WHERE d IS NOT NULL) WHERE rank <= 3),
+wgt{end} AS (SELECT view_id, p, y, exp(-d / greatest(min(d) OVER (PARTITION BY view_id, p), 1e-6)) AS w FROM nbr{end}),
+f{end} AS (SELECT view_id, p, CASE WHEN count(y) = count(*) THEN sum(w * y) / sum(w) END AS pred FROM wgt{end} GROUP BY view_id, p),
+both{end}_ AS (SELECT f{end}.view_id, s.x AS o, f{end}.pred AS q FROM f{end} JOIN s ON s.row_id = f{end}.p + 1),
+err{end} AS (SELECT view_id, {ERRORS} FROM both{end}_ WHERE o IS NOT NULL AND q IS NOT NULL GROUP BY view_id),
+"""
+
+    train = which == "train"
     shown = ", ".join("({}, '({})')".format(i, ", ".join("''" + names[j] + "''" for j in v)) for i, v in enumerate(views))
     ctes = f"""{HOURLY},
 e AS (SELECT row_id, {vs}, {shift('x', 1)} AS future FROM s),
 lib AS (SELECT * FROM e, m WHERE row_id BETWEEN 1 AND n // 2 - 1),
 prd AS (SELECT * FROM e, m WHERE row_id BETWEEN n // 2 + 1 AND n - 1),
-prs AS ({pairs}),
-nbr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view_id, p ORDER BY d, abs(p - l), l) AS rank FROM prs WHERE d IS NOT NULL) WHERE rank <= 3),
-wgt AS (SELECT view_id, p, y, exp(-d / greatest(min(d) OVER (PARTITION BY view_id, p), 1e-6)) AS w FROM nbr),
-f AS (SELECT view_id, p, CASE WHEN count(y) = count(*) THEN sum(w * y) / sum(w) END AS pred FROM wgt GROUP BY view_id, p),
-both_ AS (SELECT f.view_id, s.x AS o, f.pred AS q FROM f JOIN s ON s.row_id = f.p + 1),
-err AS (SELECT view_id, {ERRORS} FROM both_ WHERE o IS NOT NULL AND q IS NOT NULL GROUP BY view_id),
-best AS (SELECT view_id FROM err ORDER BY rho DESC NULLS LAST, view_id LIMIT {keep}),
+{forecasts('prd')}{forecasts('lib', '_t') if train else ''}"""
+    ctes += f"""best AS (SELECT view_id FROM err{'_t' if train else ''} ORDER BY rho DESC NULLS LAST, view_id LIMIT {keep}),
 names(view_id, shown) AS (VALUES {shown})"""
-    if which == "rank":
+    if which in ("rank", "train"):
         return f'WITH {ctes}\nSELECT shown AS "Columns", rho, "MAE", "CAE", "RMSE" FROM best JOIN err USING (view_id) JOIN names USING (view_id)'
     return f"""WITH {ctes},
 avgs AS (SELECT p, CASE WHEN count(pred) = {keep} THEN avg(pred) END AS pred FROM f JOIN best USING (view_id) GROUP BY p),
@@ -197,8 +204,8 @@ def panel_sql() -> str:
     return f"""WITH h AS (SELECT event_type, strftime(ts, '%Y%m%d%H')::BIGINT AS t, count(*)::DOUBLE AS x, round(avg(value), 4) AS y FROM events GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS row_id, count(*) OVER (PARTITION BY event_type) AS n FROM h),
 e AS (SELECT * FROM (SELECT event_type, row_id, n, x AS v0, {shift('x', -1, over)} AS v1, {shift('y', 1, over)} AS future FROM s) WHERE v1 IS NOT NULL),
-lib AS (SELECT * FROM e WHERE row_id BETWEEN 2 AND least(300, n) - 1),
-prd AS (SELECT * FROM e WHERE row_id BETWEEN 301 AND 600),
+lib AS (SELECT * FROM e WHERE row_id BETWEEN 2 AND n // 2 - 1),
+prd AS (SELECT * FROM e WHERE row_id BETWEEN n // 2 + 1 AND n),
 prs AS (SELECT a.event_type, a.row_id AS p, b.row_id AS l, b.future AS y, sqrt((a.v0 - b.v0) * (a.v0 - b.v0) + (a.v1 - b.v1) * (a.v1 - b.v1)) AS d FROM prd a JOIN lib b USING (event_type) WHERE a.row_id != b.row_id),
 nbr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, p ORDER BY d, abs(p - l), l) AS rank FROM prs) WHERE rank <= 3),
 wgt AS (SELECT event_type, p, y, exp(-d / greatest(min(d) OVER (PARTITION BY event_type, p), 1e-6)) AS w FROM nbr),
@@ -261,6 +268,7 @@ UNION ALL SELECT 'pred', row_id FROM s, m WHERE row_id BETWEEN n // 2 + 1 AND n"
         "ccm_sampled_md5": ccm_sql(2, sizes=CCM_SIZES, variance=True),
         "multiview_rank": multiview_sql("rank"),
         "multiview_predict": multiview_sql("predict"),
+        "multiview_train": multiview_sql("train"),
         "surrogate_shuffle": f"""WITH {HOURLY},
 k AS (SELECT surr_id, row_id, y FROM s, (SELECT unnest(range(1, 6))::INTEGER AS surr_id))
 SELECT surr_id, row_number() OVER (PARTITION BY surr_id ORDER BY md5(concat_ws('|', '{SEED}', surr_id::VARCHAR, row_id::VARCHAR)), row_id) AS row_id, round(y, 6) AS value FROM k""",

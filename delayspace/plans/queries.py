@@ -26,7 +26,8 @@ from ..plans.index import create_indices
 from ..sources.series import ROW, Series, load, quoted
 from ..sources.tables import hourly, monthly_orders, vectors
 
-EMBEDDED_DIMS = 8
+#: All components of the table's vectors.
+EMBEDDED_DIMS = 64
 RADII = (0, 2, 5, 10)
 THETAS = (0.0, 1.0, 3.0)
 CCM_SIZES = (50, 200)
@@ -154,8 +155,8 @@ def _ccm(**how):
 def _views(which: str):
     def run(spark, d):
         s = series(spark, d)
-        out = multiview(s, "x y", "x", **halves(s), E=2, trainLib=False)
-        if which == "rank":
+        out = multiview(s, "x y", "x", **halves(s), E=2, trainLib=which == "train")
+        if which in ("rank", "train"):
             return rounded(out.View)
         return rounded(out.Predictions)
 
@@ -170,7 +171,7 @@ def _surrogate(method: str, **how):
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel_simplex(hourly(spark, sf_dir, ["event_type"]), ["event_type"], "t", "x", "y", (1, 300), (301, 600), E=2))
+    return rounded(panel_simplex(hourly(spark, sf_dir, ["event_type"]), ["event_type"], "t", "x", "y", None, None, E=2))
 
 
 @cache
@@ -214,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ccm_sampled_md5": _ccm(E=2, libSizes=CCM_SIZES, sample=CCM_TRIALS, seed=SEED, includeData=True),
         "multiview_rank": _views("rank"),
         "multiview_predict": _views("predict"),
+        "multiview_train": _views("train"),
         "surrogate_shuffle": _surrogate("random_shuffle"),
         "surrogate_ebisuzaki": _surrogate("ebisuzaki"),
         "surrogate_seasonal": _surrogate("seasonal", T_period=24, alpha=0.1),

@@ -44,6 +44,7 @@ def holed(spark):
     return c.select("Time", F.when(~F.col("Time").isin(6, 7, 13), F.col("x")).alias("x"), F.when(~F.col("Time").isin(11, 12, 18), F.col("y")).alias("y"))
 
 
+# Names of published results, and the calls that give them.
 SIMPLEX = {
     "Smplx_E3_block_3sp_valid": ("block_3sp", dict(columns="x_t", target="x_t", lib=(1, 100), pred=(101, 195), E=3), 1, 95),
     "Smplx_E3_embd_block_3sp_valid": ("block_3sp", dict(columns="x_t y_t z_t", target="x_t", lib=(1, 99), pred=(100, 198), E=3, embedded=True), 1, 98),

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -320,12 +319,6 @@ class WordTokenizer:
         return " ".join([self.labels[i] for i in ids])
 
 
-@cache
-def tokenizer(path: str) -> WordTokenizer:
-    """Compiled once on the driver."""
-    return WordTokenizer(path)
-
-
 def _digests(held):
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -377,7 +370,8 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _compiled(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(tokenizer(path))
+    """The tables of ``path``, compiled on the driver, which doesn't keep them."""
+    return docs.sparkSession.sparkContext.broadcast(WordTokenizer(path))
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

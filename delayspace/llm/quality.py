@@ -156,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = text.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_count_batches, "id long, label int, terms binary, n binary")
-    rows = sorted(found.dropDuplicates(["id"]).collect(), key=lambda r: r["id"])
-    return fit([(np.frombuffer(r["terms"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(float)) for r in rows], np.array([r["label"] for r in rows], float))
+    rows = found.dropDuplicates(["id"]).toArrow().sort_by("id")
+    parts = [[np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)] for c, kind in (("terms", "<i4"), ("n", "<f4"))]
+    return fit(list(zip(*parts, strict=True)), np.asarray(rows.column("label").combine_chunks()).astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

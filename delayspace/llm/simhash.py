@@ -411,12 +411,23 @@ def group_pairs(nodes: np.ndarray, parts: np.ndarray, places: np.ndarray, simila
         yield np.minimum(x, y), np.maximum(x, y)
 
 
+#: Pairs that a task gathers, to hand each on once.
+GATHERED = 2_000_000
+
+
 def _pairs(similarity: float, tie: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def once(held):
+        return np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+
     def run(batches):
+        # texts that are alike share many groups, so a pair comes again and again
+        held, count = [], 0
         for batch in batches:
-            held, count = [], 0
             columns = [batch.column(c) for c in ("nodes", "parts", "places")]
             offsets = [np.asarray(c.offsets) for c in columns]
             values = [np.asarray(c.values) for c in columns]
@@ -424,13 +435,13 @@ def _pairs(similarity: float, tie: bool):
                 for a, b in group_pairs(*[v[o[g] : o[g + 1]] for v, o in zip(values, offsets, strict=True)], similarity, tie):
                     held.append(np.stack((a, b), axis=1))
                     count += len(a)
-                    if count > 2_000_000:
-                        once = np.unique(np.concatenate(held), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], schema=schema)
+                if count > GATHERED:
+                    held = [once(held)]
+                    count = len(held[0])
+                    if count > GATHERED // 2:
+                        yield batch_of(held[0])
                         held, count = [], 0
-            if count:
-                once = np.unique(np.concatenate(held), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], schema=schema)
+        yield batch_of(once(held))
 
     return run
 

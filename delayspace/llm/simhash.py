@@ -530,7 +530,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
         apart = sort(rows).mapInArrow(_grouped, _GROUP).where("size(array_distinct(parts)) > 1")
         rest = apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         rest = cut(rest, "pairs")
-        links = links.union(_true_links(rest, slim, classes, width, similarity))
+        # the stars of the first links stand for them
+        links = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_true_links(rest, slim, classes, width, similarity))
         parts = connected_components(links)
         drop(rest)
     labelled = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

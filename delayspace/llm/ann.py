@@ -28,11 +28,13 @@ SAMPLE = 2_048
 WIDTH, BUCKET, PART = 1.0, 256, 4_096
 #: Index rows of a shard, about; shards at least; visits of a shard that are searched together, about.
 SHARD, LEAST_SHARDS, TOGETHER = 50_000, 24, 50_000
-#: Queries whose probes found too little that are compared with all vectors at once.
-EXACT = 2_000
+#: Queries whose probes found too little, and classes, that a tile compares.
+EXACT = 4_096
 #: Places beyond the k nearest that are kept until cosines are exact, for those that rounding makes swap.
 SPARE = 4
 REACH = 4
+#: Lengths of vectors, each with its number of rows, that are broadcast at most.
+LENGTHS = 10_000
 
 
 class Hashes:
@@ -191,33 +193,15 @@ def _search(k: int):
     return run
 
 
-def _exact(k: int, held):
-    """The k nearest of some queries (broadcast, by length of their vectors) in every batch of classes."""
-    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        for b in batches:
-            for d, rows, v in _by_length(b, "v"):
-                if d in held.value:
-                    names, q = held.value[d]
-                    i, found, score = rank_shard(q, [np.zeros(1, np.int64)] * len(q), v, np.zeros(len(v), np.int64), [b.column("ids")[int(x)].as_py() for x in rows], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(found), pa.array(score)], schema=schema)
-
-    return run
-
-
-def _compared_with_all(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, score) from an exact search of all classes for each of ``queries`` (query, v), some at a time."""
-    sc, out = classes.sparkSession.sparkContext, None
-    rounds = -(-queries.count() // EXACT)
-    for r in range(rounds):
-        by: dict[int, list] = {}
-        for x in queries.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r).collect():
-            by.setdefault(len(x["v"]) // 8, []).append((x["query"], np.frombuffer(x["v"], "<f8")))
-        held = sc.broadcast({d: (np.array([q for q, _ in found], np.int64), np.stack([v for _, v in found])) for d, found in by.items()})
-        part = classes.select("ids", "v").mapInArrow(_exact(k, held), "query long, id long, score double")
-        out = part if out is None else out.union(part)
-    return out
+def _compared_with_all(classes: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """(query, id, score) from an exact search of all ``n`` classes for each of ``queries`` (query, v), by tiles of both."""
+    down = max(1, -(-queries.count() // EXACT))
+    across = max(1, -(-n // EXACT), min(-(-n // 64), -(-LEAST_SHARDS // down)))
+    chunk = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = classes.select(every(down).alias("y"), chunk("query", across).alias("x"), F.lit(0).cast("long").alias("bucket"), F.col("ids").alias("ids"), F.col("v").alias("v"))
+    right = queries.select(chunk("query", down).alias("y"), every(across).alias("x"), F.col("query").alias("query"), F.array(F.lit(0).cast("long")).alias("buckets"), F.col("v").alias("v"))
+    return left.groupBy("y", "x").cogroup(right.groupBy("y", "x")).applyInArrow(_search(k), "query long, id long, score double")
 
 
 def _packed(batches):
@@ -234,7 +218,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     ``is_query`` is a condition on ``vectors`` that marks the queries; all rows are candidates. Vectors that are null, empty,
     zero or hold null or non-finite components take no part, nor do null ids; vectors of different length never meet.
     Rows repeated with id and vector count once. Fewer than ``k`` candidates give fewer rows; an empty table none.
-    A query whose probes find fewer than that is compared with all.
+    A query whose probes find fewer than that, or whose last find is farther than the neighbours probed for, is compared with all.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector_col).alias("embedding"))
@@ -275,11 +259,14 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return once.withColumn("_n", best).where(F.col("_n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("score", "id")).alias("near"))
 
     merged = cut(merge(near), "nearest")
-    # queries whose probes found fewer than there are, are compared with all
-    enough = merged.where(F.size("near") >= min(k + 1, n)).select("query")
+    # queries whose probes found fewer rows than there are, or only some farther than those probed for, are compared with all
+    rows_of = classes.groupBy(F.octet_length("v").alias("length")).agg(F.sum(F.size("ids")).alias("rows"))
+    wanted = asking.withColumn("length", F.octet_length("v")).join(F.broadcast(rows_of) if rows_of.count() <= LENGTHS else rows_of, "length").select(F.col("query").alias("of"), F.least(F.lit(k + 1), "rows").alias("wanted"))
+    far = F.array_min(F.col("near.score"))
+    enough = merged.join(wanted, F.col("query") == F.col("of")).where((F.size("near") >= F.col("wanted")) & ((far >= cosine) | (F.col("wanted") <= k))).select("query")
     short = cut(asking.join(enough, "query", "left_anti"), "short")
     if not short.isEmpty():
-        merged = cut(merged.join(enough, "query", "left_semi").union(merge(_compared_with_all(classes, short, k + 1))), "nearest")
+        merged = cut(merged.join(enough, "query", "left_semi").union(merge(_compared_with_all(classes, short, n, k + 1))), "nearest")
     drop(index, sizes, visits, short)
     asked = packed.where("is_query").select("id", "v").distinct().join(classes.select("v", "query"), "v").select(F.col("id").alias("query_id"), "query")
     order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).otherwise(1)

@@ -31,15 +31,17 @@ WIDER = (
     ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})"), 1),
     ("prefixed", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_|glpat-|xox[abpr]-|sk-|pk_live_|sk_live_|AIza)[A-Za-z0-9_-]{16,}"), 0),
     ("url", re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@"), 1),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*"), 0),  # and on to its end mark, if one comes before the next key
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), 0),  # and on to its end mark, or else to the next mark or the text's end
     ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
 )
-_PEM_END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
+_PEM_MARK = re.compile(r"-----(?:BEGIN |END (?:[A-Z ]{0,30}PRIVATE KEY-----)?)")
 KINDS = [k for k, *_ in (*BASE, *WIDER)]
 #: Bits a character and kinds of characters that a "random" value has at least.
 ENTROPY, CLASSES = 3.5, 3
 #: More distinct owners, or repositories, than this make a value a copied example.
 OWNERS, REPOSITORIES = 1, 3
+#: A value is common that more candidates than this have, and more than one in so many.
+COMMON, RATIO = 10_000, 10_000
 
 
 def _random(value: str) -> bool:
@@ -69,13 +71,13 @@ def wider_candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
     out, text = [], text or ""
     for k, (kind, pattern, group) in enumerate(WIDER, len(BASE)):
         found = list(pattern.finditer(text))
-        ends = [m.end() for m in _PEM_END.finditer(text)] if kind == "pem" and found else []
-        for i, m in enumerate(found):
+        marks = list(_PEM_MARK.finditer(text)) if kind == "pem" and found else []
+        starts = [m.start() for m in marks]
+        for m in found:
             end, value = m.end(), m[group]
             if kind == "pem":
-                at = bisect_left(ends, end)
-                if at < len(ends) and (i + 1 == len(found) or ends[at] <= found[i + 1].start()):
-                    end = ends[at]
+                at = bisect_left(starts, end)
+                end = len(text) if at == len(marks) else marks[at].end() if marks[at][0].endswith("KEY-----") else starts[at]
                 value = text[m.start() : end]
             if kind != "random" or _random(value):
                 out.append((m.start(), k, end, _hash(value)))
@@ -119,6 +121,43 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("repo"), batch.column("owner"), *[pa.array(x, pa.int64()) for x in n], pa.array(spelt, pa.string()), pa.array(found, spans), pa.array(hidden, pa.list_(pa.binary()))], schema=schema)
 
 
+_SPAN = "struct<a:int,k:int,b:int,owners:bigint,repositories:bigint,live:boolean>"
+
+
+def first_apart(spans: list[dict]) -> list[dict]:
+    """Of spans sorted by start, those of base kinds, and of the others the first of those that overlap."""
+    out, end = [], 0
+    for x in spans:
+        if x["k"] < len(BASE):
+            out.append(x)
+        elif x["a"] >= end:
+            out.append(x)
+            end = x["b"]
+    return out
+
+
+def _apart_from_each_other(batches):
+    span = pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32()), ("owners", pa.int64()), ("repositories", pa.int64()), ("live", pa.bool_())])
+    schema = pa.schema([("place", pa.int64()), ("spans", pa.list_(span))])
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("place"), pa.array([first_apart(x.as_py()) for x in b.column("all")], pa.list_(span))], schema=schema)
+
+
+def _with_counts(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """``candidates`` with the ``counts`` of their value.
+
+    A value is common if more than COMMON candidates, and more than one in RATIO of all, have it: there are fewer than RATIO of those, which are
+    broadcast, so that a widely copied example meets its counts where it stands.
+    """
+    often = candidates.groupBy("value").agg(F.count("*").alias("times"))
+    most = max(COMMON, (candidates.count()) // RATIO)
+    common = cut(often.where(F.col("times") > most).select("value").join(counts, "value"), "common")
+    if common.isEmpty():
+        return candidates.join(counts, "value")
+    rest = candidates.join(F.broadcast(common.select("value")), "value", "left_anti").join(counts, "value")
+    return rest.unionByName(candidates.join(F.broadcast(common), "value"))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """One row for each row of ``docs``: id, n_assign, n_access, n_hex, base_spans, spans, span_owners, span_repositories, span_live.
 
@@ -139,13 +178,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repositories"))
     counts = counts.withColumn("live", (F.col("owners") <= owners) & (F.col("repositories") <= repositories))
     # a wider candidate that is an example is gone before overlaps are looked at
-    reported = candidates.join(counts, "value").where((F.col("k") < len(BASE)) | F.col("live"))
+    reported = _with_counts(candidates, counts).where((F.col("k") < len(BASE)) | F.col("live"))
     span = F.struct("a", "k", "b", "owners", "repositories", "live")
     lists = reported.groupBy("place").agg(F.array_sort(F.collect_list(span)).alias("all"))
-    wider = F.filter("all", lambda x: x["k"] >= len(BASE))
-    # of live ones that overlap, the first is reported
-    first = F.aggregate(wider, F.struct(F.lit(0).alias("end"), F.slice(wider, 1, 0).alias("kept")), lambda s, x: F.when(x["a"] >= s["end"], F.struct(x["b"].alias("end"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s))["kept"]
-    lists = lists.select("place", F.array_sort(F.concat(F.filter("all", lambda x: x["k"] < len(BASE)), first)).alias("spans"))
+    lists = lists.mapInArrow(_apart_from_each_other, f"place long, spans array<{_SPAN}>")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spelt = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["a"].cast("string"), x["b"].cast("string"))), ",")
     return scanned.join(lists, "place", "left").select(

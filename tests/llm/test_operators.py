@@ -380,10 +380,10 @@ def test_nearest(spark):
     assert len(few) == len({q for q, _, _ in want}) and {r["count"] for r in few} == {5}
     pack = lambda v: v.astype("<f8").tobytes()
     some = [(i, v.astype(float)) for i, v in rows if i < 300]
-    classes = spark.createDataFrame([([i], pack(v)) for i, v in some], "ids array<long>, v binary").repartition(3)
+    classes = spark.createDataFrame([(i, [i], pack(v)) for i, v in some], "query long, ids array<long>, v binary").repartition(3)
     asked = spark.createDataFrame([(i, pack(v)) for i, v in some[:40]], "query long, v binary")
     exact = {}
-    for r in ann._compared_with_all(classes, asked, 6).collect():
+    for r in ann._compared_with_all(classes, asked, 300, 6).collect():
         exact.setdefault(r["query"], []).append((-r["score"], r["id"]))
     assert [(q, k, i) for q in sorted(exact) for k, (_, i) in enumerate([x for x in sorted(exact[q]) if x[1] != q][:5], 1)] == brute_nearest(some, some[:40])
     few = df.where("vec_id IN (0, 1, 2)")
@@ -483,3 +483,36 @@ def test_secrets_count_every_copy(spark):
     df = spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string").repartition(3)
     got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
     assert got[10] == "" and got[11] == "random:4:36" and got[20] == "" and got[30] == f"prefixed:8:{8 + len(own)}"
+
+
+def test_secrets_of_very_long_texts(spark):
+    """The time goes with the number of spans, not with its square; a value that most candidates share is met where it stands."""
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    text = " ".join("aB3" + "".join(w) for w in letters[rng.integers(0, 62, (128_000, 36))])
+    rows = [(0, text, "a"), *[(i, "token = copied_everywhere1", f"s{i % 7}") for i in range(1, 400)]]
+    df = spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string").repartition(2)
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).select("doc_id", F.size("span_live").alias("n"), "span_owners").collect()}
+    assert time.time() - began < 60
+    assert got[0]["n"] > 127_000 and got[5]["n"] == 1 and list(got[5]["span_owners"]) == [7]
+
+
+def test_secrets_with_common_values(spark, monkeypatch):
+    rows = [(i, "token = copied_everywhere1" if i % 4 else f"token = only_{i}_here", f"s{i % 7}", "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    want = {r["doc_id"]: (r["spans"], list(r["span_owners"])) for r in secrets.scan_secrets(df).collect()}
+    monkeypatch.setattr(secrets, "COMMON", 20)
+    monkeypatch.setattr(secrets, "RATIO", 3)
+    assert {r["doc_id"]: (r["spans"], list(r["span_owners"])) for r in secrets.scan_secrets(df).collect()} == want
+
+
+@pytest.mark.parametrize("copies", [(2, 10), (10, 2), (6, 6), (1, 1)])
+def test_nearest_among_copies(spark, copies):
+    """Two vectors that are opposite, in some copies each: no bucket holds both, and yet every query gets its five."""
+    v = np.random.default_rng(6).normal(size=64)
+    rows = [(i, v if i < copies[0] else -v) for i in range(sum(copies))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>").repartition(2)
+    got = nearest(df, F.lit(True)).collect()
+    want = brute_nearest(rows, rows)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SAMPLE = 6_000
 DIMENSIONS, NEIGHBOURS = 48, 15
 THRESHOLD = 0.3
+#: Rows whose terms are spelt out together.
+BLOCK = 512
 #: Classes: 0 other controls, 1 space, 2 line end, 3 lower, 4 upper, 5 digit, 6 sentence end, 7 pause, 8 exclamation,
 #: 9 dollar, hash, percent, ampersand, star, 10 bar, 11 brackets and quotes, 12 dashes and underscores, 13 markup and code, 14 beyond ASCII.
 CLASSES = 16
@@ -102,7 +104,7 @@ def weighed(rows, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, seed: int = 3) -> Model:
-    """The model of labelled rows, by a randomised singular value decomposition."""
+    """The model of labelled rows, by a randomised singular value decomposition that has a block of rows spelt out at a time."""
     df = np.zeros(TERMS)
     for terms, _ in rows:
         df[terms] += 1
@@ -110,13 +112,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension
     empty = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels[:0], float(labels.mean()) if len(labels) else 0.5, neighbours)
     if not len(rows):
         return empty
-    x = weighed(rows, idf)
+    blocks = lambda: (weighed(rows[at : at + BLOCK], idf) for at in range(0, len(rows), BLOCK))
     q = np.random.default_rng(seed).standard_normal((TERMS, min(dimensions + 16, len(rows)))).astype(np.float32)
     for _ in range(4):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))
+    _, _, vt = np.linalg.svd(np.concatenate([x @ q for x in blocks()]), full_matrices=False)
     axes = (q @ vt.T)[:, :dimensions].astype(np.float32)
-    v = x @ axes
+    v = np.concatenate([x @ axes for x in blocks()])
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return Model(idf, axes, v / np.where(norm > 0, norm, 1), labels.astype(float), empty.prior, neighbours)
 
@@ -138,8 +140,8 @@ def _score_batches(model):
     def run(batches):
         for b in batches:
             scores = []
-            for at in range(0, b.num_rows, 512):
-                scores.append(model.value.score([counts(t.as_py()) for t in b.column("text")[at : at + 512]]))
+            for at in range(0, b.num_rows, BLOCK):
+                scores.append(model.value.score([counts(t.as_py()) for t in b.column("text")[at : at + BLOCK]]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], schema=schema)
 
     return run
@@ -155,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = text.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_count_batches, "id long, label int, terms binary, n binary")
-    rows = found.dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = text.join(F.broadcast(chosen), "id")
+    # of the texts of one id, that with the smallest hash
+    found = found.groupBy("id").agg(F.min(F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "label", "text")).alias("x")).select("id", "x.label", "x.text")
+    rows = found.mapInArrow(_count_batches, "id long, label int, terms binary, n binary").toArrow().sort_by("id")
     parts = [[np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)] for c, kind in (("terms", "<i4"), ("n", "<f4"))]
     return fit(list(zip(*parts, strict=True)), np.asarray(rows.column("label").combine_chunks()).astype(float))
 
@@ -180,8 +184,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
                 good = model.value.score([counts(t.as_py()) for t in part.column(at)]) >= threshold
                 yield part.filter(pa.array(good))
 

@@ -1,8 +1,12 @@
 """State-space nearest neighbours: the one join.
 
 Library and predicted rows meet where they are more than the exclusion radius apart; each predicted row keeps its k
-nearest by (distance, |p - l|, l). Small searches are a theta join with the library broadcast. Larger ones are
-dealt to tiles of library and prediction chunks, searched by array kernels, whose k best merge in a window.
+nearest by (distance, |p - l|, l). Small searches are a theta join with the library broadcast.
+
+Larger ones go by an index: a tree grown from a sample deals the library to cells, whose bounding boxes are known exactly. A predicted row is searched
+in its own cell first; the k-th distance found there says which other cells its ball reaches, and only to those it goes on. Where balls reach most cells, as in many
+dimensions, or k is a large part of the library, tiles of library and prediction chunks are searched in full. Either way array kernels search, and their k best
+merge in a window.
 """
 
 from __future__ import annotations
@@ -15,12 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.boxes import Boxes
 from ..functions.kernels import nearest
+from ..sources.scratch import cut
 
 #: A theta join makes so many pairs at most, of a broadcast library of so many rows at most.
 PAIRS, BROADCAST = 20_000_000, 100_000
 #: Rows of a tile's side.
 TILE = 20_000
+#: Library rows of a cell, about; cells at most; rows of the sample for each cell; predicted rows of a cell that a task searches.
+CELL, CELLS, SAMPLED, PART = 4_096, 16_384, 16, 32_768
+#: Dimensions that an index is tried in, and the part of the cells that a row may reach on average.
+DIMENSIONS, REACH = 12, 0.25
 
 
 def euclidean(dims: int, a: str = "a", b: str = "b") -> Column:
@@ -63,9 +73,129 @@ def neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int | Column, radiu
         for key in keys:
             pairs = pairs.drop(lib[key])
         return ranked_neighbors(pairs.withColumn("d", euclidean(dims)), k, keys).select(*keys, "p", "l", "d", "rank", *carry)
+    if n_lib and k <= CELL // 8 and n_lib > 2 * CELL and dims <= DIMENSIONS:
+        return indexed_neighbors(pred, lib, dims, k, radius, n_pred or TILE, n_lib, carry)
     return tiled_neighbors(pred, lib, dims, k, radius, n_pred or TILE, n_lib or TILE, carry)
 
 
+def _of(t, *names: str) -> np.ndarray:
+    """Columns of an Arrow table or batch side by side, or one by itself."""
+    got = [np.asarray(c.combine_chunks() if isinstance(c := t.column(n), pa.ChunkedArray) else c) for n in names]
+    return got[0] if len(names) == 1 else np.column_stack(got)
+
+
+def _states(t, side: str, dims: int) -> np.ndarray:
+    return _of(t, *[f"{side}{j}" for j in range(dims)]).reshape(t.num_rows, dims)
+
+
+def _in_cells(df: DataFrame, tree: Boxes, side: str, row: str, dims: int) -> DataFrame:
+    """``df`` with the ``cell`` that its states are in."""
+
+    def run(batches):
+        for b in batches:
+            yield b.append_column("cell", pa.array(tree.leaf(_states(b, side, dims), _of(b, row)).astype(np.int32)))
+
+    return df.mapInArrow(run, df.schema.simpleString()[len("struct<") : -1] + ",cell:int")
+
+
+def _by_cell(asked: DataFrame, cells: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` over each cell's asking rows and library rows; a cell that many ask is there more than once."""
+    parts = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    left = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int")).drop("parts")
+    right = cells.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(kernel, schema)
+
+
+def _search_home(dims: int, k: int, radius: int, carry: Sequence[tuple[str, pa.DataType]], counted):
+    """Each row with its k nearest of its own cell as lists, and the last's distance and row difference."""
+    schema = pa.schema([("p", pa.int64()), *[(f"a{j}", pa.float64()) for j in range(dims)], ("cell", pa.int32()), ("far", pa.float64()), ("gap", pa.float64()), ("l", pa.list_(pa.int64())), ("d", pa.list_(pa.float64())), *[(c, pa.list_(t)) for c, t in carry]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        from ..functions.boxes import boxed_nearest
+
+        n, p_rows, a = left.num_rows, _of(left, "p"), _states(left, "a", dims)
+        l_rows = _of(right, "l")
+        i, j, d, pairs = boxed_nearest(p_rows, a, l_rows, _states(right, "b", dims), k, radius)
+        if counted is not None:
+            counted.add(pairs)
+        many = np.bincount(i, minlength=n)
+        ends = np.cumsum(many)
+        far, gap, full = np.full(n, np.inf), np.full(n, np.inf), many >= k
+        far[full], gap[full] = d[ends[full] - 1], np.abs(p_rows[full] - l_rows[j[ends[full] - 1]])
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(l_rows[j]), pa.array(d), *[right.column(c).combine_chunks().take(pa.array(j)) for c, _ in carry])]
+        return pa.Table.from_arrays([*[left.column(c) for c in schema.names[: dims + 2]], pa.array(far), pa.array(gap), *lists], schema=schema)
+
+    return run
+
+
+def _visits(tree: Boxes, dims: int, k: int, radius: int):
+    """Each row for every cell but its own that may hold some of its k nearest."""
+
+    def run(batches):
+        for b in batches:
+            rows, states, home = _of(b, "p"), _states(b, "a", dims), _of(b, "cell")
+            far, gap = _of(b, "far").copy(), _of(b, "gap")
+            short = np.flatnonzero(np.isinf(far))
+            far[short] = tree.bound(states[short], k + 2 * radius + 1)
+            slim = b.select(["p", *[f"a{j}" for j in range(dims)]])
+            for who, cell in tree.reach(states, rows, far, gap, radius):
+                away = cell != home[who]
+                part = slim.take(pa.array(who[away]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[away].astype(np.int32)), pa.array(far[who[away]]), pa.array(gap[who[away]])], names=[*part.schema.names, "cell", "far", "gap"])
+
+    return run
+
+
+def _search_visit(dims: int, k: int, radius: int, carry: Sequence[tuple[str, pa.DataType]], counted):
+    schema = pa.schema([("p", pa.int64()), ("l", pa.int64()), ("d", pa.float64()), *carry])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        from ..functions.boxes import boxed_nearest
+
+        p_rows, l_rows = _of(left, "p"), _of(right, "l")
+        i, j, d, pairs = boxed_nearest(p_rows, _states(left, "a", dims), l_rows, _states(right, "b", dims), k, radius, _of(left, "far"), _of(left, "gap"))
+        if counted is not None:
+            counted.add(pairs)
+        return pa.Table.from_arrays([pa.array(p_rows[i]), pa.array(l_rows[j]), pa.array(d), *[right.column(c).combine_chunks().take(pa.array(j)) for c, _ in carry]], schema=schema)
+
+    return run
+
+
+def indexed_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius: int, n_pred: int, n_lib: int, carry: Sequence[str] = (), counted=None) -> DataFrame:
+    """As :func:`neighbors`, by an index of cells. ``counted``, an accumulator, gets the number of pairs whose distance was worked out.
+
+    The driver holds a sample of the library, SAMPLED rows for each cell, and the boxes of the cells, whose number has a bound.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    depth = max(1, min(int(np.ceil(np.log2(n_lib / CELL))), int(np.log2(CELLS))))
+    share = min(1_000_000_007, max(1, round(1_000_000_007 * (SAMPLED << depth) / n_lib)))
+    some = lib.where(F.pmod(F.xxhash64("l"), F.lit(1_000_000_007)) < F.lit(share)).select("l", *[f"b{j}" for j in range(dims)]).limit(2 * (SAMPLED << depth)).toArrow()
+    tree = Boxes.grow(_states(some, "b", dims), _of(some, "l"), depth)
+    cells = cut(_in_cells(lib.select("l", *[f"b{j}" for j in range(dims)], *carry), tree, "b", "l", dims), "cells")
+    ends = cells.groupBy("cell").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in (*[f"b{j}" for j in range(dims)], "l")]).toArrow()
+    low, high, count = np.full((tree.leaves, dims + 1), np.inf), np.full((tree.leaves, dims + 1), -np.inf), np.zeros(tree.leaves, np.int64)
+    at, names = _of(ends, "cell"), [*[f"b{j}" for j in range(dims)], "l"]
+    low[at], high[at], count[at] = _of(ends, *[f"min_{c}" for c in names]), _of(ends, *[f"max_{c}" for c in names]), _of(ends, "n")
+    tree.fit(low, high, count)
+
+    carried = [(f.name, f.type) for f in to_arrow_schema(cells.select(*carry).schema)]
+    vector = "".join(f", a{j} double" for j in range(dims))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    home = _by_cell(_in_cells(pred.select("p", *[f"a{j}" for j in range(dims)]), tree, "a", "p", dims), cells, _search_home(dims, k, radius, carried, counted), f"p long{vector}, cell int, far double, gap double, l array<long>, d array<double>" + "".join(f", {c} array<{kinds[c]}>" for c in carry))
+    home = cut(home, "home")
+    # a few rows tell whether balls are small beside the cells
+    some = home.where(F.pmod(F.xxhash64("p"), F.lit(1_000_000_007)) < F.lit(max(1, round(1_000_000_007 * min(1.0, 512 / n_pred))))).limit(1_024).drop("l", "d", *carry).toArrow()
+    reached = sum(b.num_rows for x in some.to_batches() for b in _visits(tree, dims, k, radius)([x]))
+    if some.num_rows and reached > REACH * tree.leaves * some.num_rows:
+        return tiled_neighbors(pred, lib, dims, k, radius, n_pred, n_lib, carry)
+    visits = cut(home.drop("l", "d", *carry).mapInArrow(_visits(tree, dims, k, radius), f"p long{vector}, cell int, far double, gap double"), "visits")
+    away = _by_cell(visits, cells, _search_visit(dims, k, radius, carried, counted), "p long, l long, d double" + "".join(f", {c} {kinds[c]}" for c in carry))
+    own = home.select("p", F.explode(F.arrays_zip("l", "d", *carry)).alias("x")).select("p", *[F.col(f"x.{c}").alias(c) for c in ("l", "d", *carry)])
+    return ranked_neighbors(own.union(away), k, ()).select("p", "l", "d", "rank", *carry)
+
+
 def _tile(dims: int, k: int, radius: int, carry: Sequence[str]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = lambda t, c: np.asarray(t.column(c).combine_chunks())
@@ -92,8 +222,8 @@ def _tile(dims: int, k: int, radius: int, carry: Sequence[str]):
 def tiled_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius: int, n_pred: int, n_lib: int, carry: Sequence[str] = ()) -> DataFrame:
     """As :func:`neighbors`, over tiles: neither side is ever in one place. Carried columns are doubles."""
     down, across = max(1, -(-n_pred // TILE)), max(1, -(-n_lib // TILE))
-    left = pred.select(F.pmod(F.col("p"), F.lit(down)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), "p", *[f"a{j}" for j in range(dims)])
-    right = lib.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.pmod(F.col("l"), F.lit(across)).cast("int").alias("x"), "l", *[f"b{j}" for j in range(dims)], *carry)
+    left = pred.select(F.pmod(F.col("p"), F.lit(down)).cast("int").alias("_down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_across"), "p", *[f"a{j}" for j in range(dims)])
+    right = lib.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_down"), F.pmod(F.col("l"), F.lit(across)).cast("int").alias("_across"), "l", *[f"b{j}" for j in range(dims)], *carry)
     schema = "p long, l long, d double" + "".join(f", {c} double" for c in carry)
-    best = left.groupBy("y", "x").cogroup(right.groupBy("y", "x")).applyInArrow(_tile(dims, k, radius, carry), schema)
+    best = left.groupBy("_down", "_across").cogroup(right.groupBy("_down", "_across")).applyInArrow(_tile(dims, k, radius, carry), schema)
     return ranked_neighbors(best, k, ()).select("p", "l", "d", "rank", *carry)

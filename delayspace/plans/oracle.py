@@ -12,6 +12,9 @@ m AS (SELECT count(*) AS n FROM s)"""
 HOLED = HOURLY.replace("s AS (", "s0 AS (").replace("FROM s)", "FROM s0)") + """,
 s AS (SELECT row_id, t, CASE WHEN row_id % 17 != 0 THEN x END AS x, CASE WHEN row_id % 23 != 0 THEN y END AS y FROM s0)"""
 
+PRICES = """s AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey AS t, o_totalprice::DOUBLE AS x, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders),
+m AS (SELECT count(*) AS n FROM s)"""
+
 
 def shift(c: str, by: int, over: str = "ORDER BY row_id") -> str:
     return f"lead({c}, {by}) OVER ({over})" if by >= 0 else f"lag({c}, {-by}) OVER ({over})"
@@ -28,7 +31,7 @@ def picked(columns: dict[str, str], *first: str, digits: int = 6) -> str:
 class Forecast:
     """Common table expressions e (states), lib, prd, nbr (ranked neighbours) and f (pred, var)."""
 
-    def __init__(self, columns="x", target="x", E=3, Tp=1, tau=-1, embedded=False, radius=0, k=None, lib="half", valid="true", base=HOURLY, pred=None):
+    def __init__(self, columns="x", target="x", E=3, Tp=1, tau=-1, embedded=False, radius=0, k=None, lib="half", valid="true", base=HOURLY, pred=None, long=False):
         self.columns, self.target, self.Tp, self.base = columns.split(), target, Tp, base
         self.E = len(self.columns) if embedded else E
         shifts = [(c, 0) for c in self.columns] if embedded else [(c, tau * j) for c in self.columns for j in range(E)]
@@ -42,7 +45,7 @@ class Forecast:
         self.lo, self.hi = (f"{1 + reach}", "n") if lib == "all" else (f"greatest(n // 2 + 1, {1 + reach})", "n - 1")
         if pred:
             self.lo, self.hi = pred
-        self.radius, self.valid = radius, valid
+        self.radius, self.valid, self.long = radius, valid, long
         vs = ", ".join(f"{shift(c, s)} AS v{j}" for j, (c, s) in enumerate(shifts))
         self.whole = " AND ".join(f"v{j} IS NOT NULL" for j in range(self.dims))
         self.states = f"e AS (SELECT row_id, x AS x_, y AS y_, {vs}, {shift(target, Tp)} AS future FROM s)"
@@ -51,11 +54,19 @@ class Forecast:
     def distance(self) -> str:
         return "sqrt(" + " + ".join(f"(a.v{j} - b.v{j}) * (a.v{j} - b.v{j})" for j in range(self.dims)) + ")"
 
-    def neighbours(self) -> str:
+    def rows(self) -> str:
         return f"""{self.base},
 {self.states},
 lib AS (SELECT * FROM e, m WHERE {self.lib_rows} AND {self.whole} AND ({self.valid})),
-prd AS (SELECT * FROM e, m WHERE row_id BETWEEN {self.lo} AND {self.hi} AND {self.whole}),
+prd AS (SELECT * FROM e, m WHERE row_id BETWEEN {self.lo} AND {self.hi} AND {self.whole}),"""
+
+    def neighbours(self) -> str:
+        if self.long:
+            # the k least of many pairs by an aggregate, which keeps no more of them
+            return f"""{self.rows()}
+top AS (SELECT a.row_id AS p, min({{'d': {self.distance}, 'gap': abs(a.row_id - b.row_id), 'l': b.row_id, 'y': b.future}}, {self.k}) AS near FROM prd a, lib b WHERE abs(a.row_id - b.row_id) > {self.radius} GROUP BY a.row_id),
+nbr AS (SELECT p, near[rank].l AS l, near[rank].y AS y, near[rank].d AS d, rank FROM top, (SELECT unnest(range(1, {self.k} + 1)) AS rank) WHERE rank <= len(near))"""
+        return f"""{self.rows()}
 prs AS (SELECT a.row_id AS p, b.row_id AS l, b.future AS y, {self.distance} AS d{"".join(f", a.v{j} AS a{j}, b.v{j} AS b{j}" for j in range(self.dims))} FROM prd a, lib b WHERE abs(a.row_id - b.row_id) > {self.radius}),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, abs(p - l), l) AS rank FROM prs),
 nbr AS (SELECT * FROM rnk WHERE rank <= {self.k})"""
@@ -244,6 +255,8 @@ UNION ALL SELECT 'pred', row_id FROM s, m WHERE row_id BETWEEN n // 2 + 1 AND n"
         "nn_validlib": Forecast("x", "y", k=4, valid="y_ > 50").near(),
         "nn_disjoint_lib": Forecast(k=4, lib="two").near(),
         "nn_embedded_vectors": Forecast(" ".join(f"e{j}" for j in range(EMBEDDED_DIMS)), "x", embedded=True, Tp=0, k=5, base=vectors).near(),
+        "nn_large": Forecast(k=4, base=PRICES, long=True).near(),
+        "simplex_large": Forecast("x", "y", E=2, radius=10, base=PRICES, long=True).layout(),
         "simplex_uni": Forecast().layout(),
         "simplex_multi": Forecast("x y", "y", E=2).layout(),
         "simplex_embedded": Forecast("x y", "y", embedded=True).layout(),

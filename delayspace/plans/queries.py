@@ -24,7 +24,7 @@ from ..operators.surrogate import surrogate_data
 from ..operators.sweeps import embed_dimension, predict_exclusion_radius, predict_interval, predict_nonlinear
 from ..plans.index import create_indices
 from ..sources.series import ROW, Series, load, quoted
-from ..sources.tables import hourly, monthly_orders, vectors
+from ..sources.tables import hourly, monthly_orders, prices, vectors
 
 #: All components of the table's vectors.
 EMBEDDED_DIMS = 64
@@ -93,6 +93,17 @@ def nn_embedded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbors(st.pred(), st.lib(), st.dims, 5, 0, st.indices.n_pred, st.indices.n_lib).select("p", "l", "rank", "d"))
 
 
+def nn_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = state(load(prices(spark, sf_dir)))
+    return rounded(neighbors(st.pred(), st.lib(), st.dims, 4, 0, st.indices.n_pred, st.indices.n_lib).select("p", "l", "rank", "d"))
+
+
+def simplex_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = state(load(prices(spark, sf_dir)), "x", "y", E=2)
+    out = layout(st.series, st.target, project(simplex_neighbors(st, 0, 10)), st.indices, st.Tp, keep_row=True)
+    return rounded(out.select(ROW, "Observations", "Predictions", "Pred_Variance"))
+
+
 def _laid(radius: int = 0, **how):
     def run(spark, d):
         s = series(spark, d)
@@ -190,6 +201,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nn_validlib": _near(columns="x", target="y", validLib="y > 50"),
         "nn_disjoint_lib": _near(lib="two"),
         "nn_embedded_vectors": nn_embedded_vectors,
+        "nn_large": nn_large,
+        "simplex_large": simplex_large,
         "simplex_uni": _laid(),
         "simplex_multi": _laid(columns="x y", target="y", E=2),
         "simplex_embedded": _laid(columns="x y", target="y", embedded=True),

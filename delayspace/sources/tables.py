@@ -28,3 +28,9 @@ def vectors(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     """(t, e0.., label) of embeddings: the first components as columns of an embedded state."""
     parts = [F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(dims)]
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), *parts, F.col("label").cast("double").alias("label"))
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, x, y) of orders, one step for each: key, price, day number. The long series among these."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), F.col("o_totalprice").cast("double").alias("x"), day.alias("y"))

@@ -1,11 +1,11 @@
 """Periodic run detection by a scan of all lags.
 
 Words become numbers, and a document's array of them is compared with itself shifted by each lag q up to n / (least exponent). A
-stretch of so many equal places is a run: words that repeat with period q. At a lag, places are compared
-with a stride first: a stretch that is long enough covers one of them, so most lags end there, and the others are compared in full.
+stretch of so many equal places is a run: words that repeat with period q. At a block of lags, a few places are compared
+first: a stretch that is long enough covers some of them, so most lags end there, and the others are compared in full.
 
-A lag costs at most n comparisons, a document n * n / 4. Spark deals out ranges of lags: a document whose lags cost more
-than WORK is read by several tasks, each of which scans its own range, and their runs meet again by row.
+A lag costs at most n comparisons, a document n * n / 4. Spark deals out ranges of lags: a document whose lags may cost more
+than WORK by its bytes is read by several tasks, each of which scans its own range, and their runs meet again by row.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut
 
 #: Least words of a run, and least number of times that its period goes into it.
 LEAST, TIMES = 6, 4
-#: Comparisons that a range of lags may cost.
-WORK = 1 << 30
+#: Comparisons that a range of lags may cost at most, about.
+WORK = 1 << 32
 
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -37,17 +37,33 @@ def numbered(found: list[bytes]) -> np.ndarray:
     return np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int32, len(found))
 
 
+def likely_lags(ids: np.ndarray, lags: range, least: int, times: int):
+    """Those of ``lags`` at which some stretch may be long enough.
+
+    Lags go in blocks, a few places against all lags of a block: a stretch of m equal places covers a multiple of m - 1 and the place
+    after it, so places that far apart, in pairs, tell for all lags whose stretches are at least as long.
+    """
+    n = len(ids)
+    widest = max(16, lags.stop // 2)
+    padded = np.concatenate((ids, np.full(widest + 2, -1, ids.dtype)))
+    shifted = np.lib.stride_tricks.sliding_window_view(padded, widest)
+    q = lags.start
+    while q < min(lags.stop, n):
+        width = min(lags.stop - q, max(16, q // 2))
+        stride = max(least, times * q) - q - 1
+        met = shifted[q:n:stride, :width] == padded[: n - q : stride, None]
+        met &= shifted[q + 1 : n + 1 : stride, :width] == padded[1 : n - q + 1 : stride, None]
+        yield from (q + np.flatnonzero(met.any(axis=0))).tolist()
+        q += width
+
+
 def lag_runs(ids: np.ndarray, lags: range, least: int = LEAST, times: int = TIMES) -> dict[tuple[int, int], int]:
     """{(start, end): smallest of ``lags`` that is a period}, of maximal stretches that are long enough for their lag."""
     n, out = len(ids), {}
-    for q in lags:
+    if n < least:
+        return out
+    for q in likely_lags(ids, lags, least, times):
         need = max(least, times * q) - q
-        if n - q < need:
-            if times * q > n:
-                break
-            continue
-        if not (ids[: n - q : need] == ids[q::need]).any():
-            continue
         same = ids[: n - q] == ids[q:]
         edge = np.flatnonzero(same[1:] != same[:-1]) + 1
         edge = np.concatenate(([0], edge, [n - q]))
@@ -162,11 +178,12 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no run holds after its first q words. Null and empty texts have no words, no runs, a null best and an empty ``collapsed``. Null ids and repeated rows are
     reported each; an empty table gives an empty result. Only the id and the text are read.
     """
-    if times < 2:
-        raise ValueError("periodic_runs: a run repeats its period twice or more")
+    if times < 2 or least < 3:
+        raise ValueError("periodic_runs: a run has three words at least, and repeats its period twice or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = words_of(F.col("text")).cast("long")
-    sized = rows.withColumn("ranges", F.greatest(F.ceil(n * F.floor(n / times) / F.lit(work)), F.lit(1)).cast("int"))
+    # a word and its white space take two bytes at least
+    most = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("double") + 1) / 2
+    sized = rows.withColumn("ranges", F.greatest(F.ceil(most * most / times / F.lit(work)), F.lit(1)).cast("int"))
     schema = f"id long, runs array<{RUN}>, best {RUN}, collapsed string"
     out = sized.where("ranges = 1").select("id", "text").mapInArrow(_whole(least, times), schema)
     # documents that are too long for one task are few, and there may be none

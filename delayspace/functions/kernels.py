@@ -43,40 +43,75 @@ def block_rows(n_lib: int) -> int:
     return max(1, CELLS // max(1, n_lib))
 
 
-def smap_rows(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, y: np.ndarray, k: int, radius: int, thetas: list[float]):
-    """Yields (place in p, theta, prediction, variance, coefficients, singular values) of weighted local linear maps.
+def eligible(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, infinite within the radius; row differences)."""
+    gap = np.abs(p_rows[:, None] - l_rows[None, :])
+    return np.where(gap > radius, distances(p, lib), np.inf), gap
+
+
+def k_first(d: np.ndarray, gap: np.ndarray, l_rows: np.ndarray, k: int) -> np.ndarray:
+    """Which of each row's finite distances are its k first by (distance, row difference, row)."""
+    there = d < np.inf
+    if k >= d.shape[1]:
+        return there
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k > 0 else np.full((len(d), 1), -np.inf)
+    inside = (d < edge) & there
+    tied = (d == edge) & there
+    room = k - inside.sum(axis=1)
+    for r in np.flatnonzero(tied.sum(axis=1) > room):
+        at = np.flatnonzero(tied[r])
+        tied[r, at[np.lexsort((l_rows[at], gap[r, at]))[max(0, room[r]) :]]] = False
+    return inside | tied
+
+
+def triangles(rows: np.ndarray) -> np.ndarray:
+    """Square triangular factors of each of stacked matrices; fewer rows than columns are filled up with zeros."""
+    r = np.linalg.qr(rows, mode="r")
+    if r.shape[1] < r.shape[2]:
+        r = np.concatenate((r, np.zeros((len(r), r.shape[2] - r.shape[1], r.shape[2]))), axis=1)
+    return r
 
-    Rows with equally many neighbours are solved together, by singular values with the cutoff of least squares.
+
+def map_factors(d: np.ndarray, used: np.ndarray, lib: np.ndarray, y: np.ndarray, mean: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What weighted local maps need of some library rows: triangular factors of (1, states, target) and of (1, target), and numbers of rows.
+
+    Factors of other rows can be stacked below these and factored again. The second has roots of weights, for the variance.
     """
-    width = lib.shape[1] + 1
-    i, j, d = nearest(p_rows, p, l_rows, lib, k, radius)
-    mean = np.bincount(i, weights=d, minlength=len(p)) / np.maximum(1, np.bincount(i, minlength=len(p)))
-    there = np.isfinite(y[j])
-    i, j, d = i[there], j[there], d[there]
-    many = np.bincount(i, minlength=len(p))
-    first = np.concatenate(([0], np.cumsum(many)[:-1]))
-    for n in np.unique(many):
-        rows = np.flatnonzero(many == n)
-        if not n:
-            for at in rows:
-                for theta in thetas:
-                    yield int(at), theta, None, None, [None] * width, [None] * width
-            continue
-        for part in np.array_split(rows, -(-len(rows) * int(n) * width // CELLS)):
-            near = first[part, None] + np.arange(n)
-            a = np.concatenate((np.ones((len(part), n, 1)), lib[j[near]]), axis=2)
-            target, dist, scale = y[j[near]], d[near], mean[part, None]
-            for theta in thetas:
-                w = np.exp(-theta * dist / np.where(scale > 0, scale, 1)) if theta else np.ones_like(dist)
-                w[scale[:, 0] <= 0] = 1
-                u, s, vt = np.linalg.svd(a * w[:, :, None], full_matrices=False)
-                rank = s > np.finfo(float).eps * max(n, width) * s[:, :1]
-                inverse = np.where(rank, 1 / np.where(rank, s, 1), 0)
-                c = np.einsum("rkj,rk->rj", vt, inverse * np.einsum("rnk,rn->rk", u, target * w))
-                got = c[:, 0] + (p[part] * c[:, 1:]).sum(axis=1)
-                var = (w * (target - got[:, None]) ** 2).sum(axis=1) / w.sum(axis=1)
-                for r, at in enumerate(part):
-                    yield int(at), theta, float(got[r]), float(var[r]), c[r].tolist(), [*s[r].tolist(), *[None] * (width - s.shape[1])]
+    used = used & np.isfinite(y)
+    w = np.exp(-theta * np.where(used, d, 0) / np.where(mean > 0, mean, 1)[:, None]) if theta else np.ones_like(d)
+    w[mean <= 0] = 1
+    w *= used
+    every = np.column_stack((np.ones(len(lib)), lib, np.where(np.isfinite(y), y, 0)))
+    return triangles(w[:, :, None] * every), triangles(np.sqrt(w)[:, :, None] * every[:, [0, -1]]), used.sum(axis=1)
+
+
+def solved_maps(p: np.ndarray, factors: np.ndarray, spread: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction, variance, coefficients, singular values) of each map, not a number where it has no rows or no such value."""
+    width = factors.shape[2] - 1
+    u, s, vt = np.linalg.svd(factors[:, :width, :width])
+    rank = s > np.finfo(float).eps * np.maximum(n, width)[:, None] * s[:, :1]
+    inverse = np.where(rank, 1 / np.where(rank, s, 1), 0)
+    c = np.einsum("rkj,rk->rj", vt, inverse * np.einsum("rik,ri->rk", u, factors[:, :width, width]))
+    got = c[:, 0] + (p * c[:, 1:]).sum(axis=1)
+    off = spread @ np.stack((-got, np.ones(len(got))), axis=1)[:, :, None]
+    total = spread[:, 0, 0] ** 2
+    var = (off[:, :, 0] ** 2).sum(axis=1) / np.where(total > 0, total, 1)
+    empty = n == 0
+    got[empty], var[empty], c[empty] = np.nan, np.nan, np.nan
+    s[np.arange(width)[None] >= np.minimum(n, width)[:, None]] = np.nan
+    return got, var, c, s
+
+
+def smap_rows(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, y: np.ndarray, k: int, radius: int, thetas: list[float]):
+    """Yields (places in p, theta, predictions, variances, coefficients, singular values) of weighted local linear maps over a whole library."""
+    step = max(1, CELLS // max(1, len(lib) * (lib.shape[1] + 2)))
+    for at in range(0, len(p), step):
+        here = slice(at, at + step)
+        d, gap = eligible(p_rows[here], p[here], l_rows, lib, radius)
+        used = k_first(d, gap, l_rows, k)
+        mean = np.where(used, d, 0).sum(axis=1) / np.maximum(1, used.sum(axis=1))
+        for theta in thetas:
+            yield np.arange(at, at + len(d)), theta, *solved_maps(p[here], *map_factors(d, used, lib, y, mean, theta))
 
 
 def sample_key(seed: int, direction: str, size: int, trial: int, row: int) -> str:

@@ -1,9 +1,7 @@
-"""Array kernels for Arrow batches: blocked neighbour search, local linear maps, cross mapping."""
+"""Array kernels for Arrow batches: blocked neighbour search, local linear maps."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
 
@@ -38,11 +36,6 @@ def nearest(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarr
 CELLS = 4_000_000
 
 
-def block_rows(n_lib: int) -> int:
-    """Rows that are searched together against so many library rows."""
-    return max(1, CELLS // max(1, n_lib))
-
-
 def eligible(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(distances, infinite within the radius; row differences)."""
     gap = np.abs(p_rows[:, None] - l_rows[None, :])
@@ -112,34 +105,3 @@ def smap_rows(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.nda
         mean = np.where(used, d, 0).sum(axis=1) / np.maximum(1, used.sum(axis=1))
         for theta in thetas:
             yield np.arange(at, at + len(d)), theta, *solved_maps(p[here], *map_factors(d, used, lib, y, mean, theta))
-
-
-def sample_key(seed: int, direction: str, size: int, trial: int, row: int) -> str:
-    """The key by which a trial's library is drawn: the rows with the smallest keys. The same anywhere, in any order of work."""
-    return hashlib.md5(f"{seed}|{direction}|{size}|{trial}|{row}".encode()).hexdigest()
-
-
-def cross_map_rho(rows: np.ndarray, points: np.ndarray, target: np.ndarray, library: np.ndarray, k: int, radius: int) -> float | None:
-    """Correlation of target and its estimate from ``library`` (places) over all points with k eligible neighbours; 0 without variance, None below 3."""
-    if k < 1:
-        return None
-    seen, got, block = [], [], block_rows(len(library))
-    for at in range(0, len(rows), block):
-        here = slice(at, at + block)
-        i, j, d = nearest(rows[here], points[here], rows[library], points[library], k, radius)
-        many = np.bincount(i, minlength=len(rows[here]))
-        full = np.flatnonzero(many == k)
-        if not len(full):
-            continue
-        use = many[i] == k
-        d, y = d[use].reshape(-1, k), target[library[j[use]]].reshape(-1, k)
-        first = d[:, :1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            w = np.where(first > 0, np.exp(-d / first), (d == 0).astype(float))
-        got.append((w * y).sum(axis=1) / w.sum(axis=1))
-        seen.append(target[here][full])
-    x, z = (np.concatenate(v) if v else np.zeros(0) for v in (seen, got))
-    if len(x) < 3:
-        return None
-    spread = x.std() * z.std()
-    return float(((x - x.mean()) * (z - z.mean())).mean() / spread) if spread > 0 else 0.0

@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.args import split_columns, without_local
-from ..functions.kernels import CELLS, k_first
 from ..functions.stats import compute_error
 from ..plans.index import Indices, create_indices, within
 from ..sources.series import ROW, Series, load, quoted, resolve_input, shifted, valid_frame, write_csv
 from .embed import check_embedding, lag_columns, lag_names
 from .layout import layout
-from .neighbors import ranked_neighbors
+from .neighbors import View, view_neighbors
 from .simplex import project
 
-#: Rows of a tile's side, and pairs times views of a tile, about.
-TILE, WORK = 4_096, 64_000_000
+#: Rows of a tile's side.
+TILE = 4_096
 
 
 @dataclass
@@ -40,48 +37,14 @@ def all_views(names: Sequence[str], D: int) -> list[tuple[int, tuple[int, ...],
     return [(i, c, "(" + ", ".join(f"'{names[j]}'" for j in c) + ")") for i, c in enumerate(combinations(range(len(names)), D))]
 
 
-def _tile(dims: int, views: Sequence[Sequence[tuple[int, tuple[int, ...]]]], k: int, radius: int):
-    """(view_id, p, l, d, y): the k nearest of a tile's rows in each of its views. Squares of differences are worked out once for all views."""
-    schema = pa.schema([("view_id", pa.int32()), ("p", pa.int64()), ("l", pa.int64()), ("d", pa.float64()), ("y", pa.float64())])
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        of = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        p_rows, l_rows, y, out = of(left, "p"), of(right, "l"), of(right, "y").astype(float), []
-        a, b = ([of(t, f"{side}{j}").astype(float) for j in range(dims)] for t, side in ((left, "a"), (right, "b")))
-        step = max(1, CELLS // (len(l_rows) * dims))
-        for at in range(0, len(p_rows), step):
-            here = slice(at, at + step)
-            gap = np.abs(p_rows[here, None] - l_rows[None])
-            square = [(x[here, None] - z[None]) ** 2 for x, z in zip(a, b, strict=True)]
-            for view_id, places in views[key[2].as_py()]:
-                total = np.zeros(gap.shape)
-                for j in places:
-                    total = total + square[j]
-                # a row whose lags a view lacks has no distance in it
-                d = np.where((gap > radius) & ~np.isnan(total), np.sqrt(total), np.inf)
-                i, j = np.nonzero(k_first(d, gap, l_rows, k))
-                out.append(pa.Table.from_arrays([pa.array(np.full(len(i), view_id, np.int32)), pa.array(p_rows[here][i]), pa.array(l_rows[j]), pa.array(d[i, j]), pa.array(y[j], from_pandas=True)], schema=schema))
-        return pa.concat_tables(out)
-
-    return run
-
-
 def view_projections(vectors: DataFrame, dims: int, views: Sequence[tuple[int, tuple[int, ...], str]], indices: Indices, pred: list[tuple[int, int]], k: int, radius: int, tile: int = TILE) -> DataFrame:
     """(view_id, p, pred, var) of all views: tiles of predicted and library rows hand on k neighbours of each row and view, and no pairs."""
     row = F.col(ROW)
-    n_pred, n_lib = sum(b - a + 1 for a, b in pred), indices.n_lib
-    down, across = max(1, -(-n_pred // tile)), max(1, -(-n_lib // tile))
-    parts = max(1, min(len(views), -(-min(n_pred, tile) * min(n_lib, tile) * len(views) // WORK)))
-    dealt = [[v[:2] for v in views[part::parts]] for part in range(parts)]
-    chunk = lambda of: F.pmod(row, F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = vectors.where(within(pred, row)).select(chunk(down).alias("_down"), every(across).alias("_across"), row.alias("p"), *[F.col(f"v{j}").alias(f"a{j}") for j in range(dims)]).withColumn("_part", every(parts))
-    right = vectors.where(within(indices.lib, row)).select(every(down).alias("_down"), chunk(across).alias("_across"), row.alias("l"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(dims)], F.col("y").alias("y")).withColumn("_part", every(parts))
-    at = ["_down", "_across", "_part"]
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_tile(dims, dealt, k, radius), "view_id int, p long, l long, d double, y double")
-    return project(ranked_neighbors(found, k, ["view_id"]), ["view_id"])
+    left = vectors.where(within(pred, row)).select(row.alias("p"), *[F.col(f"v{j}").alias(f"a{j}") for j in range(dims)])
+    right = vectors.where(within(indices.lib, row)).select(row.alias("l"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(dims)], F.col("y").alias("y"))
+    asked = [View(i, places, k) for i, places, _ in views]
+    near = view_neighbors(left, right, dims, asked, radius, sum(b - a + 1 for a, b in pred), indices.n_lib, tile).withColumnRenamed("view", "view_id")
+    return project(near, ["view_id"])
 
 
 def skill(series: Series, target: str, projected: DataFrame, pred: list[tuple[int, int]], Tp: int, n: int) -> DataFrame:

@@ -12,6 +12,7 @@ merge in a window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.boxes import Boxes
 from ..functions.kernels import nearest
 from ..sources.scratch import cut
@@ -29,6 +31,8 @@ PAIRS, BROADCAST = 20_000_000, 100_000
 TILE = 20_000
 #: Library rows of a cell, about; cells at most; rows of the sample for each cell; predicted rows of a cell that a task searches.
 CELL, CELLS, SAMPLED, PART = 4_096, 16_384, 16, 32_768
+#: Pairs times views of a tile, about.
+WORK = 64_000_000
 #: Dimensions that an index is tried in, and the part of the cells that a row may reach on average.
 DIMENSIONS, REACH = 12, 0.25
 
@@ -60,7 +64,10 @@ def neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int | Column, radiu
     """
     plain = isinstance(k, int) and isinstance(radius, int)
     if keys and n_lib is None:
-        # series side by side: an equi-join on their keys
+        # series side by side: an equi-join on their keys, or tiles where that makes too many pairs
+        sizes = pred.groupBy(*keys).agg(F.count("*").alias("_p")).join(lib.groupBy(*keys).agg(F.count("*").alias("_l")), list(keys))
+        if plain and (sizes.agg(F.sum(F.col("_p").cast("double") * F.col("_l"))).head()[0] or 0) > PAIRS:
+            return panel_neighbors(pred, lib, dims, k, radius, keys, sizes, carry)
         pairs = pred.join(lib, list(keys)).where(F.abs(F.col("p") - F.col("l")) > radius)
         return ranked_neighbors(pairs.withColumn("d", euclidean(dims)), k, keys).select(*keys, "p", "l", "d", "rank", *carry)
     small = n_pred is not None and n_lib is not None and n_lib <= BROADCAST and n_pred * n_lib <= PAIRS
@@ -196,6 +203,62 @@ def indexed_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius
     return ranked_neighbors(own.union(away), k, ()).select("p", "l", "d", "rank", *carry)
 
 
+def _codes(left: pa.Table, right: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where all the named columns are, for the rows of both tables."""
+    total = np.zeros(left.num_rows + right.num_rows, np.int64)
+    for c in names:
+        both = pa.chunked_array([*left.column(c).chunks, *right.column(c).chunks], type=left.column(c).type)
+        coded = np.asarray(both.combine_chunks().dictionary_encode().indices).astype(np.int64)
+        _, total = np.unique(total * (coded.max(initial=0) + 1) + coded, return_inverse=True)
+    return total[: left.num_rows], total[left.num_rows :]
+
+
+def _search_panel(dims: int, k: int, radius: int, keys: Sequence[str], carry: Sequence[str], schema: pa.Schema):
+    """Neighbours within each series and chunk of the group's rows."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        from ..functions.boxes import boxed_nearest
+
+        a_of, b_of = _codes(left, right, [*keys, "_down", "_across"])
+        p_rows, a, l_rows, b, out = _of(left, "p"), _states(left, "a", dims), _of(right, "l"), _states(right, "b", dims), []
+        a_by, b_by = np.argsort(a_of, kind="stable"), np.argsort(b_of, kind="stable")
+        for code in np.intersect1d(a_of, b_of):
+            own = a_by[np.searchsorted(a_of[a_by], code) : np.searchsorted(a_of[a_by], code, side="right")]
+            lib = b_by[np.searchsorted(b_of[b_by], code) : np.searchsorted(b_of[b_by], code, side="right")]
+            i, j, d, _ = boxed_nearest(p_rows[own], a[own], l_rows[lib], b[lib], k, radius)
+            out.append((own[i], lib[j], d))
+        i, j, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        i, j = pa.array(i), pa.array(j)
+        return pa.Table.from_arrays([*[left.column(c).combine_chunks().take(i) for c in (*keys, "p")], right.column("l").combine_chunks().take(j), pa.array(d), *[right.column(c).combine_chunks().take(j) for c in carry]], schema=schema)
+
+    return run
+
+
+def panel_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius: int, keys: Sequence[str], sizes: DataFrame, carry: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """As :func:`neighbors`, for series side by side whose numbers of rows are in ``sizes`` (keys, _p, _l).
+
+    Short series are packed, so many to a task, and long ones split into tiles of chunks, so that no task has all of a series. A null key
+    meets none.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    held = cut(sizes.select(*keys, F.ceil(F.col("_p") / tile).cast("int").alias("_ps"), F.ceil(F.col("_l") / tile).cast("int").alias("_ls"), "_p", "_l"), "sizes")
+    packs = max(1, -(-(held.where("_ps = 1 AND _ls = 1").agg(F.sum(F.col("_p") + F.col("_l"))).head()[0] or 0) // (2 * tile)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    chunk = lambda c, n: F.pmod(F.col(c), F.col(n)).cast("int")
+    # a series of one tile shares its group with others; tiles of longer ones have groups of their own
+    group = F.when((F.col("_ps") == 1) & (F.col("_ls") == 1), F.pmod(F.xxhash64(*keys), F.lit(packs))).otherwise(packs + F.pmod(F.xxhash64(*keys, "_down", "_across"), F.lit(1 << 40))).alias("_group")
+    left = pred.join(held, list(keys)).withColumn("_down", chunk("p", "_ps")).withColumn("_across", every("_ls")).select(group, *keys, "_down", "_across", "p", *[f"a{j}" for j in range(dims)])
+    right = lib.join(held, list(keys)).withColumn("_across", chunk("l", "_ls")).withColumn("_down", every("_ps")).select(group, *[F.col(c).alias(c) for c in keys], "_down", "_across", "l", *[f"b{j}" for j in range(dims)], *carry)
+    kinds = {**{f.name: f.dataType.simpleString() for f in left.schema}, **{f.name: f.dataType.simpleString() for f in right.schema}}
+    names = [*keys, "p", "l", "d", *carry]
+    schema = to_arrow_schema(left.select(*keys, "p").schema).append(pa.field("l", pa.int64())).append(pa.field("d", pa.float64()))
+    for f in to_arrow_schema(right.select(*carry).schema):
+        schema = schema.append(f)
+    found = left.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(_search_panel(dims, k, radius, keys, carry, schema), ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in names))
+    return ranked_neighbors(found, k, keys).select(*keys, "p", "l", "d", "rank", *carry)
+
+
 def _tile(dims: int, k: int, radius: int, carry: Sequence[str]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = lambda t, c: np.asarray(t.column(c).combine_chunks())
@@ -227,3 +290,67 @@ def tiled_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius:
     schema = "p long, l long, d double" + "".join(f", {c} double" for c in carry)
     best = left.groupBy("_down", "_across").cogroup(right.groupBy("_down", "_across")).applyInArrow(_tile(dims, k, radius, carry), schema)
     return ranked_neighbors(best, k, ()).select("p", "l", "d", "rank", *carry)
+
+
+class View(NamedTuple):
+    """Some of the columns of wide states, in the order in which their squares are added; rows from ranges, if there are any."""
+
+    id: int
+    places: Sequence[int]
+    k: int
+    pred: Sequence[tuple[int, int]] = ()
+    lib: Sequence[tuple[int, int]] = ()
+
+
+def _in_ranges(rows: np.ndarray, ranges: Sequence[tuple[int, int]]) -> np.ndarray:
+    return np.any([(rows >= a) & (rows <= b) for a, b in ranges], axis=0) if ranges else np.ones(len(rows), bool)
+
+
+def _search_views(dims: int, dealt: Sequence[Sequence[View]], radius: int):
+    """(view, p, l, d, y): the k first of a tile's rows in each view. Squares are worked out once for all, and a view that begins like the one before goes on from its sum."""
+    schema = pa.schema([("view", pa.int32()), ("p", pa.int64()), ("l", pa.int64()), ("d", pa.float64()), ("y", pa.float64())])
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        of = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        p_rows, l_rows, y, out = of(left, "p"), of(right, "l"), of(right, "y").astype(float), []
+        a, b = ([of(t, f"{side}{j}").astype(float) for j in range(dims)] for t, side in ((left, "a"), (right, "b")))
+        step = max(1, kernels.CELLS // (len(l_rows) * dims))
+        for at in range(0, len(p_rows), step):
+            here = slice(at, at + step)
+            gap = np.abs(p_rows[here, None] - l_rows[None])
+            square = [(x[here, None] - z[None]) ** 2 for x, z in zip(a, b, strict=True)]
+            total, added = np.zeros(gap.shape), ()
+            for view in dealt[key[2].as_py()]:
+                places = tuple(view.places)
+                if places[: len(added)] != added:
+                    total, added = np.zeros(gap.shape), ()
+                for j in places[len(added) :]:
+                    total = total + square[j]
+                added = places
+                # a row whose lags a view lacks has no distance in it
+                ok = (gap > radius) & ~np.isnan(total) & _in_ranges(p_rows[here], view.pred)[:, None] & _in_ranges(l_rows, view.lib)
+                d = np.where(ok, np.sqrt(total), np.inf)
+                i, j = np.nonzero(kernels.k_first(d, gap, l_rows, view.k))
+                out.append(pa.Table.from_arrays([pa.array(np.full(len(i), view.id, np.int32)), pa.array(p_rows[here][i]), pa.array(l_rows[j]), pa.array(d[i, j]), pa.array(y[j], from_pandas=True)], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def view_neighbors(pred: DataFrame, lib: DataFrame, dims: int, views: Sequence[View], radius: int, n_pred: int, n_lib: int, tile: int = TILE) -> DataFrame:
+    """(view, p, l, d, rank, y) of all views from one pass: tiles hand on k neighbours of each row and view, and no pairs."""
+    down, across = max(1, -(-n_pred // tile)), max(1, -(-n_lib // tile))
+    parts = max(1, min(len(views), -(-min(n_pred, tile) * min(n_lib, tile) * len(views) // WORK)))
+    # neighbouring views stay together, as they may begin alike
+    size = -(-len(views) // parts)
+    dealt = [list(views[at : at + size]) for at in range(0, len(views), size)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    chunk = lambda c, n: F.pmod(F.col(c), F.lit(n)).cast("int")
+    left = pred.select(chunk("p", down).alias("_down"), every(across).alias("_across"), *pred.columns).withColumn("_part", every(len(dealt)))
+    right = lib.select(every(down).alias("_down"), chunk("l", across).alias("_across"), *[F.col(c).alias(c) for c in lib.columns]).withColumn("_part", every(len(dealt)))
+    at = ["_down", "_across", "_part"]
+    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_search_views(dims, dealt, radius), "view int, p long, l long, d double, y double")
+    k = F.create_map(*[F.lit(x) for v in views for x in (v.id, v.k)])[F.col("view")] if len({v.k for v in views}) > 1 else views[0].k
+    return ranked_neighbors(found, k, ["view"], max(v.k for v in views))

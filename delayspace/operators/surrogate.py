@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite
-from ..sources.series import ROW, Series, quoted
+from ..sources.scratch import ranked
+from ..sources.series import ONE_TASK, ROW, Series, quoted
 
 METHODS = ("random_shuffle", "ebisuzaki", "seasonal")
 #: Values of a series that a task transforms at once.
@@ -21,8 +22,13 @@ def shuffle(series: Series, column: str, num_surr: int, seed: int) -> DataFrame:
     values = series.df.select(ROW, quoted(column).alias("value"))
     many = values.withColumn("surr_id", F.explode(F.sequence(F.lit(1), F.lit(num_surr))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("surr_id").cast("string"), F.col(ROW).cast("string")))
-    place = F.row_number().over(W.partitionBy("surr_id").orderBy(key, ROW)).cast("long")
-    return many.select("surr_id", place.alias(ROW), "value")
+    if series.n <= ONE_TASK:
+        place = F.row_number().over(W.partitionBy("surr_id").orderBy(key, ROW)).cast("long")
+        return many.select("surr_id", place.alias(ROW), "value")
+    # all surrogates in one order, by ranges; each has as many rows as the series
+    keyed = many.select("surr_id", key.alias("_key"), ROW, "value")
+    placed = ranked(keyed, "surr_id", "_key", ROW, name="_rank", label="shuffled", parts=-(-series.n * num_surr // ONE_TASK))
+    return placed.select("surr_id", (F.col("_rank") - (F.col("surr_id") - 1) * F.lit(series.n) + 1).alias(ROW), "value")
 
 
 def phase_randomised(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:

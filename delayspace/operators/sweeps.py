@@ -13,7 +13,7 @@ from ..functions.stats import compute_error
 from ..plans.index import within
 from ..sources.series import ROW, quoted, write_csv
 from .layout import slots
-from .neighbors import BROADCAST, PAIRS, neighbors, ranked_neighbors
+from .neighbors import BROADCAST, View, neighbors, ranked_neighbors, view_neighbors
 from .simplex import project
 from .smap import local_maps
 from .state import Result, State, prepare
@@ -39,27 +39,6 @@ def observed(state: State, projected: DataFrame, keys: Sequence[str], on: Column
     return rows.join(seen, ROW).select(*keys, "Observations", "Predictions")
 
 
-def swept_pairs(states: list[State], radius: int) -> DataFrame:
-    """Pairs (p, l, a0.., b0..) of rows that any of the states predicts and has in its library; the widest state comes last."""
-    widest, row = states[-1], F.col(ROW)
-    some = lambda part: reduce(lambda x, y: x | y, [within(getattr(s.indices, part), row) for s in states])
-    v = widest.vectors
-    names = [c for c in v.columns if c not in (ROW, "ok")]
-    lags = [c for c in names if c.startswith("v")]
-    left = v.where(some("pred")).select(row.alias("p"), *[F.col(c).alias(f"a{c[1:]}") for c in lags])
-    lib = v.where(some("lib"))
-    if widest.valid is not None:
-        lib = lib.join(widest.valid, ROW, "left_semi")
-    right = lib.select(row.alias("l"), *[F.col(c).alias(f"b{c[1:]}") for c in lags], *[c for c in names if c not in lags])
-    small = max(s.indices.n_lib for s in states) <= BROADCAST
-    return left.join(F.broadcast(right) if small else right, F.abs(F.col("p") - F.col("l")) > radius)
-
-
-def small_enough(states: list[State]) -> bool:
-    """Whether one theta join does for all states."""
-    return len(states) * max(s.indices.n_lib for s in states) * max(s.indices.n_pred for s in states) <= PAIRS
-
-
 def _rho(parts: list[DataFrame], key: str, kind: str) -> DataFrame:
     both = reduce(DataFrame.unionByName, parts)
     return compute_error(both, by=[key]).select(F.col(key).cast(kind).alias(key), "rho").orderBy(key)
@@ -89,22 +68,23 @@ def embed_dimension(dataFrame: DataFrame | None = None, columns="", target="", l
     widest = at("embed_dimension", maxE, Tp)
     again = _args(widest.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
     states = [again("embed_dimension", E, Tp) for E in range(1, maxE)] + [widest]
-    if embedded or not small_enough(states):
+    if embedded:  # the state is one whatever E
         parts = []
         for E, s in enumerate(states, 1):
             near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
             parts.append(observed(s, project(near), []).withColumn("E", F.lit(E)))
         return finish(_rho(parts, "E", "int"))
-    # the lags of a smaller E are among those of the largest: one join, and a distance for each E
-    n = widest.dims // maxE
-    each = []
-    for s in states:
-        used = [c * maxE + k for c in range(n) for k in range(s.E)]
-        total = reduce(lambda x, y: x + y, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in used])
-        own = within(s.indices.pred, F.col("p")) & within(s.indices.lib, F.col("l")) & total.isNotNull()
-        each.append(F.when(own, F.struct(F.lit(s.E).alias("E"), F.sqrt(total).alias("d"))))
-    seen = swept_pairs(states, exclusionRadius).select("p", "l", "y", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.E", "p", "l", "y", "x.d")
-    near = ranked_neighbors(seen, F.col("E") + 1, ["E"], maxE + 1)
+    # the lags of a smaller E are among those of the largest: each is a view of it, and all are searched in one pass
+    n, row = widest.dims // maxE, F.col(ROW)
+    views = [View(s.E, [c * maxE + k for c in range(n) for k in range(s.E)], s.E + 1, s.indices.pred, s.indices.lib) for s in states]
+    some = lambda part: reduce(lambda x, y: x | y, [within(getattr(s.indices, part), row) for s in states])
+    left = widest.vectors.where(some("pred")).select(row.alias("p"), *[F.col(f"v{j}").alias(f"a{j}") for j in range(widest.dims)])
+    lib_rows = widest.vectors.where(some("lib"))
+    if widest.valid is not None:
+        lib_rows = lib_rows.join(widest.valid, ROW, "left_semi")
+    right = lib_rows.select(row.alias("l"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(widest.dims)], F.col("y").alias("y"))
+    most = lambda part: max(getattr(s.indices, part) for s in states)
+    near = view_neighbors(left, right, widest.dims, views, exclusionRadius, most("n_pred"), most("n_lib")).withColumnRenamed("view", "E")
     on = reduce(lambda x, y: x | y, [(F.col("E") == s.E) & placed(s) for s in states])
     return finish(_rho([observed(widest, project(near, ["E"]), ["E"], on)], "E", "int"))
 
@@ -117,19 +97,12 @@ def predict_interval(dataFrame: DataFrame | None = None, columns="", target="",
     first = at("predict_interval", E, 1)
     again = _args(first.series, columns, target, lib, pred, tau, embedded, validLib, noTime, ignoreNan, pathIn, dataFile, spark)
     states = [first] + [again("predict_interval", E, Tp) for Tp in range(2, maxTp + 1)]
-    if not small_enough(states):
-        parts = []
-        for Tp, s in enumerate(states, 1):
-            near = neighbors(s.pred(), s.lib(), s.dims, s.E + 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib, carry=["y"])
-            parts.append(observed(s, project(near), []).withColumn("Tp", F.lit(Tp)))
-        return finish(_rho(parts, "Tp", "int"))
-    # distances are those of one state; what a library row looks ahead to is read by its row
-    s = states[0]
-    total = reduce(lambda x, y: x + y, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in range(s.dims)])
+    # a library for a larger Tp lacks the last rows of that for the first, of which there are Tp - 1: so many more neighbours hold the k of every Tp
+    s, k = states[0], states[0].E + 1
+    near = neighbors(s.pred(), s.lib(), s.dims, k + maxTp - 1, exclusionRadius, s.indices.n_pred, s.indices.n_lib)
     each = [F.when(within(t.indices.pred, F.col("p")) & within(t.indices.lib, F.col("l")), F.lit(t.Tp)) for t in states]
-    pairs = swept_pairs(states, exclusionRadius).withColumn("d", F.sqrt(total)).where("d IS NOT NULL")
-    seen = pairs.select("p", "l", "d", F.explode(F.array_compact(F.array(*each))).alias("Tp"))
-    near = ranked_neighbors(seen, s.E + 1, ["Tp"])
+    seen = near.select("p", "l", "d", F.explode(F.array_compact(F.array(*each))).alias("Tp"))
+    near = ranked_neighbors(seen, k, ["Tp"])
     future = s.series.df.select(F.col(ROW).alias("_at"), quoted(s.target).alias("y"))
     near = near.join(F.broadcast(future) if s.series.n <= BROADCAST else future, F.col("_at") == F.col("l") + F.col("Tp"), "left").drop("_at")
     on = reduce(lambda x, y: x | y, [(F.col("Tp") == t.Tp) & placed(t) for t in states])

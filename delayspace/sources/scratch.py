@@ -66,13 +66,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, *order, name: str, label: str) -> DataFrame:
-    """``df`` with its 0-based position in ``order`` as column ``name``, by ranges and not in one task.
+def ranked(df: DataFrame, *order, name: str, label: str, parts: int = 0) -> DataFrame:
+    """``df`` with its 0-based position in ``order`` as column ``name``, by ranges (``parts`` of them at least) and not in one task.
 
     Only one count for each range comes to the driver, and goes back as a literal.
     """
     place, part = "__ds_place", F.shiftright("__ds_place", 33).cast("int")
-    ranges = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = df.repartitionByRange(max(parts, partitions(df.sparkSession)), *order).sortWithinPartitions(*order)
     placed = cut(ranges.withColumn(place, F.monotonically_increasing_id()), label)
     counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     before, offsets = 0, []

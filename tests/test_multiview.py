@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from delayspace.operators import multiview as mv
+from delayspace.operators import neighbors as nb
 from delayspace.operators.multiview import multiview
 
 
@@ -39,9 +40,9 @@ def brute(rows, D, E, lib, pred, k, radius, Tp):
     return out
 
 
-@pytest.mark.parametrize(("tile", "work"), [(4_096, mv.WORK), (17, 2_000)])
+@pytest.mark.parametrize(("tile", "work"), [(4_096, nb.WORK), (17, 2_000)])
 def test_views_against_brute_force(spark, monkeypatch, tile, work):
-    monkeypatch.setattr(mv, "WORK", work)
+    monkeypatch.setattr(nb, "WORK", work)
     monkeypatch.setattr(mv.view_projections, "__defaults__", (tile,))
     df, rows = frame(spark)
     got = multiview(df, "x y z", "x", (1, 80), (81, 149), D=2, E=2, multiview=5, exclusionRadius=2, trainLib=False)
@@ -67,8 +68,8 @@ def test_views_against_brute_force(spark, monkeypatch, tile, work):
 def test_views_hand_on_neighbours_only(spark, monkeypatch):
     """What tiles hand on is views x rows x k for each chunk of the library, whatever the number of pairs."""
     seen = []
-    ranked = mv.ranked_neighbors
-    monkeypatch.setattr(mv, "ranked_neighbors", lambda found, *a: (seen.append(found), ranked(found, *a))[1])
+    ranked = nb.ranked_neighbors
+    monkeypatch.setattr(nb, "ranked_neighbors", lambda found, *a: (seen.append(found), ranked(found, *a))[1])
     df, _ = frame(spark)
     multiview(df, "x y z", "x", (1, 80), (81, 149), D=2, E=1, trainLib=False)
     assert len(seen) == 2 and all(0 < f.count() <= 3 * 69 * 3 for f in seen)

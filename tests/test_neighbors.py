@@ -77,3 +77,35 @@ def test_search_picks_its_way(spark, monkeypatch):
     assert show(nb.neighbors(left, right, 3, 3, 2, 223, 2_000, carry=["y"])) == want
     monkeypatch.setattr(nb, "REACH", 0.0)
     assert show(nb.neighbors(left, right, 3, 3, 2, 223, 2_000, carry=["y"])) == want
+
+
+def test_panel_of_long_and_short_series(spark, monkeypatch):
+    """A long series in tiles and short ones packed give what a search of each series gives."""
+    rng = np.random.default_rng(7)
+    left, right, want = [], [], {}
+    for name, n in [("long", 900), *[(f"s{i}", int(rng.integers(1, 40))) for i in range(60)], ("one", 1)]:
+        lib, rows = rng.integers(0, 6, (n, 2)).astype(float), np.arange(1, n + 1)
+        left += [(name, 0, int(r), *map(float, v)) for r, v in zip(rows, lib, strict=True)]
+        right += [(name, 0, int(r), *map(float, v), float(r)) for r, v in zip(rows, lib, strict=True)]
+        i, j, d = nearest(rows, lib, rows, lib, 3, 2)
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        want |= {(name, int(rows[a]), int(r)): (int(rows[b]), float(x), float(rows[b])) for a, b, x, r in zip(i, j, d, rank, strict=True)}
+    left.append((None, 0, 1, 1.0, 1.0))
+    pred = spark.createDataFrame(left, "g string, h int, p long, a0 double, a1 double").repartition(3)
+    lib = spark.createDataFrame(right, "g string, h int, l long, b0 double, b1 double, y double").repartition(3)
+    show = lambda df: {(r["g"], r["p"], r["rank"]): (r["l"], r["d"], r["y"]) for r in df.collect()}
+    assert show(nb.neighbors(pred, lib, 2, 3, 2, keys=["g", "h"], carry=["y"])) == want
+    monkeypatch.setattr(nb, "PAIRS", 1_000)
+    sizes = lambda: pred.groupBy("g", "h").count().withColumnRenamed("count", "_p").join(lib.groupBy("g", "h").count().withColumnRenamed("count", "_l"), ["g", "h"])
+    assert show(nb.neighbors(pred, lib, 2, 3, 2, keys=["g", "h"], carry=["y"])) == want
+    assert show(nb.panel_neighbors(pred, lib, 2, 3, 2, ["g", "h"], sizes(), ["y"], tile=100)) == want
+
+
+def test_shuffle_by_ranges(spark, monkeypatch):
+    from delayspace.operators import surrogate
+    from delayspace.sources.series import load
+
+    s = load(spark.createDataFrame([(i, float(i * i % 17)) for i in range(200)], "t long, x double"))
+    want = sorted(map(tuple, surrogate.surrogate_data(s, "x", num_surr=3, seed=4).collect()))
+    monkeypatch.setattr(surrogate, "ONE_TASK", 50)
+    assert sorted(map(tuple, surrogate.surrogate_data(s, "x", num_surr=3, seed=4).collect())) == want

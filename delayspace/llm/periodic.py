@@ -212,5 +212,7 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     a = F.col("g") % n
     p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
     rows = rows.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
-    turned = F.expr("array_join(transform(w, (x, i) -> IF(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    # by slices: the optimiser may put the words' expression wherever they are named, which must not be for each of them
+    again = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    turned = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), (n - F.col("a")).cast("int"))), " ")
     return rows.select(F.col("id").alias(id_col), F.when(F.col("p").isNotNull(), turned).otherwise(F.col("text")).alias(text_col))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import aside, cut, drop
+from .common import aside, cut, drop, partitions
 from .graph import connected_components
 
 SEED = 42
@@ -260,17 +260,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # Similar texts, of which a radius of a few bits finds only the nearest, are told by their sets of shingles. All sets are put in one
-# order of shingles, common ones last; two sets of a similarity then share a shingle among the first few of each, so texts
-# that meet there are all the candidates, and a link stands only if the sets themselves are as similar.
+# order of shingles, those that few texts have first; two sets of a similarity then share a shingle among the first few of each, so texts
+# that meet there are all the candidates, and a link stands only if the sets themselves are as similar. How many texts have a shingle is
+# counted over all of them. A shingle that no other text has takes a place and makes no candidate, so that only a text most of whose
+# shingles others have as well has candidates at all.
 
-#: Texts from which common shingles are told, and how many are kept, at most. They change the order, never the result.
+#: Texts from which the most common shingles are told, and how many are kept, at most. They come last, in the order of the sample; others are counted. They change the order, never the result.
 COMMON_SAMPLE, COMMON = 16_000, 400_000
-#: Members of a group of which all pairs are taken at once; larger ones are tied by neighbours first, and only what stays apart is paired.
+#: Bytes of text whose shingles are counted in one group, and shingles that a task deals out together, about.
+COUNTED, DEALT = 8 << 20, 400_000
+#: Members of a group of which all pairs are taken at once; in larger ones each is tied to some before it, and only what stays apart is paired.
 ALL_PAIRS = 16
 #: Members next in size that each is tied to first.
 NEXT = 3
-#: Bits of the map of ids that candidates have.
-MARKS = 1 << 23
+#: Texts that candidates are made of, up to which their hashes are broadcast.
+BROADCAST_TEXTS = 1_000_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -301,19 +305,19 @@ def may_be_similar(x: bytes, y: bytes, similarity: float) -> bool:
     return int(np.minimum(a, b).sum(dtype=np.int64)) >= np.ceil(similarity / (1 + similarity) * (int(a.sum(dtype=np.int64)) + int(b.sum())) - 1e-9)
 
 
-def first_shingles(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of a set: others by hash, then ``common`` (sorted) by ``rank``."""
-    n = len(hashes)
-    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    if not len(common) or not n:
-        return hashes[:take]
+def wanted_shingles(n: int, similarity: float) -> int:
+    """How many of the first shingles of a set of n must be looked at: n - ceil(similarity * n) + 1."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def parted(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(others, the ``common`` (sorted) by ``rank``) of a set."""
+    if not len(common) or not len(hashes):
+        return hashes, hashes[:0]
     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
     late = common[at] == hashes
-    first = hashes[~late][:take]
-    if len(first) < take:
-        rest = np.flatnonzero(late)
-        first = np.concatenate((first, hashes[rest[np.argsort(rank[at[rest]], kind="stable")][: take - len(first)]]))
-    return first
+    own = np.flatnonzero(late)
+    return hashes[~late], hashes[own[np.argsort(rank[at[own]], kind="stable")]]
 
 
 def _all_shingles(width: int):
@@ -327,62 +331,89 @@ def _all_shingles(width: int):
     return run
 
 
-def _read_sets(width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
-    """For each text its set's key, sketch, size and first shingles, of which 48 bits tell candidates."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int64()), ("first", pa.binary())])
+def _read_sets(width: int, similarity: float, held):
+    """For each text its set's key, sketch and size, how many of its shingles are not common, and those common ones that are among its first."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int64()), ("own", pa.int64()), ("late", pa.binary())])
 
     def run(batches):
         for b in batches:
             rows = []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), width)
-                rows.append((set_key(s), sketch(s), len(s), (first_shingles(s, common, rank, similarity) >> np.uint64(16)).astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), *[pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(4)]], schema=schema)
+                own, late = parted(s, *held.value)
+                rows.append((set_key(s), sketch(s), len(s), len(own), late[: max(0, wanted_shingles(len(s), similarity) - len(own))].tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), *[pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(5)]], schema=schema)
+
+    return run
+
+
+def _deal_shingles(width: int, groups: int, held):
+    """Shingles that are not common, many in a row: (grp, nodes, hashes, which node each is of). Of texts with one set, one counts."""
+    schema = pa.schema([("grp", pa.int64()), ("nodes", pa.binary()), ("hashes", pa.binary()), ("of", pa.binary())])
+
+    def dealt(sets: dict[int, np.ndarray]):
+        nodes = np.fromiter(sets, np.int64, len(sets))
+        hashes, of = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets.values()])
+        grp = (hashes % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(grp, kind="stable")
+        names, first = np.unique(grp[order], return_index=True)
+        rows = []
+        for part in np.split(order, first[1:]):
+            there, local = np.unique(of[part], return_inverse=True)
+            rows.append((nodes[there].tobytes(), hashes[part].tobytes(), local.astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], schema=schema)
+
+    def run(batches):
+        sets, many = {}, 0
+        for b in batches:
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), width)
+                own, _ = parted(s, *held.value)
+                if len(own) and (node := set_key(s)) not in sets:
+                    sets[node] = own
+                    many += len(own)
+                if many > DEALT:
+                    yield dealt(sets)
+                    sets, many = {}, 0
+        if sets:
+            yield dealt(sets)
 
     return run
 
 
-def _tokens(batches):
-    """(token, node, place) of first shingles; size and position go as one number."""
+def _shared(table: pa.Table) -> pa.Table:
+    """(node, times, token) of a group's shingles that two nodes or more have, with how many do."""
+    schema = pa.schema([("node", pa.int64()), ("times", pa.int32()), ("token", pa.int64())])
+    columns = [[np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("nodes", "<i8"), ("hashes", "<u8"), ("of", "<i4"))]
+    node, token = np.concatenate([n[of] for n, _, of in zip(*columns, strict=True)]), np.concatenate(columns[1])
+    order = np.lexsort((node, token))
+    node, token = node[order], token[order]
+    once = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+    node, token = node[once], token[once]
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    times = np.diff(np.append(starts, len(token)))
+    keep = np.repeat(times > 1, times)
+    return pa.Table.from_arrays([pa.array(node[keep]), pa.array(np.repeat(times, times)[keep].astype(np.int32)), pa.array(token[keep].view(np.int64))], schema=schema)
+
+
+def _first_shingles(similarity: float):
+    """(token, node, place) of those first shingles of each node that others have too; size and position go as one number."""
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
-    for b in batches:
-        token, node, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, size, first in zip(b.column("node").to_pylist(), b.column("size").to_pylist(), b.column("first"), strict=True):
-            first = np.frombuffer(first.as_py(), "<i8")
-            token.append(first)
-            node.append(np.full(len(first), n))
-            place.append((size << 32) + np.arange(len(first)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, place)], schema=schema)
-
-
-_GROUP = "nodes array<long>, parts array<long>, places array<long>"
-
-
-def _grouped(batches):
-    """Runs of two or more equal tokens of a sorted stream, each as one row."""
-    items = pa.list_(pa.int64())
-    schema = pa.schema([("nodes", items), ("parts", items), ("places", items)])
-
-    def rows(token, *columns):
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        many = np.diff(np.append(starts, len(token)))
-        keep = np.repeat(many > 1, many)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(many[many > 1]))).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(c[keep])) for c in columns], schema=schema)
-
-    open_ = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [np.asarray(b.column(c)) for c in ("token", "node", "part", "place")]
-        if open_ is not None:
-            new = [np.concatenate(x) for x in zip(open_, new, strict=True)]
-        last = int(np.searchsorted(new[0], new[0][-1]))
-        if last:
-            yield rows(*[x[:last] for x in new])
-        open_ = [x[last:] for x in new]
-    if open_ is not None:
-        yield rows(*open_)
+
+    def run(batches):
+        for b in batches:
+            out = [(np.zeros(0, np.int64),) * 3]
+            for node, size, own, late, near in zip(*[b.column(c).to_pylist() for c in ("node", "size", "own", "late")], b.column("near"), strict=True):
+                shared = np.asarray(near.values.field("token")) if near.is_valid else out[0][0]
+                alone = own - len(shared)
+                first = shared[: max(0, wanted_shingles(size, similarity) - alone)]
+                last = np.frombuffer(late, "<i8")
+                token = np.concatenate((first, last))
+                at = np.concatenate((alone + np.arange(len(first)), own + np.arange(len(last))))
+                out.append((token, np.full(len(token), node), (size << 32) + at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+
+    return run
 
 
 def can_reach(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
@@ -392,56 +423,93 @@ def can_reach(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np
     return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (np.minimum(na - ia, nb - ib) >= need)
 
 
-def group_pairs(nodes: np.ndarray, parts: np.ndarray, places: np.ndarray, similarity: float, tie: bool):
-    """Blocks (a, b) of candidates of a group that are in different parts; of a large one, if ``tie``, only some for each member."""
-    n = len(nodes)
-    order = np.lexsort((nodes, places >> 32))
-    nodes, parts, places = nodes[order], parts[order], places[order]
-    if tie and n > ALL_PAIRS:
-        least = int(np.argmin(nodes))
-        blocks = [(np.arange(n - k), np.arange(k, n)) for k in range(1, NEXT + 1)] + [(np.full(n, least), np.arange(n))]
-    else:
-        step = max(1, 1_000_000 // n)
-        blocks = ((np.repeat(np.arange(at, min(n, at + step)), n - at), np.tile(np.arange(at, n), min(n, at + step) - at)) for at in range(0, n, step))
-    for i, j in blocks:
-        apart = (parts[i] != parts[j]) & (nodes[i] != nodes[j]) & (i < j if not tie or n <= ALL_PAIRS else True)
-        i, j = i[apart], j[apart]
-        ok = can_reach(places[i], places[j], similarity)
-        x, y = nodes[i[ok]], nodes[j[ok]]
-        yield np.minimum(x, y), np.maximum(x, y)
-
-
 #: Pairs that a task gathers, to hand each on once.
 GATHERED = 2_000_000
 
 
-def _pairs(similarity: float, tie: bool):
+class _Pairs:
+    """Gathers pairs, and gives batches of distinct ones: texts that are alike share many groups, so a pair comes again and again."""
+
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def once(held):
-        return np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+    def __init__(self):
+        self.held, self.count = [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray):
+        self.held.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
+        self.count += len(x)
+        if self.count > GATHERED:
+            self.held = [np.unique(np.concatenate(self.held), axis=0)]
+            self.count = len(self.held[0])
+            if self.count > GATHERED // 2:
+                yield from self.rest()
+
+    def rest(self):
+        pairs = np.unique(np.concatenate(self.held), axis=0) if self.held else np.zeros((0, 2), np.int64)
+        self.held, self.count = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=self.schema)
 
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+
+def tied(token: np.ndarray, place: np.ndarray, turn: np.ndarray, since: int):
+    """Yields (i, j) of rows from ``since`` on, sorted by token and place, with rows before them in their group: all before it for the first members, the nearest for others."""
+    for k in range(1, min(ALL_PAIRS, len(token))):
+        i = np.arange(max(since, k), len(token))
+        i = i[(token[i] == token[i - k]) & ((turn[i] < ALL_PAIRS) | (k <= NEXT))]
+        yield i, i - k
+
+
+def _near_pairs(similarity: float):
+    """Candidates among rows (token, node, place), sorted, of which only the last few are held."""
 
     def run(batches):
-        # texts that are alike share many groups, so a pair comes again and again
-        held, count = [], 0
-        for batch in batches:
-            columns = [batch.column(c) for c in ("nodes", "parts", "places")]
-            offsets = [np.asarray(c.offsets) for c in columns]
-            values = [np.asarray(c.values) for c in columns]
-            for g in range(batch.num_rows):
-                for a, b in group_pairs(*[v[o[g] : o[g + 1]] for v, o in zip(values, offsets, strict=True)], similarity, tie):
-                    held.append(np.stack((a, b), axis=1))
-                    count += len(a)
-                if count > GATHERED:
-                    held = [once(held)]
-                    count = len(held[0])
-                    if count > GATHERED // 2:
-                        yield batch_of(held[0])
-                        held, count = [], 0
-        yield batch_of(once(held))
+        out, old = _Pairs(), [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, node, place = (np.concatenate((o, np.asarray(b.column(c)))) for o, c in zip(old, ("token", "node", "place"), strict=False))
+            since = len(old[0])
+            starts = np.concatenate(([True], token[1:] != token[:-1]))
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))
+            turn = np.arange(len(token)) - first
+            if since:  # the group that is open goes on
+                turn[first == first[since - 1]] += old[3][-1] - turn[since - 1]
+            for i, j in tied(token, place, turn, since):
+                ok = (node[i] != node[j]) & can_reach(place[i], place[j], similarity)
+                yield from out.add(node[i[ok]], node[j[ok]])
+            old = [x[-ALL_PAIRS:] for x in (token, node, place, turn)]
+        yield from out.rest()
+
+    return run
+
+
+def _apart_pairs(similarity: float):
+    """Candidates of one group that are in different parts, from rows (token, node, place, part) sorted by token."""
+
+    def pairs(node, place, part):
+        step = max(1, 1_000_000 // len(node))
+        for at in range(0, len(node), step):
+            i, j = np.nonzero((part[at : at + step, None] != part[None]) & (np.arange(at, min(at + step, len(node)))[:, None] < np.arange(len(node))[None]))
+            i += at
+            ok = can_reach(place[i], place[j], similarity)
+            yield node[i[ok]], node[j[ok]]
+
+    def run(batches):
+        out, open_ = _Pairs(), []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, *rest = (np.asarray(b.column(c)) for c in ("token", "node", "place", "part"))
+            cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(token)), strict=True):
+                if open_ and open_[0][0] != token[lo]:
+                    for x, y in pairs(*(np.concatenate(c) for c in list(zip(*open_, strict=True))[1:])):
+                        yield from out.add(x, y)
+                    open_ = []
+                open_.append((token[lo], *(c[lo:hi] for c in rest)))
+        if open_:
+            for x, y in pairs(*(np.concatenate(c) for c in list(zip(*open_, strict=True))[1:])):
+                yield from out.add(x, y)
+        yield from out.rest()
 
     return run
 
@@ -484,16 +552,15 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 
 def _true_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those (a, b) of ``pairs`` whose sets of shingles are ``similarity`` alike."""
-    mark = lambda c: F.pmod(F.col(c), F.lit(MARKS)).cast("int")
     nodes = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sketches = cut(classes.select("node", "sketch").join(nodes(pairs), "node", "left_semi"), "sketches")
     pairs = cut(_with_both(pairs, sketches, "sketch").mapInArrow(_kept_pairs(lambda x, y: may_be_similar(x, y, similarity)), "a long, b long"), "pairs")
     drop(sketches)
     ends = nodes(pairs)
     wanted = cut(classes.join(ends, "node").select("node", F.col("least.th").alias("th")), "wanted")
-    # only texts that may be a candidate's are read into sets again; the map of their hashes has one size whatever the corpus
-    marks = docs.sparkSession.createDataFrame(wanted.select(mark("th").alias("mark")).distinct().toArrow())
-    some = docs.join(F.broadcast(marks), mark("th") == marks["mark"], "left_semi")
+    # only texts that may be a candidate's are read into sets again
+    hashes = wanted.select("th").distinct()
+    some = docs.join(F.broadcast(hashes) if wanted.count() <= BROADCAST_TEXTS else hashes, "th", "left_semi")
     sets = some.mapInArrow(_sets(width), "node long, hashes binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets, "sets")
     alike = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-9
@@ -507,37 +574,43 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    some = slim.where(F.pmod(F.col("th"), F.lit(1_000_000_007)) < F.lit(_share(slim.count(), COMMON_SAMPLE, 1_000_000_007)))
+    n, n_bytes = slim.agg(F.count("*"), F.sum(F.octet_length("text"))).head()
+    some = slim.where(F.pmod(F.col("th"), F.lit(1_000_000_007)) < F.lit(_share(n, COMMON_SAMPLE, 1_000_000_007)))
     often = some.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     often = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     common, times = np.asarray(often.column("h").combine_chunks()).view(np.uint64), np.asarray(often.column("n").combine_chunks())
     order = np.argsort(common)
-    sets = cut(slim.mapInArrow(_read_sets(width, similarity, common[order], times[order]), "id long, th long, node long, sketch binary, size long, first binary"), "sets")
+    held = spark.sparkContext.broadcast((common[order], times[order]))
+    sets = cut(slim.mapInArrow(_read_sets(width, similarity, held), "id long, th long, node long, sketch binary, size long, own long, late binary"), "sets")
     # texts of one set are one from here on
     best = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    classes = cut(sets.groupBy("node").agg(F.min(best).alias("least"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("first").alias("first")), "distinct")
-    first = classes.select("node", "size", "first").mapInArrow(_tokens, "token long, node long, place long")
-    sort = lambda df: df.repartition("token").sortWithinPartitions("token").select("token", "node", "part", "place")
-    groups = cut(sort(first.withColumn("part", F.col("node"))).mapInArrow(_grouped, _GROUP), "groups")
-    pairs = cut(groups.mapInArrow(_pairs(similarity, True), "a long, b long").distinct(), "pairs")
+    classes = cut(sets.groupBy("node").agg(F.min(best).alias("least"), *[F.first(c).alias(c) for c in ("sketch", "size", "own", "late")]), "distinct")
+    groups = max(partitions(spark), (n_bytes or 0) // COUNTED)
+    dealt = slim.mapInArrow(_deal_shingles(width, groups, held), "grp long, nodes binary, hashes binary, of binary")
+    shared = dealt.groupBy("grp").applyInArrow(_shared, "node long, times int, token long")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("near"))
+    firsts = classes.select("node", "size", "own", "late").join(lists, "node", "left").where("near IS NOT NULL OR octet_length(late) > 0")
+    firsts = cut(firsts.mapInArrow(_first_shingles(similarity), "token long, node long, place long"), "firsts")
+    sort = lambda df: df.repartition("token").sortWithinPartitions("token", "place", "node")
+    pairs = cut(sort(firsts).mapInArrow(_near_pairs(similarity), "a long, b long").distinct(), "pairs")
     links = _true_links(pairs, slim, classes, width, similarity)
     parts = connected_components(links)
-    large = groups.where(F.size("nodes") > ALL_PAIRS)
+    large = cut(firsts.groupBy("token").count().where(F.col("count") > ALL_PAIRS).select("token"), "large")
     if not large.isEmpty():
         # what the first links left apart in large groups meets pair by pair
-        rows = large.withColumn("token", F.monotonically_increasing_id()).select("token", F.explode(F.arrays_zip("nodes", "places")).alias("x")).select("token", F.col("x.nodes").alias("node"), F.col("x.places").alias("place"))
-        rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        apart = sort(rows).mapInArrow(_grouped, _GROUP).where("size(array_distinct(parts)) > 1")
-        rest = apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        rows = firsts.join(large, "token").join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("part"))
+        rows = cut(rows, "rows")
+        apart = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
+        rest = sort(rows.join(apart, "token")).select("token", "node", "place", "part").mapInArrow(_apart_pairs(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         rest = cut(rest, "pairs")
         # the stars of the first links stand for them
         links = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_true_links(rest, slim, classes, width, similarity))
         parts = connected_components(links)
-        drop(rest)
+        drop(rest, rows)
     labelled = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = labelled.groupBy("component").agg(F.min("least").alias("first"))
     whole = cut(labelled.join(named, "component").select("node", "first"), "classes")
-    drop(groups, pairs)
+    drop(firsts, large, pairs)
     return sets.select("id", "th", "node").join(whole, "node").select("id", "th", "first")
 
 

@@ -5,12 +5,14 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from delayspace.llm import simhash
 from delayspace.llm.exact_dedup import drop_exact_copies, exact_dedup
 from delayspace.llm.graph import connected_components
 from delayspace.llm.simhash import Forest, deal, drop_near_copies, fingerprint, grow, near_classes, shard_links, similar_classes
@@ -259,3 +261,51 @@ def test_components_of_a_hub(spark):
     chain = spark.range(200_000, 200_050).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(star.union(chain)).groupBy("component").count().collect()
     assert {r["component"]: r["count"] for r in got} == {0: 100_000, 200_000: 51}
+
+
+def test_candidates_of_a_large_group_grow_with_its_members():
+    """However the sorted rows are cut into batches, a group gives the same candidates, and twice the members twice as many."""
+    rng = np.random.default_rng(4)
+
+    def candidates(n, batches):
+        size = np.sort(rng.integers(90, 110, n)) if n > 40 else np.full(n, 100)
+        token = np.concatenate((np.zeros(n, np.int64), np.repeat(np.arange(1, 40), 2)))
+        node, place = rng.permutation(len(token)).astype(np.int64), np.concatenate((size, np.full(78, 100))).astype(np.int64) << 32
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, place)], names=["token", "node", "place"])
+        cuts = np.unique(np.concatenate(([0], rng.integers(0, len(token), batches - 1), [len(token)])))
+        got = set()
+        for parts in ([rows], [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]):
+            found = {tuple(p) for out in simhash._near_pairs(0.8)(iter(parts)) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+            assert not got or found == got
+            got = found
+        return len(got) - 39
+
+    assert candidates(12, 5) == 66
+    assert candidates(4_000, 9) == 120 + 3 * (4_000 - 16) and candidates(8_000, 30) == 120 + 3 * (8_000 - 16)
+
+
+def test_groups_that_stay_apart_meet_pair_by_pair():
+    token, part = np.repeat([1, 2, 3], [5, 1, 4]), np.array([1, 1, 2, 3, 3, 9, 7, 7, 8, 8])
+    node, place = np.arange(10), np.full(10, 100 << 32)
+    rows = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, node, place, part)], names=["token", "node", "place", "part"])
+    got = {tuple(p) for out in simhash._apart_pairs(0.8)(iter([rows.slice(0, 3), rows.slice(3, 4), rows.slice(7)])) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert got == {(0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (6, 8), (6, 9), (7, 8), (7, 9)}
+
+
+def test_near_copies_beyond_the_broadcast(spark, monkeypatch):
+    """Counted shingles, small groups of counting and joins by shuffle give what the sample's order and broadcasts give."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    base = [[words[j] for j in rng.integers(0, 400, 120)] for _ in range(40)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 40])
+        w[int(rng.integers(120))] = "other"
+        rows.append((i, " ".join(w)))
+    want = sorted(map(tuple, similar_classes(frame(spark, rows)).collect()))
+    assert len({c for _, c in want}) == 40
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", 3)
+    monkeypatch.setattr(simhash, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(simhash, "COUNTED", 500)
+    monkeypatch.setattr(simhash, "DEALT", 1_000)
+    assert sorted(map(tuple, similar_classes(frame(spark, rows)).collect())) == want

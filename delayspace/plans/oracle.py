@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from ..operators.sweeps import RADII as ALL_RADII
+from ..operators.sweeps import THETAS as ALL_THETAS
 from .queries import CCM_SIZES, CCM_TRIALS, EMBEDDED_DIMS, RADII, SEED, THETAS
 
 HOURLY = """h AS (SELECT strftime(ts, '%Y%m%d%H')::BIGINT AS t, count(*)::DOUBLE AS x, round(avg(value), 4) AS y FROM events GROUP BY 1),
@@ -107,26 +109,58 @@ def sweep(key: str, runs: list[tuple[object, Forecast]], kind: str = "INTEGER")
 
 
 def local_map(f: Forecast, theta: float) -> str:
-    """Expressions up to fit (p, c0.., pred, var): the weighted least squares in closed form, for one or two dimensions."""
+    """Expressions up to fit (p, c0.., pred, var): weighted least squares by elimination."""
     d = f.dims
-    sums = {"q": "u"} | {f"q{i}": f"u * b{i}" for i in range(d)} | {f"q{i}{j}": f"u * b{i} * b{j}" for i in range(d) for j in range(i, d)} | {"t": "u * y"} | {f"t{i}": f"u * b{i} * y" for i in range(d)}
-    if d == 1:
-        solved = "(q * t0 - q0 * t) / (q * q00 - q0 * q0) AS c1"
-        c0, names = "(t - c1 * q0) / q", ["c1"]
-    else:
-        # centred sums keep the two-dimensional case well conditioned
-        a, b, c, u, v = "(q00 - q0 * q0 / q)", "(q01 - q0 * q1 / q)", "(q11 - q1 * q1 / q)", "(t0 - q0 * t / q)", "(t1 - q1 * t / q)"
-        solved = f"({u} * {c} - {b} * {v}) / ({a} * {c} - {b} * {b}) AS c1, ({a} * {v} - {b} * {u}) / ({a} * {c} - {b} * {b}) AS c2"
-        c0, names = "(t - c1 * q0 - c2 * q1) / q", ["c1", "c2"]
-    value = "c0 + " + " + ".join(f"{n} * a{i}" for i, n in enumerate(names))
+    # the normal equations of (1, b0, ..) with the target as last column, and their rows taken away one after the other
+    named = ["1", *[f"b{i}" for i in range(d)], "y"]
+    cells = {f"g{i}_{j}": f"sum(u * {named[i]} * {named[j]})" for i in range(d + 1) for j in range(i, d + 2)}
+    cell = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    steps = []
+    for i in range(d + 1):
+        rest = [f"{cell(j, m)} - {cell(i, j)} * {cell(i, m)} / {cell(i, i)} AS {cell(j, m)}" for j in range(i + 1, d + 1) for m in range(j, d + 2)]
+        kept = [f"g{j}_{m}" for j in range(i + 1) for m in range(j, d + 2)]
+        steps.append(f"el{i} AS (SELECT {', '.join(['p', *[f'a{j}' for j in range(d)], *kept, *rest])} FROM {f'el{i - 1}' if i else 'sm'})")
+    for i in range(d, -1, -1):
+        value = f"(g{i}_{d + 1}{''.join(f' - g{i}_{j} * c{j}' for j in range(i + 1, d + 1))}) / g{i}_{i}"
+        steps.append(f"so{i} AS (SELECT *, {value} AS c{i} FROM {f'so{i + 1}' if i < d else f'el{d}'})")
+    value = "c0 + " + " + ".join(f"c{i + 1} * a{i}" for i in range(d))
+    return f"""{weighed_rows(f, theta)},
+sm AS (SELECT p, {", ".join(f"any_value(a{i}) AS a{i}" for i in range(d))}, {", ".join(f"{e} AS {n}" for n, e in cells.items())} FROM wgt GROUP BY p),
+{(","+chr(10)).join(steps)},
+fp AS (SELECT p, {", ".join(f"c{i}" for i in range(d + 1))}, {value} AS pred FROM so0),
+fit AS (SELECT fp.*, (SELECT sum(w * (y - fp.pred) * (y - fp.pred)) / sum(w) FROM wgt WHERE wgt.p = fp.p) AS var FROM fp)"""
+
+
+def weighed_rows(f: Forecast, theta: float) -> str:
+    """Expressions up to wgt: neighbours with a future, their weight w and its square u."""
     return f"""{f.neighbours()},
 bar AS (SELECT *, avg(d) OVER (PARTITION BY p) AS dbar FROM nbr),
-wgt AS (SELECT *, exp(-{theta} * d / dbar) AS w, exp(-{theta} * d / dbar) * exp(-{theta} * d / dbar) AS u FROM bar WHERE y IS NOT NULL),
-sm AS (SELECT p, {", ".join(f"any_value(a{i}) AS a{i}" for i in range(d))}, {", ".join(f"sum({e}) AS {n}" for n, e in sums.items())} FROM wgt GROUP BY p),
-sl AS (SELECT *, {solved} FROM sm),
-sv AS (SELECT *, {c0} AS c0 FROM sl),
-fp AS (SELECT p, c0, {", ".join(names)}, {value} AS pred FROM sv),
-fit AS (SELECT fp.*, (SELECT sum(w * (y - fp.pred) * (y - fp.pred)) / sum(w) FROM wgt WHERE wgt.p = fp.p) AS var FROM fp)"""
+wgt AS (SELECT *, exp(-{theta} * d / dbar) AS w, exp(-{theta} * d / dbar) * exp(-{theta} * d / dbar) AS u FROM bar WHERE y IS NOT NULL)"""
+
+
+def singular_sql(E: int, theta: float, sweeps: int = 7) -> str:
+    """Singular values of the weighted (1, states): roots of the eigenvalues of their products, by rotations of pairs of axes until all others are zero."""
+    f = Forecast("y", "y", E=E, k="(SELECT count(*) - 1 FROM lib)")
+    n, named = E + 1, ["1", *[f"b{i}" for i in range(E)]]
+    cell = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    every = [(i, j) for i in range(n) for j in range(i, n)]
+    steps, last = [f"r0 AS MATERIALIZED (SELECT p, {', '.join(f'sum(u * {named[i]} * {named[j]}) AS {cell(i, j)}' for i, j in every)} FROM wgt GROUP BY p)"], "r0"
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)] * sweeps
+    for k, (x, y) in enumerate(pairs, 1):
+        off, half = cell(x, y), f"(({cell(y, y)} - {cell(x, x)}) / (2 * {cell(x, y)}))"
+        steps.append(f"t{k} AS (SELECT *, CASE WHEN {off} = 0 THEN 0 ELSE (CASE WHEN {half} < 0 THEN -1 ELSE 1 END) / (abs({half}) + sqrt({half} * {half} + 1)) END AS t FROM {last})")
+        steps.append(f"u{k} AS (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM t{k})")
+        new = {cell(x, x): f"{cell(x, x)} - t * {off}", cell(y, y): f"{cell(y, y)} + t * {off}", off: "0.0"}
+        for i in set(range(n)) - {x, y}:
+            new[cell(i, x)], new[cell(i, y)] = f"c * {cell(i, x)} - s * {cell(i, y)}", f"s * {cell(i, x)} + c * {cell(i, y)}"
+        steps.append(f"r{k} AS MATERIALIZED (SELECT p, {', '.join(f'{new.get(cell(i, j), cell(i, j))} AS {cell(i, j)}' for i, j in every)} FROM u{k})")
+        last = f"r{k}"
+    values = f"list_reverse_sort([{', '.join(f'sqrt(greatest({cell(i, i)}, 0))' for i in range(n))}])"
+    return f"""WITH {weighed_rows(f, theta)},
+{(","+chr(10)).join(steps)},
+v AS (SELECT p, {values} AS v FROM {last}),
+g AS (SELECT unnest(generate_series({f.lo}, {f.hi} + 1)) AS row_id FROM m)
+SELECT s.t AS "Time", {", ".join(f'round(v[{i + 1}], 6) AS "C{i}"' for i in range(n))} FROM g LEFT JOIN s USING (row_id) LEFT JOIN v ON v.p + 1 = g.row_id"""
 
 
 def smap_sql(E: int, theta: float, target: str = "y") -> str:
@@ -134,9 +168,9 @@ def smap_sql(E: int, theta: float, target: str = "y") -> str:
     return f"WITH {local_map(f, theta)}\nSELECT p, round(pred, 6) AS \"Predictions\", round(var, 6) AS \"Pred_Variance\", " + ", ".join(f"round(c{j}, 6) AS \"C{j}\"" for j in range(E + 1)) + " FROM fit"
 
 
-def nonlinear_sql() -> str:
+def nonlinear_sql(thetas=THETAS) -> str:
     parts = []
-    for theta in THETAS:
+    for theta in thetas:
         f = Forecast("x", "y", E=1, k="(SELECT count(*) - 1 FROM lib)")
         parts.append(f"(WITH {local_map(f, theta)}\nSELECT {theta}::DOUBLE AS \"Theta\", CASE WHEN count(*) >= 5 THEN round({RHO}, 6) END AS rho FROM (SELECT s.y AS o, fit.pred AS q FROM fit JOIN s ON s.row_id = fit.p + 1) WHERE o IS NOT NULL AND q IS NOT NULL)")
     return "SELECT * FROM " + "\nUNION ALL SELECT * FROM ".join(parts)
@@ -273,6 +307,12 @@ UNION ALL SELECT 'pred', row_id FROM s, m WHERE row_id BETWEEN n // 2 + 1 AND n"
         "predict_interval": sweep("Tp", [(Tp, Forecast("x", "y", E=2, Tp=Tp)) for Tp in range(1, 6)]),
         "predict_exclusion_radius": sweep("ExclusionRadius", [(r, Forecast("x", "y", E=2, radius=r)) for r in RADII]),
         "predict_nonlinear_e1": nonlinear_sql(),
+        "embed_dimension_default": sweep("E", [(E, Forecast("x", "y", E=E)) for E in range(1, 11)]),
+        "predict_interval_default": sweep("Tp", [(Tp, Forecast("x", "y", E=1, Tp=Tp)) for Tp in range(1, 11)]),
+        "predict_exclusion_radius_default": sweep("ExclusionRadius", [(r, Forecast("x", "y", E=1, radius=r)) for r in ALL_RADII]),
+        "predict_nonlinear_default": nonlinear_sql(ALL_THETAS),
+        "smap_e3": smap_sql(3, 2.0),
+        "smap_singular_values": singular_sql(3, 2.0),
         "smap_e1": smap_sql(1, 2.0),
         "smap_e2": smap_sql(2, 2.0),
         "smap_theta0": smap_sql(2, 0.0, "x"),

@@ -219,6 +219,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_interval": _sweep(predict_interval, maxTp=5, E=2),
         "predict_exclusion_radius": _sweep(predict_exclusion_radius, exclusionRadius=RADII, E=2),
         "predict_nonlinear_e1": _sweep(predict_nonlinear, theta=THETAS, E=1),
+        "embed_dimension_default": _sweep(embed_dimension),
+        "predict_interval_default": _sweep(predict_interval),
+        "predict_exclusion_radius_default": _sweep(predict_exclusion_radius),
+        "predict_nonlinear_default": _sweep(predict_nonlinear),
+        "smap_e3": _smap(3, 2.0),
         "smap_e1": _smap(1, 2.0),
         "smap_e2": _smap(2, 2.0),
         "smap_theta0": _smap(2, 0.0, "x"),

@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite
-from ..sources.scratch import ranked
+from ..sources.scratch import cut, ranked
 from ..sources.series import ONE_TASK, ROW, Series, quoted
 
 METHODS = ("random_shuffle", "ebisuzaki", "seasonal")
 #: Values of a series that a task transforms at once.
 VALUES = 2_000_000
+#: Phases of a cycle that are broadcast at most.
+PHASES = 200_000
 
 
 def shuffle(series: Series, column: str, num_surr: int, seed: int) -> DataFrame:
@@ -46,62 +48,123 @@ def phase_randomised(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out / spread * x.std(ddof=1) if spread > 0 else out
 
 
+#: Numbers that the spline's elimination holds at once.
+HELD = 30_000_000
+
+
+class Spline:
+    """A natural cubic smoothing spline through means y of weight w at distinct x, by banded elimination: time and memory go with the number of places.
+
+    With second derivatives g at the inner places, (R + penalty M) g = Q' y, where M = Q' W^-1 Q; fitted values are y - penalty W^-1 Q g. All of these have
+    five bands at most, and so do the parts of the inverse that the trace of the smoother takes.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
+        h = np.diff(x)
+        a, c = 1 / h[:-1], 1 / h[1:]
+        b = -a - c
+        self.q, self.y, self.w = (a, b, c), y, w
+        self.r = ((h[:-1] + h[1:]) / 3, h[1:-1] / 6, np.zeros(max(0, len(h) - 3)))
+        self.m = (a * a / w[:-2] + b * b / w[1:-1] + c * c / w[2:], b[:-1] * a[1:] / w[1:-2] + c[:-1] * b[1:] / w[2:-1], c[:-2] * a[2:] / w[2:-2])
+        self.second = a * y[:-2] + b * y[1:-1] + c * y[2:]
+
+    def eliminated(self, penalty: np.ndarray, of_r: float = 1.0):
+        """(second derivatives, trace of the inverse times M) for each penalty, or with the inverse of R alone where all are 0."""
+        n, k = len(self.second), len(penalty)
+        d, u, v, z = (np.zeros((n + 2, k)) for _ in range(4))
+        for j in range(n):  # places before the first are zero
+            d[j] = self.r[0][j] + penalty * self.m[0][j] - u[j - 1] ** 2 * d[j - 1] - v[j - 2] ** 2 * d[j - 2]
+            z[j] = self.second[j] - u[j - 1] * z[j - 1] - v[j - 2] * z[j - 2]
+            if j + 1 < n:
+                u[j] = (self.r[1][j] + penalty * self.m[1][j] - v[j - 1] * d[j - 1] * u[j - 1]) / d[j]
+            if j + 2 < n:
+                v[j] = penalty * self.m[2][j] / d[j]
+        g, trace = np.zeros((n + 2, k)), np.zeros(k)
+        s0, s1, s0_next = np.zeros(k), np.zeros(k), np.zeros(k)  # of the row below: inverse at (j + 1, j + 1), (j + 1, j + 2), (j + 2, j + 2)
+        for j in range(n - 1, -1, -1):
+            g[j] = z[j] / d[j] - u[j] * g[j + 1] - v[j] * g[j + 2]
+            two = -u[j] * s1 - v[j] * s0_next
+            one = -u[j] * s0 - v[j] * s1
+            own = 1 / d[j] - u[j] * one - v[j] * two
+            trace += own * self.m[0][j]
+            if j + 1 < n:
+                trace += 2 * one * self.m[1][j]
+            if j + 2 < n:
+                trace += 2 * two * self.m[2][j]
+            s0, s1, s0_next = own, one, s0
+        return g[:n], trace
+
+    def bent(self, g: np.ndarray) -> np.ndarray:
+        """Q g."""
+        out = np.zeros((len(self.y), g.shape[1]))
+        for shift, band in enumerate(self.q):
+            out[shift : shift + len(g)] += band[:, None] * g
+        return out
+
+
 def smoothing_spline(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float = 0.0):
-    """A natural cubic smoothing spline through means y of weight w at distinct x, its penalty chosen by generalised cross validation. Returns fitted values at x.
+    """Fitted values of a :class:`Spline` whose penalty is chosen by generalised cross validation.
 
     The weights count values, of which ``scatter`` is the sum of squares about their means.
     """
     n = len(x)
     if n < 4:
         return y.copy()
-    h = np.diff(x)
-    q = np.zeros((n, n - 2))
-    r = np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j:
-            r[j, j - 1] = r[j - 1, j] = h[j] / 6
-    roughness = q @ np.linalg.solve(r, q.T)
-    root = np.sqrt(w)
-    values, vectors = np.linalg.eigh(roughness / root[:, None] / root[None, :])
-    coded, values = vectors.T @ (root * y), np.maximum(values, 0)
-    scale = values[values > 0].mean() if (values > 0).any() else 1.0
-    best = None
-    for penalty in np.logspace(-8, 8, 161) / scale:
-        shrink = 1 / (1 + penalty * values)
-        rest, free = ((1 - shrink) * coded) ** 2, w.sum() - shrink.sum()
-        score = w.sum() * (rest.sum() + scatter) / max(free, 1e-12) ** 2
-        if free > 1e-6 and (best is None or score < best[0]):
-            best = (score, shrink)
-    return (vectors @ (best[1] * coded)) / root if best else y.copy()
-
-
-def seasonal_cycle(x: np.ndarray, period: int) -> np.ndarray:
-    """Each value's place in a smooth cycle of ``period`` rows, from the series laid out over three periods."""
-    phase = np.arange(len(x)) % period
-    seen = np.unique(phase)
-    means = np.array([x[phase == p].mean() for p in seen])
-    weights = np.array([(phase == p).sum() for p in seen], float)
-    places = np.concatenate((seen - period, seen, seen + period)).astype(float)
-    scatter = 3 * ((x - means[np.searchsorted(seen, phase)]) ** 2).sum()
-    fitted = smoothing_spline(places, np.tile(means, 3), np.tile(weights, 3), scatter)[len(seen) : 2 * len(seen)]
-    return fitted[np.searchsorted(seen, phase)]
-
-
-def _make(held, method: str, period: int, alpha: float, seed: int):
+    spline = Spline(x, y, w)
+    scale = spline.eliminated(np.zeros(1))[1][0] / (n - 2)
+    penalties, best = np.logspace(-8, 8, 161) / (scale if scale > 0 else 1.0), None
+    for part in np.array_split(penalties, max(1, min(161, -(-161 * 5 * n // HELD)))):
+        g, trace = spline.eliminated(part)
+        off = part * spline.bent(g) / w[:, None]
+        rest, free = (w[:, None] * off * off).sum(axis=0), w.sum() - (n - part * trace)
+        score = np.where(free > 1e-6, w.sum() * (rest + scatter) / np.maximum(free, 1e-12) ** 2, np.inf)
+        at = int(np.argmin(score))
+        if np.isfinite(score[at]) and (best is None or score[at] < best[0]):
+            best = (score[at], y - off[:, at])
+    return best[1] if best else y.copy()
+
+
+def cycle_of(phase: np.ndarray, means: np.ndarray, weights: np.ndarray, scatter: float, period: int) -> np.ndarray:
+    """A smooth cycle at phases, from the means of the values there, laid out over three periods."""
+    places = np.concatenate((phase - period, phase, phase + period)).astype(float)
+    return smoothing_spline(places, np.tile(means, 3), np.tile(weights, 3), 3 * scatter)[len(phase) : 2 * len(phase)]
+
+
+def _smooth(period: int):
+    schema = pa.schema([("_phase", pa.int64()), ("_cycle", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_phase")
+        phase, mean, n, scatter = (np.asarray(table.column(c).combine_chunks()) for c in ("_phase", "_mean", "_n", "_scatter"))
+        return pa.Table.from_arrays([pa.array(phase), pa.array(cycle_of(phase, mean, n.astype(float), float(scatter.sum()), period))], schema=schema)
+
+    return run
+
+
+def seasonal(series: Series, column: str, num_surr: int, period: int, alpha: float, seed: int) -> DataFrame:
+    """A smooth cycle, and shuffled residuals. Values are averaged by phase where they are; only a row for each phase meets in one task."""
+    if period < 1:
+        raise ValueError("surrogate_data: a period has one row or more")
+    values = series.df.select(ROW, finite(quoted(column)).alias("value"), F.pmod(F.col(ROW) - 1, F.lit(period)).alias("_phase"))
+    by_phase = values.groupBy("_phase").agg(F.avg("value").alias("_mean"), F.count("*").alias("_n"), (F.var_pop("value") * F.count("*")).alias("_scatter"))
+    cycle = cut(by_phase.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(_smooth(period), "_phase long, _cycle double"), "cycle")
+    cycle = F.broadcast(cycle) if period <= PHASES else cycle
+    rest = values.join(cycle, "_phase").select(ROW, (F.col("value") - F.col("_cycle")).alias("value"))
+    moved = shuffle(Series(rest, series.time, series.n), "value", num_surr, seed)
+    draw = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "surr_id", ROW), F.lit(1 << 52)) + 0.5) / (1 << 52)
+    noise = alpha * F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * np.pi * draw(2)) if alpha else F.lit(0.0)
+    placed = moved.withColumn("_phase", F.pmod(F.col(ROW) - 1, F.lit(period))).join(cycle, "_phase")
+    return placed.select("surr_id", ROW, (F.col("_cycle") + F.col("value") + noise).alias("value"))
+
+
+def _transformed(held, seed: int):
     schema = pa.schema([("surr_id", pa.int32()), (ROW, pa.int64()), ("value", pa.float64())])
 
     def run(batches):
         x = held.value
-        cycle = seasonal_cycle(x, period) if method == "seasonal" else None
         for b in batches:
             for surr in b.column("surr_id").to_pylist():
-                rng = np.random.default_rng([seed, surr])
-                if method == "ebisuzaki":
-                    out = phase_randomised(x, rng)
-                else:
-                    out = cycle + rng.permutation(x - cycle) + (rng.normal(0, alpha, len(x)) if alpha else 0)
+                out = phase_randomised(x, np.random.default_rng([seed, surr]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), surr, np.int32)), pa.array(np.arange(1, len(x) + 1)), pa.array(out)], schema=schema)
 
     return run
@@ -111,22 +174,25 @@ def surrogate_data(series: Series, column: str, method: str = "random_shuffle",
     """(surr_id, row_id, value) of ``num_surr`` surrogates of a column.
 
     random_shuffle permutes; ebisuzaki keeps the power spectrum and the variance, with mean zero; seasonal adds shuffled residuals and noise of
-    deviation ``alpha`` to a smooth cycle of T_period rows. The last two need finite values. Each surrogate has its own
-    generator, so results do not depend on how tasks are dealt.
+    deviation ``alpha`` to a smooth cycle of T_period rows. The last two need finite values. Draws are hashes of seed, surrogate and row, or a surrogate's own
+    generator's, so results do not depend on how tasks are dealt.
     """
     if method not in METHODS:
         raise ValueError(f"surrogate_data: unknown method {method}")
     if method == "random_shuffle":
         return shuffle(series, column, num_surr, seed)
     spark = series.df.sparkSession
+    odd = series.df.agg(F.count("*") - F.count(finite(quoted(column)))).head()[0]
+    if odd or not series.n:
+        raise ValueError("surrogate_data: the series has values that are missing or not finite")
+    if method == "seasonal":
+        return seasonal(series, column, num_surr, T_period, alpha, seed)
     if series.n > VALUES:
         raise ValueError(f"surrogate_data: {series.n} values, and a transform can take {VALUES}")
     rows = series.df.select(ROW, finite(quoted(column)).alias("value")).orderBy(ROW).toArrow()
     x = rows.column("value").to_numpy(zero_copy_only=False).astype(float)
-    if not len(x) or not np.isfinite(x).all():
-        raise ValueError("surrogate_data: the series has values that are missing or not finite")
     table = spark.range(1, num_surr + 1).select(F.col("id").cast("int").alias("surr_id"))
-    return table.mapInArrow(_make(spark.sparkContext.broadcast(x), method, T_period, alpha, seed), f"surr_id int, {ROW} long, value double")
+    return table.mapInArrow(_transformed(spark.sparkContext.broadcast(x), seed), f"surr_id int, {ROW} long, value double")
 
 
 def wide(surrogates: DataFrame, num_surr: int, time: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from delayspace.functions.args import expand_pairs, flatten_to_string, parse_pai
 from delayspace.functions.kernels import nearest
 from delayspace.operators import neighbors as nb
 from delayspace.operators.ccm import library_sizes
-from delayspace.operators.surrogate import phase_randomised, seasonal_cycle, smoothing_spline, wide
+from delayspace.operators.surrogate import cycle_of, phase_randomised, smoothing_spline, wide
 from delayspace.plans.index import create_indices
 from delayspace.sources import series as sr
 
@@ -193,6 +194,27 @@ def test_compute_error(spark):
     assert ds.compute_error(odd).head()["rho"] == 1
 
 
+def dense_spline(x, y, w, scatter):
+    """By eigenvectors of the roughness among all places."""
+    n, h = len(x), np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            r[j, j - 1] = r[j - 1, j] = h[j] / 6
+    root = np.sqrt(w)
+    values, vectors = np.linalg.eigh(q @ np.linalg.solve(r, q.T) / root[:, None] / root[None, :])
+    values, coded, best = np.maximum(values, 0), vectors.T @ (root * y), None
+    for penalty in np.logspace(-8, 8, 161) / (values.sum() / (n - 2)):
+        shrink = 1 / (1 + penalty * values)
+        rest, free = ((1 - shrink) * coded) ** 2, w.sum() - shrink.sum()
+        score = w.sum() * (rest.sum() + scatter) / free**2
+        if best is None or score < best[0]:
+            best = (score, shrink)
+    return (vectors @ (best[1] * coded)) / root
+
+
 def test_surrogates(spark):
     rng = np.random.default_rng(0)
     for n in (64, 65):
@@ -203,8 +225,16 @@ def test_surrogates(spark):
         assert np.corrcoef(a, b)[0, 1] > 0.999
     season = np.tile(np.sin(np.arange(12) / 12 * 2 * np.pi), 20)
     noisy = season + rng.normal(0, 0.2, len(season))
-    assert np.corrcoef(seasonal_cycle(noisy, 12), season)[0, 1] > 0.99
-    assert len(seasonal_cycle(noisy, 1)) == len(noisy)
+    by_phase = noisy.reshape(-1, 12)
+    scatter = ((by_phase - by_phase.mean(axis=0)) ** 2).sum()
+    assert np.corrcoef(cycle_of(np.arange(12), by_phase.mean(axis=0), np.full(12, 20.0), scatter, 12), season[:12])[0, 1] > 0.99
+    for n in (4, 5, 24, 90):
+        at, w = np.sort(rng.choice(400, n, replace=False)).astype(float), rng.integers(1, 9, n).astype(float)
+        y = np.sin(at / 40) + 0.3 * rng.normal(size=n)
+        assert np.allclose(smoothing_spline(at, y, w, 2.0), dense_spline(at, y, w, 2.0), atol=1e-9)
+    began = time.process_time()
+    smoothing_spline(np.arange(6_000.0), rng.normal(size=6_000), np.ones(6_000), 1.0)
+    assert time.process_time() - began < 10
     assert np.allclose(smoothing_spline(np.arange(6.0), np.arange(6.0), np.ones(6)), np.arange(6.0))
     s = ds.load(line(spark, 24, y=[float(v % 12) for v in range(24)]))
     shuffled = ds.surrogate_data(s, "y", "random_shuffle", 3, seed=5)
@@ -213,6 +243,8 @@ def test_surrogates(spark):
     assert wide(shuffled, 3).columns == ["row_id", "surr_1", "surr_2", "surr_3"]
     again = ds.surrogate_data(s, "y", "seasonal", 2, T_period=12, alpha=0.1, seed=5)
     assert again.count() == 48 and again.orderBy("surr_id", "row_id").collect() == ds.surrogate_data(s, "y", "seasonal", 2, T_period=12, alpha=0.1, seed=5).orderBy("surr_id", "row_id").collect()
+    plain = ds.surrogate_data(s, "y", "seasonal", 1, T_period=12, seed=5).toPandas()
+    assert abs(plain["value"].sum() - sum(v % 12 for v in range(24))) < 1e-9 and plain["row_id"].nunique() == 24
     holed = ds.load(line(spark, 5, y=[1.0, None, 2.0, 3.0, 4.0]))
     for method in ("ebisuzaki", "seasonal"):
         with pytest.raises(ValueError):

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.stats import finite
 from ..sources.scratch import cut, ranked
 from ..sources.series import ONE_TASK, ROW, Series, quoted
+from .fourier import transform
 
 METHODS = ("random_shuffle", "ebisuzaki", "seasonal")
-#: Values of a series that a task transforms at once.
-VALUES = 2_000_000
+#: Values of a series that is broadcast and transformed at once.
+VALUES = 100_000
 #: Phases of a cycle that are broadcast at most.
 PHASES = 200_000
 
@@ -170,6 +171,26 @@ def _transformed(held, seed: int):
     return run
 
 
+def phases_by_steps(series: Series, column: str, num_surr: int, seed: int) -> DataFrame:
+    """As :func:`phase_randomised`, for a series that no task has to hold. Phases are hashes of seed, surrogate and frequency."""
+    n = series.n
+    x = series.df.select((F.col(ROW) - 1).alias("i"), quoted(column).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    size = transform(x, n).where(F.col("i") <= n // 2).select("i", F.hypot("re", "im").alias("size"))
+    size = cut(size, "spectrum")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "surr_id", "i"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = size.where("i > 0").withColumn("surr_id", F.explode(F.sequence(F.lit(1), F.lit(num_surr)))).withColumn("turn", 2 * np.pi * draw)
+    middle = (F.col("i") * 2 == n)
+    re = F.col("size") * F.cos("turn") * F.when(middle, float(np.sqrt(2))).otherwise(1.0)
+    half = drawn.select("surr_id", "i", re.alias("re"), F.when(middle, 0.0).otherwise(F.col("size") * F.sin("turn")).alias("im"))
+    # the other half of the frequencies of real numbers
+    whole = half.union(half.where(F.col("i") * 2 < n).select("surr_id", (n - F.col("i")).alias("i"), "re", -F.col("im")))
+    made = cut(transform(whole, n, ["surr_id"], True).select("surr_id", (F.col("i") + 1).alias(ROW), F.col("re").alias("value")), "surrogates")
+    spread = x.agg(F.stddev_samp("re")).head()[0] or 0.0
+    own = F.broadcast(made.groupBy("surr_id").agg(F.stddev_samp("value").alias("_spread")))
+    scaled = F.when(F.col("_spread") > 0, F.col("value") / F.col("_spread") * spread).otherwise(F.col("value"))
+    return made.join(own, "surr_id").select("surr_id", ROW, scaled.alias("value"))
+
+
 def surrogate_data(series: Series, column: str, method: str = "random_shuffle", num_surr: int = 100, T_period: int = 1, alpha: float = 0, seed: int = 0) -> DataFrame:
     """(surr_id, row_id, value) of ``num_surr`` surrogates of a column.
 
@@ -188,7 +209,7 @@ def surrogate_data(series: Series, column: str, method: str = "random_shuffle",
     if method == "seasonal":
         return seasonal(series, column, num_surr, T_period, alpha, seed)
     if series.n > VALUES:
-        raise ValueError(f"surrogate_data: {series.n} values, and a transform can take {VALUES}")
+        return phases_by_steps(series, column, num_surr, seed)
     rows = series.df.select(ROW, finite(quoted(column)).alias("value")).orderBy(ROW).toArrow()
     x = rows.column("value").to_numpy(zero_copy_only=False).astype(float)
     table = spark.range(1, num_surr + 1).select(F.col("id").cast("int").alias("surr_id"))

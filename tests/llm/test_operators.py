@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from delayspace.llm import ann, mixing, secrets
+from delayspace.llm import ann, mixing, quality, secrets
 from delayspace.llm.ann import nearest
 from delayspace.llm.bpe import Automaton, WordTokenizer, bpe_digests, bpe_encode
 from delayspace.llm.exact_dedup import drop_exact_copies
@@ -346,6 +346,38 @@ def test_quality(spark):
     assert len(counts(None)[0]) == 0
 
 
+def test_vote_against_brute_force(spark):
+    """Term by term, product by product: scores are the share of label 1 among the nearest labelled texts."""
+    documents, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.train(documents, labels)
+    texts = [r["text"] for r in documents.orderBy("doc_id").limit(60).collect()] + [None, "", "a", LONG]
+    got = model.score([counts(t) for t in texts])
+    for text, score in zip(texts, got, strict=True):
+        data = (text or "").encode()
+        terms = {}
+        if data:
+            c = [2, 2, *[int(quality._TABLE[b]) for b in data], 2]
+            for x, y, z in zip(c, c[1:], c[2:], strict=False):
+                terms[x * 256 + y * 16 + z] = terms.get(x * 256 + y * 16 + z, 0) + 1
+            words = data.split()
+            if words:
+                again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+                for base, share in ((0, again), (quality.REPEATS, 1 - len(set(words)) / len(words))):
+                    terms[quality.CLASSES**3 + base + round(share * (quality.REPEATS - 1))] = len(data) / 4
+        x = np.zeros(quality.TERMS)
+        for t, n in terms.items():
+            x[t] = np.sqrt(n / sum(terms.values())) * model.idf[t]
+        v = x / (np.linalg.norm(x) or 1) @ model.axes.astype(float)
+        v = v / (np.linalg.norm(v) or 1)
+        cosines = sorted(((float(v @ w), float(label)) for w, label in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+        kth = cosines[model.neighbours - 1][0]
+        if cosines[model.neighbours][0] > kth - 1e-6:
+            continue  # which of two equal neighbours votes is left open
+        weights = [(max(c, 0) ** 8, label) for c, label in cosines[: model.neighbours]]
+        total = sum(w for w, _ in weights)
+        assert abs(score - (sum(w * label for w, label in weights) / total if total else model.prior)) < 1e-5
+
+
 # nearest neighbours
 
 

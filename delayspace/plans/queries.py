@@ -22,7 +22,7 @@ from ..operators.smap import local_maps, smap
 from ..operators.state import State, prepare
 from ..operators.surrogate import surrogate_data
 from ..operators.sweeps import embed_dimension, predict_exclusion_radius, predict_interval, predict_nonlinear
-from ..plans.index import create_indices
+from ..plans.index import create_indices, within
 from ..sources.series import ROW, Series, load, quoted
 from ..sources.tables import hourly, monthly_orders, prices, vectors
 
@@ -68,9 +68,8 @@ def embed_plusminus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lib_pred_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
     ix = create_indices(f"1 100 150 {s.n // 2}", f"{s.n // 2 + 1} {s.n}", 3, -2, 2, False, s.n)
-    rows = [("lib", a, b) for a, b in ix.lib] + [("pred", a, b) for a, b in ix.pred]
-    frame = spark.createDataFrame(rows, "part string, a long, b long")
-    return frame.select("part", F.explode(F.sequence("a", "b")).alias(ROW))
+    chosen = lambda part, ranges: s.df.where(within(ranges, F.col(ROW))).select(F.lit(part).alias("part"), ROW)
+    return chosen("lib", ix.lib).union(chosen("pred", ix.pred))
 
 
 def _near(k: int = 4, radius: int = 0, **how):

@@ -9,7 +9,7 @@ import __spark_entry__
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The others take the same paths; the driver compares all.
-CHECKED = ["embed_plusminus", "lib_pred_index", "nn_exclusion", "nn_disjoint_lib", "simplex_nan", "simplex_neg_tp", "compute_error", "predict_interval", "embed_dimension", "smap_e2", "ccm_sampled_md5", "multiview_predict", "multiview_train", "nn_embedded_vectors", "surrogate_shuffle", "panel_simplex"]
+CHECKED = ["embed_plusminus", "lib_pred_index", "nn_exclusion", "nn_disjoint_lib", "simplex_nan", "simplex_neg_tp", "compute_error", "predict_interval", "embed_dimension", "smap_e2", "smap_e3", "smap_singular_values", "predict_nonlinear_default", "embed_dimension_default", "nn_large", "simplex_large", "ccm_full_exclusion", "ccm_sampled_md5", "multiview_predict", "multiview_train", "nn_embedded_vectors", "surrogate_shuffle", "panel_simplex"]
 
 
 @pytest.fixture(scope="module")

@@ -462,7 +462,7 @@ def _near_pairs(similarity: float):
     """Candidates among rows (token, node, place), sorted, of which only the last few are held."""
 
     def run(batches):
-        out, old = _Pairs(), [np.zeros(0, np.int64)] * 4
+        out, old, hub = _Pairs(), [np.zeros(0, np.int64)] * 4, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -471,12 +471,19 @@ def _near_pairs(similarity: float):
             starts = np.concatenate(([True], token[1:] != token[:-1]))
             first = np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))
             turn = np.arange(len(token)) - first
+            hubs = np.stack((node[first], place[first]))
             if since:  # the group that is open goes on
-                turn[first == first[since - 1]] += old[3][-1] - turn[since - 1]
+                on = first == first[since - 1]
+                turn[on] += old[3][-1] - turn[since - 1]
+                hubs[:, on] = hub
             for i, j in tied(token, place, turn, since):
                 ok = (node[i] != node[j]) & can_reach(place[i], place[j], similarity)
                 yield from out.add(node[i[ok]], node[j[ok]])
-            old = [x[-ALL_PAIRS:] for x in (token, node, place, turn)]
+            # the first of a group as well, so that links of those that are alike make a star and no chain
+            i = since + np.flatnonzero(turn[since:] >= ALL_PAIRS)
+            ok = (node[i] != hubs[0, i]) & can_reach(place[i], hubs[1, i], similarity)
+            yield from out.add(node[i[ok]], hubs[0, i[ok]])
+            old, hub = [x[-ALL_PAIRS:] for x in (token, node, place, turn)], hubs[:, -1:]
         yield from out.rest()
 
     return run

@@ -281,7 +281,7 @@ def test_candidates_of_a_large_group_grow_with_its_members():
         return len(got) - 39
 
     assert candidates(12, 5) == 66
-    assert candidates(4_000, 9) == 120 + 3 * (4_000 - 16) and candidates(8_000, 30) == 120 + 3 * (8_000 - 16)
+    assert candidates(4_000, 9) == 120 + 4 * (4_000 - 16) and candidates(8_000, 30) == 120 + 4 * (8_000 - 16)
 
 
 def test_groups_that_stay_apart_meet_pair_by_pair():

@@ -489,33 +489,57 @@ def _near_pairs(similarity: float):
     return run
 
 
-def _apart_pairs(similarity: float):
-    """Candidates of one group that are in different parts, from rows (token, node, place, part) sorted by token."""
-
-    def pairs(node, place, part):
-        step = max(1, 1_000_000 // len(node))
-        for at in range(0, len(node), step):
-            i, j = np.nonzero((part[at : at + step, None] != part[None]) & (np.arange(at, min(at + step, len(node)))[:, None] < np.arange(len(node))[None]))
-            i += at
-            ok = can_reach(place[i], place[j], similarity)
-            yield node[i[ok]], node[j[ok]]
+def overlaps(x: bytes, others: list[bytes]) -> np.ndarray:
+    """How many hashes sets of sketches ``others`` can share with that of sketch ``x``; no limit where one has no sketch."""
+    out, a = np.full(len(others), np.iinfo(np.int64).max), np.frombuffer(x, np.uint8)
+    by: dict[int, list[int]] = {}
+    for k, y in enumerate(others):
+        by.setdefault(len(y), []).append(k)
+    for length, own in by.items():
+        if not len(a) or not length:
+            continue
+        m = np.frombuffer(b"".join([others[k] for k in own]), np.uint8).reshape(len(own), length).astype(np.int64)
+        n = min(len(a), length)
+        fold = lambda z, n=n: z.reshape(-1, n, z.shape[1] // n).sum(axis=2)
+        out[own] = np.minimum(fold(a.astype(np.int64)[None]), fold(m)).sum(axis=1)
+    return out
+
+
+def _apart_pairs(similarity: float, best: bool):
+    """Candidates of one group that are in different parts, from rows (token, node, place, part, sketch) sorted by token: with ``best``, for each row the one that may share most, else all."""
+
+    def pairs(node, place, part, sketches):
+        sketches = sketches.tolist()
+        for i in range(len(node)):
+            j = np.flatnonzero((part != part[i]) & (node != node[i]))
+            j = j[can_reach(np.full(len(j), place[i]), place[j], similarity)]
+            shared = overlaps(sketches[i], [sketches[k] for k in j])
+            sizes = (place[i] >> 32) + (place[j] >> 32)
+            ok = np.flatnonzero(shared >= np.ceil(similarity / (1 + similarity) * sizes - 1e-9))
+            if best and len(ok):
+                ok = ok[[int(np.argmax(shared[ok] / sizes[ok]))]]
+            yield np.full(len(ok), node[i]), node[j[ok]]
 
     def run(batches):
         out, open_ = _Pairs(), []
+
+        def closed():
+            for x, y in pairs(*(np.concatenate(c) for c in list(zip(*open_, strict=True))[1:])):
+                yield from out.add(x, y)
+
         for b in batches:
             if not b.num_rows:
                 continue
             token, *rest = (np.asarray(b.column(c)) for c in ("token", "node", "place", "part"))
+            rest.append(np.array([*b.column("sketch").to_pylist(), None], object)[:-1])
             cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
             for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(token)), strict=True):
                 if open_ and open_[0][0] != token[lo]:
-                    for x, y in pairs(*(np.concatenate(c) for c in list(zip(*open_, strict=True))[1:])):
-                        yield from out.add(x, y)
+                    yield from closed()
                     open_ = []
                 open_.append((token[lo], *(c[lo:hi] for c in rest)))
         if open_:
-            for x, y in pairs(*(np.concatenate(c) for c in list(zip(*open_, strict=True))[1:])):
-                yield from out.add(x, y)
+            yield from closed()
         yield from out.rest()
 
     return run
@@ -598,22 +622,24 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("near"))
     firsts = classes.select("node", "size", "own", "late").join(lists, "node", "left").where("near IS NOT NULL OR octet_length(late) > 0")
     firsts = cut(firsts.mapInArrow(_first_shingles(similarity), "token long, node long, place long"), "firsts")
-    sort = lambda df: df.repartition("token").sortWithinPartitions("token", "place", "node")
+    # by size, then node: one order in all groups, so that texts that share many are tied in all of them to the same
+    sort = lambda df: df.repartition("token").sortWithinPartitions("token", F.shiftright("place", 32), "node")
     pairs = cut(sort(firsts).mapInArrow(_near_pairs(similarity), "a long, b long").distinct(), "pairs")
     links = _true_links(pairs, slim, classes, width, similarity)
     parts = connected_components(links)
     large = cut(firsts.groupBy("token").count().where(F.col("count") > ALL_PAIRS).select("token"), "large")
-    if not large.isEmpty():
-        # what the first links left apart in large groups meets pair by pair
+    for best in (True, False) if not large.isEmpty() else ():
+        # what is still apart in large groups meets the one most like it, and what is apart then pair by pair
         rows = firsts.join(large, "token").join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("part"))
         rows = cut(rows, "rows")
         apart = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-        rest = sort(rows.join(apart, "token")).select("token", "node", "place", "part").mapInArrow(_apart_pairs(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        rest = cut(rest, "pairs")
+        some = sort(rows.join(apart, "token").join(classes.select("node", "sketch"), "node")).select("token", "node", "place", "part", "sketch")
+        rest = cut(some.mapInArrow(_apart_pairs(similarity, best), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         # the stars of the first links stand for them
         links = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_true_links(rest, slim, classes, width, similarity))
         parts = connected_components(links)
-        drop(rest, rows)
+        drop(rows)
+        pairs = pairs.union(rest)
     labelled = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = labelled.groupBy("component").agg(F.min("least").alias("first"))
     whole = cut(labelled.join(named, "component").select("node", "first"), "classes")

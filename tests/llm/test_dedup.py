@@ -287,9 +287,24 @@ def test_candidates_of_a_large_group_grow_with_its_members():
 def test_groups_that_stay_apart_meet_pair_by_pair():
     token, part = np.repeat([1, 2, 3], [5, 1, 4]), np.array([1, 1, 2, 3, 3, 9, 7, 7, 8, 8])
     node, place = np.arange(10), np.full(10, 100 << 32)
-    rows = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, node, place, part)], names=["token", "node", "place", "part"])
-    got = {tuple(p) for out in simhash._apart_pairs(0.8)(iter([rows.slice(0, 3), rows.slice(3, 4), rows.slice(7)])) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)}
-    assert got == {(0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (6, 8), (6, 9), (7, 8), (7, 9)}
+    sketches = pa.array([b""] * 9 + [bytes([0, 0, 0, 1] * 4)], pa.binary())
+    rows = pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in (token, node, place, part)], sketches], names=["token", "node", "place", "part", "sketch"])
+    pairs = lambda best: {tuple(p) for out in simhash._apart_pairs(0.8, best)(iter([rows.slice(0, 3), rows.slice(3, 4), rows.slice(7)])) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert pairs(False) == {(0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (6, 8), (6, 9), (7, 8), (7, 9)}
+    assert pairs(True) < pairs(False) and {x for p in pairs(True) for x in p} == {0, 1, 2, 3, 4, 6, 7, 8, 9}
+
+
+def test_overlaps_of_sketches():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (5, 40, 40, 300, 1_000)]
+    sets.append(np.unique(np.concatenate((sets[3], sets[1]))))
+    sketches = [simhash.sketch(x) for x in sets]
+    for x, own in zip(sketches, sets, strict=True):
+        for got, other, y in zip(simhash.overlaps(x, sketches), sets, sketches, strict=True):
+            a, b = (np.frombuffer(z, np.uint8).astype(int) for z in (x, y))
+            n = min(len(a), len(b))
+            assert got == np.minimum(a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)).sum() >= len(np.intersect1d(own, other))
+    assert simhash.overlaps(b"", sketches[:2]).min() > 1 << 60
 
 
 def test_near_copies_beyond_the_broadcast(spark, monkeypatch):

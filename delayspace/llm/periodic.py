@@ -205,14 +205,18 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     With h = crc32(decimal id) and g = floor(h / 10), a text of n words whose h is a multiple of ten has word i >= a = g % n replaced by word
     a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)). A null id plants nothing.
     """
-    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, found).alias("w"))
-    n = F.size("w")
-    a = F.col("g") % n
-    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
-    rows = rows.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
-    # by slices: the optimiser may put the words' expression wherever they are named, which must not be for each of them
-    again = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
-    turned = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), (n - F.col("a")).cast("int"))), " ")
-    return rows.select(F.col("id").alias(id_col), F.when(F.col("p").isNotNull(), turned).otherwise(F.col("text")).alias(text_col))
+    h, text = F.crc32(F.col(id_col).cast("string").cast("binary")), F.col(text_col)
+    g = F.floor(h / 10)
+    whole = lambda c: c.cast("int")
+
+    def turned(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.flatten(F.array_repeat(F.slice(w, whole(a + 1), whole(p)), whole(F.ceil((n - a) / p))))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), whole(a)), F.slice(again, F.lit(1), whole(n - a))), " "))
+
+    # as the variable of a lambda the words are found once, wherever the optimiser puts the expression
+    found = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    made = F.when(h % 10 == 0, F.element_at(F.transform(F.array(found), turned), 1))
+    return docs.select(F.col(id_col).alias(id_col), F.coalesce(made, text).alias(text_col))

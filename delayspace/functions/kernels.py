@@ -18,6 +18,9 @@ def nearest(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarr
     """(place in p, place in lib, distance) of the k nearest library rows more than ``radius`` rows away, by (distance, |p - l|, l)."""
     if not len(p) or not len(lib) or k < 1:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    if p.shape[1] >= SCREENED and k * SPAN < len(lib) and (found := screened(p_rows, p, l_rows, lib, k, radius)) is not None:
+        i, j, d = found
+        return first_of(i, j, d, np.abs(p_rows[i] - l_rows[j]), l_rows[j], k)
     gap = np.abs(p_rows[:, None] - l_rows[None, :])
     d = np.where(gap > radius, distances(p, lib), np.inf)
     if k < len(lib):
@@ -25,11 +28,60 @@ def nearest(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarr
         i, j = np.nonzero((d <= edge[:, None]) & (d < np.inf))
     else:
         i, j = np.nonzero(d < np.inf)
-    order = np.lexsort((l_rows[j], gap[i, j], d[i, j], i))
-    i, j = i[order], j[order]
+    return first_of(i, j, d[i, j], gap[i, j], l_rows[j], k)
+
+
+def first_of(i: np.ndarray, j: np.ndarray, d: np.ndarray, gap: np.ndarray, l_rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) the k first of each i by (distance, row difference, library row)."""
+    order = np.lexsort((l_rows, gap, d, i))
+    i, j, d = i[order], j[order], d[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-    i, j = i[keep], j[keep]
-    return i, j, d[i, j]
+    return i[keep], j[keep], d[keep]
+
+
+#: Dimensions from which products of matrices say which pairs' distances are worked out; library rows of which one minimum is taken; numbers of a block, which stays in a core's cache; such pairs at most.
+SCREENED, SPAN, BLOCK, SCREEN = 8, 64, 131_072, 400_000
+
+
+def screened(p_rows: np.ndarray, p: np.ndarray, l_rows: np.ndarray, lib: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(i, j, distance) of all pairs that can be among a row's k nearest, ties included; None where bounds of rounding leave too many, or numbers are too large.
+
+    |a|^2 + |b|^2 - 2ab differs from the sum of squares by rounding only, which has a bound. The k-th least of minima over spans of rows is no less than the k-th least of
+    all, so what lies above it by more than twice the bound is out. The distances of the others are those of :func:`distances`.
+    """
+    middle = lib.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = p - middle, lib - middle
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        slack = np.finfo(float).eps * 8 * (p.shape[1] + 8) * (aa + bb.max()) + np.finfo(float).tiny
+        if not np.isfinite(slack).all():
+            return None
+    b = np.ascontiguousarray(-2 * b.T)
+    width = max(SPAN, BLOCK // len(p) // SPAN * SPAN)
+    meet = p_rows.min() - radius <= l_rows.max() and l_rows.min() <= p_rows.max() + radius
+    least, found, many = np.full((len(p), k), np.inf), [], 0
+    for at in range(0, len(lib), width):
+        near = a @ b[:, at : at + width]
+        near += bb[at : at + width]
+        if meet:
+            near[np.abs(p_rows[:, None] - l_rows[None, at : at + width]) <= radius] = np.inf
+        whole = near.shape[1] // SPAN * SPAN
+        spans = near[:, :whole].reshape(len(p), -1, SPAN).min(axis=2)
+        least = np.partition(np.concatenate((least, spans), axis=1), k - 1, axis=1)[:, :k]
+        place = np.flatnonzero((near <= (least[:, k - 1] + slack)[:, None]) & (near < np.inf))
+        i, j = np.divmod(place, near.shape[1])
+        found.append((i, j + at, near[i, j]))
+        many += len(i)
+        if many > SCREEN:
+            return None
+    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    ok = value <= least[i, k - 1] + slack[i]
+    i, j = i[ok], j[ok]
+    total = np.zeros(len(i))
+    for c in range(p.shape[1]):
+        diff = p[i, c] - lib[j, c]
+        total += diff * diff
+    return i, j, np.sqrt(total)
 
 
 #: Numbers that a block of distances holds, about.

@@ -27,8 +27,8 @@ from ..sources.scratch import cut
 
 #: A theta join makes so many pairs at most, of a broadcast library of so many rows at most.
 PAIRS, BROADCAST = 20_000_000, 100_000
-#: Rows of a tile's side.
-TILE = 20_000
+#: Rows of a tile's side at most, and tiles for each core at least.
+TILE, WAVES = 20_000, 4
 #: Library rows of a cell, about; cells at most; rows of the sample for each cell; predicted rows of a cell that a task searches.
 CELL, CELLS, SAMPLED, PART = 4_096, 16_384, 16, 32_768
 #: Pairs times views of a tile, about.
@@ -283,11 +283,18 @@ def _tile(dims: int, k: int, radius: int, carry: Sequence[str]):
 
 
 def tiled_neighbors(pred: DataFrame, lib: DataFrame, dims: int, k: int, radius: int, n_pred: int, n_lib: int, carry: Sequence[str] = ()) -> DataFrame:
-    """As :func:`neighbors`, over tiles: neither side is ever in one place. Carried columns are doubles."""
-    down, across = max(1, -(-n_pred // TILE)), max(1, -(-n_lib // TILE))
+    """As :func:`neighbors`, over tiles: neither side is ever in one place. Carried columns are doubles.
+
+    Tiles are smaller where there would be too few for all cores. They are dealt by a shuffle of their own: rows that a window numbered lie in one
+    partition, which Spark takes as grouped by any columns, and one task would search all tiles.
+    """
+    cores = pred.sparkSession.sparkContext.defaultParallelism
+    side = max(1, TILE // 8, min(TILE, int((n_pred * n_lib / (WAVES * cores)) ** 0.5)))
+    down, across = max(1, -(-n_pred // side)), max(1, -(-n_lib // side))
     left = pred.select(F.pmod(F.col("p"), F.lit(down)).cast("int").alias("_down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_across"), "p", *[f"a{j}" for j in range(dims)])
     right = lib.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_down"), F.pmod(F.col("l"), F.lit(across)).cast("int").alias("_across"), "l", *[f"b{j}" for j in range(dims)], *carry)
     schema = "p long, l long, d double" + "".join(f", {c} double" for c in carry)
+    left, right = (df.repartition(down * across, "_down", "_across") for df in (left, right))
     best = left.groupBy("_down", "_across").cogroup(right.groupBy("_down", "_across")).applyInArrow(_tile(dims, k, radius, carry), schema)
     return ranked_neighbors(best, k, ()).select("p", "l", "d", "rank", *carry)
 

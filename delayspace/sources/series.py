@@ -138,6 +138,8 @@ def shifted(df: DataFrame, n: int | None, wanted: dict[str, tuple[str, int]], by
     all of a long series.
     """
     reach = max([0, *(abs(s) for _, s in wanted.values())])
+    if not reach:  # all columns are taken where they are
+        return df.select(*by, ROW, *[quoted(c) for c in keep], *[quoted(c).alias(name) for name, (c, _) in wanted.items()])
     size = max(BLOCK, reach)
     sources = list(dict.fromkeys(c for c, _ in wanted.values()))
     place = {c: f"_s{i}" for i, c in enumerate(sources)}

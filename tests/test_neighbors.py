@@ -109,3 +109,42 @@ def test_shuffle_by_ranges(spark, monkeypatch):
     want = sorted(map(tuple, surrogate.surrogate_data(s, "x", num_surr=3, seed=4).collect()))
     monkeypatch.setattr(surrogate, "ONE_TASK", 50)
     assert sorted(map(tuple, surrogate.surrogate_data(s, "x", num_surr=3, seed=4).collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "far", "tied", "huge"])
+@pytest.mark.parametrize("radius", [0, 7])
+def test_screened_distances_lose_no_neighbour(kind, radius):
+    from delayspace.functions import kernels
+
+    rng = np.random.default_rng(3)
+    lib = rng.integers(0, 2, (3_001, 12)).astype(float) if kind == "tied" else rng.normal(size=(3_001, 64)).astype(np.float32).astype(float)
+    lib = {"copies": lambda: np.concatenate((lib[:1_500], lib[:1_501])), "far": lambda: lib + 1e6, "huge": lambda: lib * 1e200}.get(kind, lambda: lib)()
+    rows, own = np.arange(1, 3_002), slice(50, 250)
+    gap = np.abs(rows[own, None] - rows[None])
+    with np.errstate(over="ignore"):
+        d = np.where(gap > radius, kernels.distances(lib[own], lib), np.inf)
+        i, j, got = nearest(rows[own], lib[own], rows, lib, 5, radius)
+    want = [[(d[r, c], c) for c in np.lexsort((rows, gap[r], d[r]))[:5] if d[r, c] < np.inf] for r in range(200)]
+    assert [(x, c) for row in want for x, c in row] == list(zip(got, j, strict=True))
+    assert i.tolist() == [r for r, row in enumerate(want) for _ in row]
+    found = kernels.screened(rows[own], lib[own], rows, lib, 5, radius)
+    assert found is None if kind == "huge" else len(found[0]) < 0.05 * gap.size
+
+
+def test_tiles_of_numbered_rows_go_to_many_tasks(spark, monkeypatch):
+    """A window leaves rows in one partition, which would do for all tiles at once."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nb, "TILE", 100)
+    base = spark.range(0, 600, 1, 1).withColumn("r", F.row_number().over(W.orderBy("id")).cast("long"))
+    vector = lambda side: [(F.xxhash64(F.lit(k), "id") % 1_000).cast("double").alias(f"{side}{k}") for k in range(14)]
+    sc = spark.sparkContext
+    sc.setJobGroup("tiles", "tiles")
+    try:
+        got = nb.tiled_neighbors(base.select(F.col("r").alias("p"), *vector("a")), base.select(F.col("r").alias("l"), *vector("b")), 14, 3, 0, 600, 600).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 1_800
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("tiles") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == 36

@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, a similarity of 0.8 or more), that with the smallest id."""
+    """One document of each class of near copies (five-word shingles, a similarity of 0.8 or more; SimHash and vantage-point tree, then an exact rest), that with the smallest id."""
     return drop_near_copies(docs)
 
 

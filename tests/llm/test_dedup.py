@@ -324,3 +324,41 @@ def test_near_copies_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COUNTED", 500)
     monkeypatch.setattr(simhash, "DEALT", 1_000)
     assert sorted(map(tuple, similar_classes(frame(spark, rows)).collect())) == want
+
+
+def test_near_copies_are_found_by_the_tree(spark, monkeypatch):
+    """Links of similar texts come from fingerprints in the vantage-point tree; shingles that meet add what balls miss, and are not needed for close copies."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        for edit in range(3):
+            rows.append((3 * k + edit, " ".join([*words[: 50 * edit], "other", *words[50 * edit :]])))
+
+    def nothing(*_):
+        def run(batches):
+            for b in batches:
+                yield b.select(["token", "node"]).slice(0, 0).rename_columns(["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_near_pairs", nothing)
+    got = {r["doc_id"]: r["component_id"] for r in similar_classes(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 3 for i in range(180)}
+
+
+def test_spanning_pairs_of_a_shard(spark):
+    rng = np.random.default_rng(13)
+    centres = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    fps = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, (12, 5), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for c in centres]))
+    nodes = [(int(i), int(f)) for i, f in enumerate(fps.view(np.int64))] + [(10_000, int(fps.view(np.int64)[3]))]
+    pairs = simhash._ball_pairs(spark.createDataFrame(nodes, "node long, fp long"), 10).collect()
+    of = dict(nodes)
+    bits = lambda a, b: bin((of[a] ^ of[b]) & (1 << 64) - 1).count("1")
+    assert all(r["a"] < r["b"] and bits(r["a"], r["b"]) <= 10 for r in pairs)
+    got, want = Forest(10_001), Forest(10_001)
+    got.join(np.array([r["a"] for r in pairs]), np.array([r["b"] for r in pairs]))
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 10)
+    want.join(np.append(i, 3), np.append(j, 10_000))
+    assert (got.roots(np.arange(10_001)) == want.roots(np.arange(10_001))).all()
+    assert len(pairs) < 5 * len(fps)
